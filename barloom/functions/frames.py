@@ -24,13 +24,18 @@ def as_col(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def roll(agg, x, n: int, w=None) -> Column:
-    """``agg(x)`` over the last n rows, null until the frame holds n values."""
+def roll(agg, x, n: int, w=None, dense: bool = False) -> Column:
+    """``agg(x)`` over the last n rows, null until the frame holds n values.
+
+    ``dense`` says that x is never null, so the row number can stand in for the count of the frame.
+    """
     if n <= 0:
         raise ValueError("period must be a positive integer")
-    f = (w or series()).rowsBetween(-(n - 1), 0)
+    w = w or series()
+    f = w.rowsBetween(-(n - 1), 0)
     x = as_col(x)
-    return F.when(F.count(x).over(f) >= n, agg(x).over(f))
+    filled = F.row_number().over(w) if dense else F.count(x).over(f)
+    return F.when(filled >= n, agg(x).over(f))
 
 
 def prev(x, k: int = 1, w=None) -> Column:
@@ -79,36 +84,52 @@ def frame_values(x, n: int, end: int = 0, w=None) -> Column:
     return F.array_sort(F.collect_list(as_col(x)).over(f))
 
 
-def ewm(df: DataFrame, x: str, span: int, out: str, key: str = KEY, time: str = TIME) -> DataFrame:
-    """Exponential mean y = a*y' + (1-a)*x, y1 = x1, a = 1 - 2/(span+1), in JVM windows.
+def ewm_many(df: DataFrame, specs: list[tuple[str, int, str]], key: str = KEY, time: str = TIME) -> DataFrame:
+    """Exponential means y = a*y' + (1-a)*x, y1 = x1, a = 1 - 2/(span+1), for (column, span, name) specs.
 
     Inside a block the recurrence has the closed form a^k * sum(b * a^-k), a running sum.  A block is as long
-    as a^-k stays below 1e200; what an older block would carry past one whole block is scaled by 1e-200, which
-    no double can see, so the last value of the previous block is the full carry.
+    as a^-k stays below 1e250 for the fastest span, and what would be carried past one whole block is scaled
+    by less than 1e-18 for the slowest, which no double can see: the last value of the previous block is the
+    full carry.  Spans too far apart to share a block length are done in separate passes.  One pass is one
+    extra sort however many means it holds.
     """
-    if span <= 0:
+    if any(span <= 0 for _, span, _ in specs):
         raise ValueError("span must be a positive integer")
-    if span == 1:
-        return df.withColumn(out, F.col(x))
-    return _affine(df, x, 1 - 2.0 / (span + 1), 2.0 / (span + 1), out, key, time, seed_first=True)
+    for x, span, out in specs:
+        if span == 1:
+            df = df.withColumn(out, F.col(x))
+    todo = sorted((s for s in specs if s[1] > 1), key=lambda s: s[1])
+    while todo:
+        block = int(575 / -math.log(_keep(todo[0][1])))
+        now = [s for s in todo if block * -math.log(_keep(s[1])) > 42]
+        todo = [s for s in todo if s not in now]
+        df = _affine(df, [(F.col(x), _keep(n), 1 - _keep(n), out) for x, n, out in now], block, key, time, seed_first=True)
+    return df
+
+
+def _keep(span: int) -> float:
+    return 1 - 2.0 / (span + 1)
+
+
+def ewm(df: DataFrame, x: str, span: int, out: str, key: str = KEY, time: str = TIME) -> DataFrame:
+    return ewm_many(df, [(x, span, out)], key, time)
 
 
-def decayed_sum(df: DataFrame, x: Column, decay: float, out: str, key: str = KEY, time: str = TIME) -> DataFrame:
-    """s = decay*s' + x, from zero."""
-    df = df.withColumn("_in", x)
-    return _affine(df, "_in", decay, 1.0, out, key, time, seed_first=False).drop("_in")
+def decayed_sums(df: DataFrame, xs: list[tuple[Column, str]], decay: float, key: str = KEY, time: str = TIME) -> DataFrame:
+    """s = decay*s' + x, from zero, for (expression, name) pairs."""
+    return _affine(df, [(x, decay, 1.0, out) for x, out in xs], int(575 / -math.log(decay)), key, time, seed_first=False)
 
 
-def _affine(df, x, a, gain, out, key, time, seed_first):
-    block = max(2, int(460 / -math.log(a)))
-    rn = F.row_number().over(W.partitionBy(key).orderBy(time)) - 1
-    df = df.withColumn("_i", rn).withColumn("_b", F.floor(F.col("_i") / block)).withColumn("_k", F.col("_i") % block)
-    b = F.col(x) * gain
-    if seed_first:
-        b = F.when(F.col("_i") == 0, F.col(x)).otherwise(b)
+def _affine(df, terms, block, key, time, seed_first):
+    index = F.row_number().over(W.partitionBy(key).orderBy(time)) - 1
+    df = df.withColumn("_i", index)
+    df = df.withColumns({"_b": F.floor(F.col("_i") / block), "_k": F.col("_i") % block})
     inner = W.partitionBy(key, "_b").orderBy(time).rowsBetween(W.unboundedPreceding, 0)
-    df = df.withColumn("_s", F.pow(F.lit(a), F.col("_k")) * F.sum(b * F.pow(F.lit(a), -F.col("_k"))).over(inner))
     past = W.partitionBy(key).orderBy("_b", time).rowsBetween(W.unboundedPreceding, -1)
-    carry = F.last(F.when(F.col("_k") == block - 1, F.col("_s")), ignorenulls=True).over(past)
-    y = F.col("_s") + F.when(carry.isNull(), 0.0).otherwise(carry * F.pow(F.lit(a), F.col("_k") + 1))
-    return df.withColumn(out, y).drop("_i", "_b", "_k", "_s")
+    partial, full = {}, {}
+    for j, (x, a, gain, out) in enumerate(terms):
+        b = F.when(F.col("_i") == 0, x).otherwise(x * gain) if seed_first else x * gain
+        partial[f"_s{j}"] = F.pow(F.lit(a), F.col("_k")) * F.sum(b * F.pow(F.lit(a), -F.col("_k"))).over(inner)
+        carry = F.last(F.when(F.col("_k") == block - 1, F.col(f"_s{j}")), ignorenulls=True).over(past)
+        full[out] = F.col(f"_s{j}") + F.coalesce(carry * F.pow(F.lit(a), F.col("_k") + 1), F.lit(0.0))
+    return df.withColumns(partial).withColumns(full).drop("_i", "_b", "_k", *partial)

@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.frames import ewm, prev, roll, running, series
+from barloom.functions.frames import decayed_sums, ewm, ewm_many, prev, roll, running, series
 
 
 def sma(df: DataFrame, n: int = 20, col: str = "close", out: str | None = None) -> DataFrame:
@@ -24,11 +24,7 @@ def ema(df: DataFrame, n: int = 20, col: str = "close", out: str | None = None)
 
 def ema_adjusted(df: DataFrame, n: int, col: str = "close", out: str | None = None) -> DataFrame:
     """Weighted mean with weights a^k over all rows so far."""
-    from barloom.functions.frames import decayed_sum
-
-    a = 1 - 2.0 / (n + 1)
-    df = decayed_sum(df, F.col(col), a, "_num")
-    df = decayed_sum(df, F.lit(1.0), a, "_den")
+    df = decayed_sums(df, [(F.col(col), "_num"), (F.lit(1.0), "_den")], 1 - 2.0 / (n + 1))
     return df.withColumn(out or f"ema_adj_{n}", F.col("_num") / F.col("_den")).drop("_num", "_den")
 
 
@@ -37,7 +33,7 @@ def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, col: st
         raise ValueError("periods must be positive integers")
     if fast >= slow:
         raise ValueError("fast period must be less than slow period")
-    df = ewm(ewm(df, col, fast, "_fast"), col, slow, "_slow")
+    df = ewm_many(df, [(col, fast, "_fast"), (col, slow, "_slow")])
     df = df.withColumn("macd_line", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
     df = ewm(df, "macd_line", signal, "macd_signal")
     return df.withColumn("macd_histogram", F.col("macd_line") - F.col("macd_signal"))
@@ -68,7 +64,7 @@ def bollinger(df: DataFrame, n: int = 20, k: float = 2.0, col: str = "close") ->
 
 
 def stochastic(df: DataFrame, k: int = 14, d: int = 3) -> DataFrame:
-    lo, hi = roll(F.min, "low", k), roll(F.max, "high", k)
+    lo, hi = roll(F.min, "low", k, dense=True), roll(F.max, "high", k, dense=True)
     df = df.withColumn("_lo", lo).withColumn("_hi", hi)
     df = df.withColumn("stoch_k", 100 * F.try_divide(F.col("close") - F.col("_lo"), F.col("_hi") - F.col("_lo")))
     return df.withColumn("stoch_d", roll(F.avg, "stoch_k", d)).drop("_lo", "_hi")
@@ -80,7 +76,7 @@ def true_range() -> Column:
 
 
 def atr_sma(df: DataFrame, n: int = 14, out: str | None = None) -> DataFrame:
-    return df.withColumn("_tr", true_range()).withColumn(out or f"atr_{n}", roll(F.avg, "_tr", n)).drop("_tr")
+    return df.withColumn("_tr", true_range()).withColumn(out or f"atr_{n}", roll(F.avg, "_tr", n, dense=True)).drop("_tr")
 
 
 def atr_ema(df: DataFrame, n: int = 14, out: str | None = None) -> DataFrame:
@@ -96,9 +92,9 @@ def adx(df: DataFrame, n: int = 14, raw_dm: bool = False) -> DataFrame:
     df = df.withColumn("_p", F.when((F.col("_up") > F.col("_dn")) & (F.col("_up") > 0), F.col("_up")).otherwise(zero))
     rival = F.col("_p") if raw_dm else F.col("_up")
     df = df.withColumn("_m", F.when((F.col("_dn") > rival) & (F.col("_dn") > 0), F.col("_dn")).otherwise(zero))
-    df = df.withColumn("_st", roll(F.sum, "_tr", n))
-    df = df.withColumn("pos_di", 100 * F.try_divide(roll(F.sum, "_p", n), F.col("_st")))
-    df = df.withColumn("neg_di", 100 * F.try_divide(roll(F.sum, "_m", n), F.col("_st")))
+    df = df.withColumn("_st", roll(F.sum, "_tr", n, dense=True))
+    df = df.withColumn("pos_di", 100 * F.try_divide(roll(F.sum, "_p", n, dense=True), F.col("_st")))
+    df = df.withColumn("neg_di", 100 * F.try_divide(roll(F.sum, "_m", n, dense=True), F.col("_st")))
     df = df.withColumn("_dx", 100 * F.try_divide(F.abs(F.col("pos_di") - F.col("neg_di")),
                                                  F.col("pos_di") + F.col("neg_di")))
     return df.withColumn("adx", roll(F.avg, "_dx", n)).drop("_tr", "_up", "_dn", "_p", "_m", "_st", "_dx")
@@ -110,7 +106,7 @@ def obv(df: DataFrame) -> DataFrame:
 
 
 def ichimoku(df: DataFrame, conversion: int = 9, base: int = 26, span_b: int = 52, shift: int = 26) -> DataFrame:
-    mid = {n: (roll(F.max, "high", n) + roll(F.min, "low", n)) / 2 for n in (conversion, base, span_b)}
+    mid = {n: (roll(F.max, "high", n, dense=True) + roll(F.min, "low", n, dense=True)) / 2 for n in (conversion, base, span_b)}
     df = (df.withColumn("tenkan_sen", mid[conversion]).withColumn("kijun_sen", mid[base]).withColumn("_b", mid[span_b]))
     return (df.withColumn("senkou_span_a", F.lag((F.col("tenkan_sen") + F.col("kijun_sen")) / 2, shift).over(series()))
               .withColumn("senkou_span_b", F.lag("_b", shift).over(series()))
@@ -135,25 +131,58 @@ def volatility_multi(df: DataFrame, periods=(5, 10, 20, 30, 60), col: str = "clo
 
 
 def trend_mas(df: DataFrame, ma=(20, 50, 100, 200), em=(12, 26, 50, 100), col: str = "close") -> DataFrame:
-    for n in ma:
-        df = sma(df, n, col)
-    for n in em:
-        df = ema(df, n, col)
+    df = df.withColumns({f"sma_{n}": roll(F.avg, col, n) for n in ma})
+    df = ewm_many(df, [(col, n, f"ema_{n}") for n in em])
+    new = {}
     for kind, periods in (("sma", ma), ("ema", em)):
         for n in periods:
-            df = df.withColumn(f"price_rel_{kind}_{n}", F.try_divide(F.col(col), F.col(f"{kind}_{n}")) - 1)
+            new[f"price_rel_{kind}_{n}"] = F.try_divide(F.col(col), F.col(f"{kind}_{n}")) - 1
         for a, b in zip(periods, periods[1:]):
-            df = df.withColumn(f"{kind}_{a}_{b}_diff", F.col(f"{kind}_{a}") - F.col(f"{kind}_{b}"))
-    return df
+            new[f"{kind}_{a}_{b}_diff"] = F.col(f"{kind}_{a}") - F.col(f"{kind}_{b}")
+    return df.withColumns(new)
 
 
 def all_indicators(df: DataFrame) -> DataFrame:
-    for n in (20, 50, 200):
-        df = sma(df, n)
-    for n in (12, 26):
-        df = ema(df, n)
-    df = stochastic(rsi(bollinger(df), 14))
-    df = df.withColumn("macd_line", F.col("ema_12") - F.col("ema_26"))
-    df = ewm(df, "macd_line", 9, "macd_signal").withColumn("macd_histogram", F.col("macd_line") - F.col("macd_signal"))
-    df = ichimoku(obv(adx(atr_ema(df, 14), 14)))
-    return keltner(df)
+    """Every indicator in one table, staged by dependency so that a stage is one window pass over the series.
+
+    The same definitions as the single functions, for bars without null prices.
+    """
+    def r(agg, x, n):
+        return roll(agg, x, n, dense=True)
+
+    c, hi, lo, zero = F.col("close"), F.col("high"), F.col("low"), F.lit(0.0)
+    mid = {n: (r(F.max, "high", n) + r(F.min, "low", n)) / 2 for n in (9, 26, 52)}
+    df = df.withColumns({
+        "_tr": true_range(), "_up": hi - prev("high"), "_dn": prev("low") - lo, "_d": F.coalesce(c - prev("close"), zero),
+        "sma_20": r(F.avg, "close", 20), "sma_50": r(F.avg, "close", 50), "sma_200": r(F.avg, "close", 200),
+        "_sd": r(F.stddev_samp, "close", 20), "_lo": r(F.min, "low", 14), "_hi": r(F.max, "high", 14),
+        "tenkan_sen": mid[9], "kijun_sen": mid[26], "_sb": mid[52], "chikou_span": F.lead("close", 26).over(series())})
+    df = df.withColumns({
+        "stoch_k": 100 * F.try_divide(c - F.col("_lo"), F.col("_hi") - F.col("_lo")),
+        "_p": F.when((F.col("_up") > F.col("_dn")) & (F.col("_up") > 0), F.col("_up")).otherwise(zero),
+        "_m": F.when((F.col("_dn") > F.col("_up")) & (F.col("_dn") > 0), F.col("_dn")).otherwise(zero),
+        "_step": F.signum("_d").cast("bigint") * F.col("volume"),
+        "_sa": (F.col("tenkan_sen") + F.col("kijun_sen")) / 2})
+    df = df.withColumns({
+        "_g": r(F.avg, F.greatest(F.col("_d"), zero), 14), "_l": r(F.avg, F.greatest(-F.col("_d"), zero), 14),
+        "_st": r(F.sum, "_tr", 14), "_sp": r(F.sum, "_p", 14), "_sm": r(F.sum, "_m", 14),
+        "stoch_d": roll(F.avg, "stoch_k", 3), "obv": running(F.sum, "_step"),
+        "senkou_span_a": F.lag("_sa", 26).over(series()), "senkou_span_b": F.lag("_sb", 26).over(series())})
+    df = df.withColumns({"pos_di": 100 * F.try_divide(F.col("_sp"), F.col("_st")),
+                         "neg_di": 100 * F.try_divide(F.col("_sm"), F.col("_st"))})
+    df = df.withColumn("_dx", 100 * F.try_divide(F.abs(F.col("pos_di") - F.col("neg_di")), F.col("pos_di") + F.col("neg_di")))
+    width = 4 * F.col("_sd")
+    df = df.withColumns({
+        "adx": roll(F.avg, "_dx", 14), "bb_middle": F.col("sma_20"),
+        "bb_upper": F.col("sma_20") + 2 * F.col("_sd"), "bb_lower": F.col("sma_20") - 2 * F.col("_sd"),
+        "bb_bandwidth": F.try_divide(width, F.col("sma_20")),
+        "bb_percent_b": F.try_divide(c - (F.col("sma_20") - 2 * F.col("_sd")), width),
+        "rsi_14": F.when((F.col("_l") == 0) & (F.col("_g") > 0), 100.0).otherwise(
+            100 - F.try_divide(F.lit(100.0), 1 + F.try_divide(F.col("_g"), F.col("_l"))))})
+    df = df.drop("_up", "_dn", "_d", "_sd", "_lo", "_hi", "_sb", "_p", "_m", "_step", "_sa", "_g", "_l", "_st", "_sp", "_sm", "_dx")
+    df = ewm_many(df, [("close", 12, "ema_12"), ("close", 26, "ema_26"), ("close", 20, "keltner_middle"),
+                       ("_tr", 14, "atr_14"), ("_tr", 10, "_a10")])
+    df = df.withColumns({"macd_line": F.col("ema_12") - F.col("ema_26"),
+                         "keltner_upper": F.col("keltner_middle") + 2 * F.col("_a10"),
+                         "keltner_lower": F.col("keltner_middle") - 2 * F.col("_a10")}).drop("_tr", "_a10")
+    return ewm(df, "macd_line", 9, "macd_signal").withColumn("macd_histogram", F.col("macd_line") - F.col("macd_signal"))
