@@ -9,4 +9,4 @@ def load_all() -> None:
         import_module(f"barloom.plans.{name}")
 
 
-MODULES = ["indicators"]
+MODULES = ["indicators", "features", "signals"]

@@ -165,7 +165,7 @@ stoch_k stoch_d atr_14 adx pos_di neg_di keltner_upper keltner_middle keltner_lo
 EXACT = ["obv", "tenkan_sen", "kijun_sen", "senkou_span_a", "senkou_span_b", "chikou_span"]
 
 
-@query("all_indicators", f"""{TRB},
+IND = f"""{TRB},
 x1 AS (SELECT symbol, date, rn, close, high, low, volume, tr, {roll('avg', 'close', 20)} AS sma_20, {roll('avg', 'close', 50)} AS sma_50,
   {roll('avg', 'close', 200)} AS sma_200, {ema('close', 12)} AS ema_12, {ema('close', 26)} AS ema_26,
   {roll('stddev_samp', 'close', 20)} AS sd, coalesce(close - lag(close) OVER ({W}), 0) AS d,
@@ -178,13 +178,16 @@ x2 AS (SELECT *, ema_12 - ema_26 AS macd_line, {roll('avg', 'greatest(d, 0)', 14
 x3 AS (SELECT *, {ema('macd_line', 9)} AS macd_signal, {roll('avg', 'stoch_k', 3)} AS stoch_d,
   100 * {roll('sum', 'pdm', 14)} / nullif({roll('sum', 'tr', 14)}, 0) AS pos_di,
   100 * {roll('sum', 'ndm', 14)} / nullif({roll('sum', 'tr', 14)}, 0) AS neg_di FROM x2),
-x4 AS (SELECT *, 100 * abs(pos_di - neg_di) / nullif(pos_di + neg_di, 0) AS dx FROM x3)
-SELECT symbol, date, sma_20, sma_50, sma_200, ema_12, ema_26, macd_line, macd_signal, macd_line - macd_signal AS macd_histogram,
+x4 AS (SELECT *, 100 * abs(pos_di - neg_di) / nullif(pos_di + neg_di, 0) AS dx FROM x3),
+ind AS (SELECT symbol, date, rn, close, volume, sma_20, sma_50, sma_200, ema_12, ema_26, macd_line, macd_signal, macd_line - macd_signal AS macd_histogram,
   sma_20 + 2 * sd AS bb_upper, sma_20 AS bb_middle, sma_20 - 2 * sd AS bb_lower, {RSI_V} AS rsi_14, stoch_k, stoch_d, atr_14,
   {roll('avg', 'dx', 14)} AS adx, pos_di, neg_di, keltner_middle + 2 * a10 AS keltner_upper, keltner_middle,
   keltner_middle - 2 * a10 AS keltner_lower,
   CAST(sum(sign(d) * volume) OVER ({W} ROWS UNBOUNDED PRECEDING) AS BIGINT) AS obv, tenkan_sen, kijun_sen,
   lag((tenkan_sen + kijun_sen) / 2, 26) OVER ({W}) AS senkou_span_a, lag(sb, 26) OVER ({W}) AS senkou_span_b,
-  lead(close, 26) OVER ({W}) AS chikou_span FROM x4""", B, r4=ALL)
+  lead(close, 26) OVER ({W}) AS chikou_span FROM x4)"""
+
+
+@query("all_indicators", f"{IND} SELECT * EXCLUDE (rn, close, volume) FROM ind", B, r4=ALL)
 def _(t: Tables):
     return pick(ind.all_indicators(t.bars), *ALL.split(), *EXACT)

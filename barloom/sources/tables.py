@@ -99,6 +99,12 @@ class Tables:
             F.struct(F.lit(2).alias("portfolio_id"), (F.col("v").cast("double") / F.col("tv")).alias("weight"))))
         return both.select("symbol", split.alias("p")).select("p.portfolio_id", "symbol", "p.weight")
 
+    @cached_property
+    def portfolio_series(self) -> DataFrame:
+        """Weighted return per portfolio and date, missing returns as zero; ``symbol`` is the portfolio."""
+        joined = self.returns.join(self.weights, "symbol")
+        return joined.groupBy(F.col("portfolio_id").alias("symbol"), "date").agg(F.sum(F.col("weight") * F.col("ret")).alias("ret"))
+
     @cached_property
     def holdings(self) -> DataFrame:
         freq = F.element_at(F.array(*[F.lit(x) for x in ("annual", "semi_annual", "quarterly", "monthly")]),
