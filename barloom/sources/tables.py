@@ -92,8 +92,7 @@ class Tables:
     def weights(self) -> DataFrame:
         """Portfolio 1 holds every symbol equally, portfolio 2 by share of total volume."""
         per_symbol = self.bars.groupBy("symbol").agg(F.sum("volume").alias("v"))
-        total = per_symbol.agg(F.sum("v").alias("tv"), F.count("*").alias("n"))
-        both = per_symbol.join(F.broadcast(total))  # one row
+        both = per_symbol.withColumns({"n": per_symbol.agg(F.count("*")).scalar(), "tv": per_symbol.agg(F.sum("v")).scalar()})
         split = F.explode(F.array(
             F.struct(F.lit(1).alias("portfolio_id"), (F.lit(1.0) / F.col("n")).alias("weight")),
             F.struct(F.lit(2).alias("portfolio_id"), (F.col("v").cast("double") / F.col("tv")).alias("weight"))))
