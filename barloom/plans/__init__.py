@@ -9,4 +9,4 @@ def load_all() -> None:
         import_module(f"barloom.plans.{name}")
 
 
-MODULES = ["indicators", "features", "signals", "statistics", "portfolio", "sources", "forecast"]
+MODULES = ["indicators", "features", "signals", "statistics", "portfolio", "sources", "forecast", "text", "streams"]

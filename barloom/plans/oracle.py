@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from barloom.sources.tables import SAMPLE_QUESTIONS
+
 W = "PARTITION BY symbol ORDER BY date"
 
 CTES = {
@@ -54,6 +56,15 @@ CTES = {
   SELECT doc_id, md5(CAST(doc_id AS VARCHAR)) AS id, substr(text, 1, 60) AS title,
          'https://news.example/' || doc_id AS link, text AS content,
          CAST(DATE '2024-01-01' + CAST(doc_id % 90 AS INTEGER) AS DATE) AS published, source, lang FROM documents)""",
+    "questions": """questions AS (
+  SELECT conv_id * 1000 + turn AS query_id, CASE (conv_id + turn) % 3 WHEN 0 THEN s WHEN 1 THEN text ELSE s || ' ' || text END AS query
+  FROM (SELECT *, [__SAMPLES__][(conv_id + turn) % 5 + 1] AS s FROM conversations WHERE role = 'user'))""".replace(
+        "__SAMPLES__", ", ".join(f"'{q}'" for q in SAMPLE_QUESTIONS)),
+    "centroids": """centroids AS (
+  SELECT label AS query_id, list(m ORDER BY i) AS embedding FROM (
+    SELECT label, i, avg(v) AS m FROM (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY 1, 2) GROUP BY 1)""",
+    "vector_articles": """vector_articles AS (
+  SELECT vec_id AS id, embedding, label, a.* EXCLUDE (id, doc_id), a.id AS article_id FROM embeddings JOIN articles a ON vec_id = doc_id)""",
     "portfolio_series": """portfolio_series AS (
   SELECT portfolio_id AS symbol, date, sum(weight * ret) AS ret FROM returns JOIN weights USING (symbol) GROUP BY 1, 2)""",
 }
@@ -61,6 +72,7 @@ CTES = {
 NEEDS = {
     "bars": ["ticks"], "returns": ["bars"], "benchmark_returns": ["returns"], "weights": ["bars"], "holdings": ["bars"],
     "predictions": ["bars"], "earnings": ["bars"], "portfolio_series": ["returns", "weights"],
+    "vector_articles": ["articles"],
 }
 
 
