@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.frames import series
 from barloom.functions.order import quantile_map, with_row_index
+from barloom.sources.readers import materialize
 
 BAR_RULES = {"open_positive": "open", "high_positive": "high", "low_positive": "low", "close_positive": "close"}
 
@@ -176,7 +177,7 @@ def smote_balance(df: DataFrame, key: str, label: str, cols: list[str], k: int =
     have = counts.agg(F.min("n")).scalar()
     minority = df.where(F.col(label) == small).select(key, label, *[F.col(c).cast("double").alias(c) for c in cols])
     scaled = standard_scale(minority, cols).select(key, sum(F.col(c) for c in cols).alias("_p"))
-    rows = with_row_index(minority.join(scaled, key), "_p", [key], "_i")
+    rows = with_row_index(materialize(minority.join(scaled, key), "minority"), "_p", [key], "_i")
     rows = rows.withColumns({"_need": need, "_have": have})
     rows = rows.withColumn("_copies", (F.floor(F.col("_need") / F.col("_have")) + (F.col("_i") < F.col("_need") % F.col("_have")).cast("int")).cast("int"))
     kind = dict(df.dtypes)

@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions import stats as st
-from barloom.functions.frames import product, running, running_product, series
+from barloom.functions.frames import product, running_product
 from barloom.operators.statistics import drawdown_profile, drawdowns, expected_shortfall
+from barloom.sources.readers import materialize
 
 PORT = ["portfolio_id"]
 
@@ -342,7 +343,8 @@ def candidate_moments(returns: DataFrame, candidates: int = 256, seed: int = 7)
     single = returns.groupBy("symbol").agg(F.sum(r).alias("s"), F.sum(r * r).alias("q")).withColumn("d", days).select(
         F.concat(F.lit("asset:"), F.col("symbol").cast("string")).alias("candidate"), (F.col("s") / F.col("d") * 252).alias("expected_return"),
         F.sqrt((F.col("q") - F.col("s") * F.col("s") / F.col("d")) / (F.col("d") - 1) * 252).alias("volatility"))
-    return mixed.unionByName(single)
+    # small (candidates plus assets) and read several times by the searches over it
+    return materialize(mixed.unionByName(single), "candidates")
 
 
 def candidate_weights(symbols: DataFrame, k: int, candidates: int = 256, seed: int = 7) -> DataFrame:

@@ -11,7 +11,7 @@ CTES = {
   SELECT l_suppkey AS symbol, CAST(o_orderdate AS DATE) AS date,
          100 * (1 - l_discount) * (1 + l_tax) + l_extendedprice / 99991 AS price, l_quantity AS qty,
          row_number() OVER (PARTITION BY l_suppkey, CAST(o_orderdate AS DATE)
-           ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity, 100 * (1 - l_discount) * (1 + l_tax)) AS rn,
+           ORDER BY l_orderkey, l_linenumber, round((100 * (1 - l_discount) * (1 + l_tax) + l_extendedprice / 99991) * 1e7)) AS rn,
          count(*) OVER (PARTITION BY l_suppkey, CAST(o_orderdate AS DATE)) AS n
   FROM lineitem JOIN orders ON o_orderkey = l_orderkey)""",
     "bars": """bars AS (

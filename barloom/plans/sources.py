@@ -26,7 +26,7 @@ def saved(t: Tables, df, name: str, kind: str = "parquet") -> str:
 def _(t: Tables):
     out = None
     for kind in ("csv", "json", "parquet"):
-        df = readers.scan_files(t.spark, saved(t, t.bars, "scan", kind), readers.BARS_SCHEMA).withColumn("kind", F.lit(kind))
+        df = readers.scan_files(t.spark, saved(t, t.stored_bars, "scan", kind), readers.BARS_SCHEMA).withColumn("kind", F.lit(kind))
         out = df if out is None else out.unionByName(df)
     return out
 
@@ -181,7 +181,7 @@ def _(t: Tables):
 @query("split_dataset", """, i AS (SELECT symbol, date, row_number() OVER (ORDER BY date, symbol) - 1 AS row_index, count(*) OVER () AS n FROM bars)
 SELECT symbol, date, row_index, CAST(least(row_index // (n // 7), 6) AS INTEGER) AS chunk FROM i""", B)
 def _(t: Tables):
-    return readers.split_dataset(t.bars.select("symbol", "date"), 7, "date", ["symbol"])
+    return readers.split_dataset(t.stored_bars.select("symbol", "date"), 7, "date", ["symbol"])
 
 
 @query("dataset_profile", """SELECT count(*) AS row_count, 7 AS column_count, min(date) AS start_date, max(date) AS end_date, false AS has_missing, avg(close) AS close_mean, stddev_samp(close) AS close_std, min(close) AS close_min,
@@ -268,7 +268,7 @@ FF = f"OVER ({W} ROWS UNBOUNDED PRECEDING)"
 @query("fill_median_ffill", f""", {DIRTY} SELECT symbol, date, coalesce(open, (SELECT median(open) FROM dirty)) AS open, high, low, close, volume,
   coalesce(last_value(grade IGNORE NULLS) {FF}, first_value(grade IGNORE NULLS) OVER ({W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS grade FROM dirty""", B, r6="open")
 def _(t: Tables):
-    return cl.fill_median_ffill(dirty(t), ["open"], ["grade"])
+    return cl.fill_median_ffill(readers.materialize(dirty(t)), ["open"], ["grade"])
 
 
 @query("drop_duplicates", "SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM lineitem")
@@ -281,17 +281,17 @@ QT = ", q AS (SELECT quantile_cont(close, 0.25) AS a, quantile_cont(close, 0.75)
 
 @query("clip_iqr", f"""{QT} SELECT symbol, date, least(greatest(close, a - 0.5 * (b - a)), b + 0.5 * (b - a)) AS close, least(greatest(volume, c - 0.5 * (d - c)), d + 0.5 * (d - c))::DOUBLE AS volume FROM bars, q""", B, r6="close volume")
 def _(t: Tables):
-    return cl.clip_iqr(t.bars.select("symbol", "date", "close", "volume"), ["close", "volume"], 0.5)
+    return cl.clip_iqr(t.stored_bars.select("symbol", "date", "close", "volume"), ["close", "volume"], 0.5)
 
 
 @query("minmax_scale", "SELECT symbol, date, (close - min(close) OVER ()) / (max(close) OVER () - min(close) OVER ()) AS close FROM bars", B, r9="close")
 def _(t: Tables):
-    return cl.minmax_scale(t.bars.select("symbol", "date", "close"), ["close"])
+    return cl.minmax_scale(t.stored_bars.select("symbol", "date", "close"), ["close"])
 
 
 @query("standard_scale", "SELECT symbol, date, (close - (SELECT avg(close) FROM bars WHERE date < DATE '1999-01-01')) / (SELECT stddev_pop(close) FROM bars WHERE date < DATE '1999-01-01') AS close FROM bars", B, r6="close")
 def _(t: Tables):
-    df = t.bars.select("symbol", "date", "close")
+    df = t.stored_bars.select("symbol", "date", "close")
     return cl.standard_scale(df, ["close"], df.where("date < '1999-01-01'"))
 
 
@@ -300,7 +300,7 @@ ZS = "SELECT symbol, date, close, volume, abs((close - avg(close) OVER ()) / std
 
 @query("remove_outliers_zscore", f"SELECT symbol, date, close, volume FROM ({ZS}) WHERE NOT is_outlier", B)
 def _(t: Tables):
-    return cl.remove_outliers(t.bars.select("symbol", "date", "close", "volume"), ["close", "volume"], "zscore", 2.0)
+    return cl.remove_outliers(t.stored_bars.select("symbol", "date", "close", "volume"), ["close", "volume"], "zscore", 2.0)
 
 
 IQ = f"{QT}, f AS (SELECT symbol, date, close, volume, close < a - 1.5 * (b - a) OR close > b + 1.5 * (b - a) OR volume < c - 1.5 * (d - c) OR volume > d + 1.5 * (d - c) AS is_outlier FROM bars, q)"
@@ -308,18 +308,18 @@ IQ = f"{QT}, f AS (SELECT symbol, date, close, volume, close < a - 1.5 * (b - a)
 
 @query("remove_outliers_iqr", f"{IQ} SELECT symbol, date, close, volume FROM f WHERE NOT is_outlier", B)
 def _(t: Tables):
-    return cl.remove_outliers(t.bars.select("symbol", "date", "close", "volume"), ["close", "volume"], "iqr")
+    return cl.remove_outliers(t.stored_bars.select("symbol", "date", "close", "volume"), ["close", "volume"], "iqr")
 
 
 @query("flag_anomalies_global", f"{IQ} SELECT f.*, z.is_outlier AS z_outlier FROM f JOIN ({ZS}) z USING (symbol, date)", B)
 def _(t: Tables):
-    df = cl.outlier_flag(t.bars.select("symbol", "date", "close", "volume"), ["close", "volume"], "iqr")
+    df = cl.outlier_flag(t.stored_bars.select("symbol", "date", "close", "volume"), ["close", "volume"], "iqr")
     return cl.outlier_flag(df, ["close", "volume"], "zscore", 2.0, "z_outlier")
 
 
 @query("feature_chain", f""", z AS ({ZS}) SELECT 0 AS step_no, 'scale' AS step, count(*) AS rows FROM z UNION ALL SELECT 1, 'outliers', CAST(count_if(NOT is_outlier) AS BIGINT) FROM z UNION ALL SELECT 2, 'custom', CAST(count_if(NOT is_outlier) AS BIGINT) FROM z""", B)
 def _(t: Tables):
-    df = t.bars.select("symbol", "date", "close", "volume")
+    df = t.stored_bars.select("symbol", "date", "close", "volume")
     steps = [("scale", lambda d: cl.standard_scale(d, ["close"])), ("outliers", lambda d: cl.remove_outliers(d, ["close", "volume"], "zscore", 2.0)),
              ("custom", lambda d: d.withColumn("turnover", F.col("close") * F.col("volume")))]
     return cl.feature_chain(df, steps)[1]
@@ -328,7 +328,7 @@ def _(t: Tables):
 @query("smote_balance")
 def _(t: Tables):
     df = t.raw("labels").join(t.raw("documents"), "doc_id").select("doc_id", "quality", "n_chars", F.size(F.split("text", "\\s+")).alias("n_words"))
-    return cl.smote_balance(df, "doc_id", "quality", ["n_chars", "n_words"])
+    return cl.smote_balance(readers.materialize(df), "doc_id", "quality", ["n_chars", "n_words"])
 
 
 # ---- scalars ----

@@ -21,6 +21,14 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base}/barloom/{name}-{uuid.uuid4().hex}"
 
 
+def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Writes the table once to the shared folder and reads it back: for inputs that a job passes over several
+    times.  Lineage ends at files that survive the loss of an executor."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scan_files(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """CSV, JSON or Parquet by extension, with an explicit schema where given."""
     kind = path.rstrip("/").rsplit(".", 1)[-1].lower()

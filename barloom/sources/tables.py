@@ -14,11 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions.frames import series
+from barloom.sources.readers import materialize
 
 
-def daily_bars(ticks: DataFrame, price: str, volume, order: list[str]) -> DataFrame:
-    """OHLCV per (symbol, date) of ticks, first and last by the ``order`` columns."""
-    key = F.struct(*order)
+def daily_bars(ticks: DataFrame, price: str, volume, key) -> DataFrame:
+    """OHLCV per (symbol, date) of ticks, first and last by the ``key``.
+
+    A decimal key keeps the whole aggregate in hash buffers; a struct key would force a sort of the ticks.
+    """
     return ticks.groupBy("symbol", "date").agg(
         F.min_by(price, key).alias("open"),
         F.max(price).alias("high"),
@@ -52,7 +55,7 @@ class Tables:
         price = 100 * (1 - F.col("l_discount")) * (1 + F.col("l_tax")) + F.col("l_extendedprice") / 99991
         return (
             self.raw("lineitem")
-            .select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", F.col("l_quantity").alias("qty"),
+            .select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("qty"),
                     F.col("l_suppkey").alias("symbol"), price.alias("price"))
             .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
             .drop("o_orderkey")
@@ -60,8 +63,15 @@ class Tables:
 
     @cached_property
     def bars(self) -> DataFrame:
-        order = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "qty", "price"]
-        return daily_bars(self.ticks, "price", F.sum("qty"), order)
+        place = F.col("l_orderkey").cast("decimal(19,0)") * F.lit(10**11).cast("decimal(12,0)")
+        line = F.col("l_linenumber").cast("decimal(2,0)") * F.lit(10**10).cast("decimal(11,0)")
+        key = place + line + F.round(F.col("price") * 1e7).cast("decimal(11,0)")
+        return daily_bars(self.ticks.withColumn("key", key), "price", F.sum("qty"), "key")
+
+    @cached_property
+    def stored_bars(self) -> DataFrame:
+        """Bars written once to the shared folder, for operators that pass over their input several times."""
+        return materialize(self.bars, "bars")
 
     @cached_property
     def returns(self) -> DataFrame:
@@ -84,7 +94,7 @@ class Tables:
     def event_bars(self) -> DataFrame:
         ticks = self.raw("events").select(
             F.col("user_id").alias("symbol"), F.col("ts").cast("date").alias("date"), "ts", "event_id", "value")
-        return daily_bars(ticks, "value", F.count("*"), ["ts", "event_id"])
+        return daily_bars(ticks, "value", F.count("*"), F.struct("ts", "event_id"))
 
     @cached_property
     def securities(self) -> DataFrame:
