@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions import stats as st
 from barloom.functions.frames import prev, rate, roll, series
+from barloom.sources.readers import materialize
 
 MS = ["model", "symbol"]
 
@@ -57,7 +58,7 @@ def model_chain(kind: str, features=None, label: str = "target", seed: int = 42)
 
 def train_predict(table: DataFrame, kinds=("linear", "tree"), train_share: float = 0.8) -> tuple[DataFrame, dict]:
     """One model per kind over all symbols, predictions for the later rows, and the fitted models."""
-    parts = time_split(table, train_share)
+    parts = materialize(time_split(table, train_share), "training")  # fitting passes over it many times
     train, test = parts.where("is_train"), parts.where("NOT is_train")
     out, fitted = None, {}
     for kind in kinds:
@@ -87,7 +88,7 @@ def batch_predict(table: DataFrame, model) -> DataFrame:
 
 def stacking(table: DataFrame, kinds=("linear", "tree"), folds: int = 5) -> tuple[DataFrame, object]:
     """Out-of-fold base predictions (folds by row hash) and a linear model over them."""
-    df = table.withColumn("_fold", F.pmod(F.xxhash64("symbol", "date"), F.lit(folds)))
+    df = materialize(table.withColumn("_fold", F.pmod(F.xxhash64("symbol", "date"), F.lit(folds))), "folds")
     parts = None
     for k in range(folds):
         train, held = df.where(F.col("_fold") != k), df.where(F.col("_fold") == k)
@@ -95,6 +96,7 @@ def stacking(table: DataFrame, kinds=("linear", "tree"), folds: int = 5) -> tupl
             held = model_chain(kind).fit(train).transform(held).withColumnRenamed("prediction", f"p_{kind}").drop("_raw", "_x")
         parts = held if parts is None else parts.unionByName(held)
     meta_features = [f"p_{k}" for k in kinds]
+    parts = materialize(parts, "stacked")
     meta = model_chain("linear", meta_features).fit(parts)
     return meta.transform(parts).select("symbol", "date", "target", *meta_features, "prediction"), meta
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from barloom.operators import forecast as fc
 from barloom.plans.oracle import W, roll
 from barloom.registry import query
+from barloom.sources.readers import materialize
 from barloom.sources.tables import Tables
 
 P = "predictions"
@@ -37,7 +38,7 @@ def _(t: Tables):
 
 @query("batch_predict")
 def _(t: Tables):
-    table = fc.training_table(t.bars)
+    table = materialize(fc.training_table(t.bars), "training")
     model = fc.model_chain("linear").fit(fc.time_split(table).where("is_train"))
     return fc.batch_predict(table, model)
 

@@ -207,3 +207,14 @@ def test_stream_bars_merge_batches(spark, tmp_path):
     assert len(r) == 1 and (r[0]["open"], r[0]["high"], r[0]["low"], r[0]["close"], r[0]["volume"]) == (0.0, 31.0, 0.0, 31.0, 8)
 
 
+
+
+def test_join_unique_with_a_hot_key(spark):
+    from barloom.functions.skew import join_unique
+
+    rows = [(i, "hot" if i % 3 else f"k{i}") for i in range(30000)]
+    big = spark.createDataFrame(rows, "i int, k string")
+    small = big.groupBy("k").agg(F.count("*").alias("n"), F.min("i").alias("first"))
+    got = join_unique(big, small, "k", "n")
+    want = big.join(small.drop("n"), "k")
+    assert got.count() == 30000 and got.exceptAll(want.select(*got.columns)).count() == 0
