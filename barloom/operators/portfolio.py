@@ -64,13 +64,13 @@ def portfolio_risk(returns: DataFrame, weights: DataFrame, market: DataFrame | N
     port = joined.groupBy("portfolio_id", "date").agg(F.sum(F.col("weight") * F.col("ret")).alias("p"))
     days = port.groupBy("portfolio_id").agg(F.count("*").alias("d"), F.sum("p").alias("sp"), F.var_samp("p").alias("vp"))
     m = F.broadcast(market.select("date", F.col("ret").alias("m")))  # one row per date
-    msum = market.agg(F.sum("ret")).scalar()
-    msq = market.agg(F.sum(F.col("ret") * F.col("ret"))).scalar()
+    sums = market.agg(F.struct(F.sum("ret").alias("sm"), F.sum(F.col("ret") * F.col("ret")).alias("smm"))).scalar()
     rows = joined.join(port, ["portfolio_id", "date"]).join(m, "date", "left")
     r = F.col("ret")
     per = rows.groupBy("portfolio_id", "symbol").agg(
         F.max("weight").alias("weight"), F.sum(r).alias("sr"), F.sum(r * r).alias("srr"), F.sum(r * F.col("p")).alias("srp"),
-        F.sum(r * F.coalesce("m", F.lit(0.0))).alias("srm")).withColumns({"sm": msum, "smm": msq})
+        F.sum(r * F.coalesce("m", F.lit(0.0))).alias("srm"))
+    per = per.withColumn("_m", sums).withColumns({"sm": F.col("_m.sm"), "smm": F.col("_m.smm")}).drop("_m")
     per = per.join(days, "portfolio_id")
     d = F.col("d")
     cov = lambda xy, x, y: (F.col(xy) - F.col(x) * F.col(y) / d) / (d - 1)

@@ -168,7 +168,7 @@ k AS (SELECT symbol, date, c / max(c) OVER (PARTITION BY symbol, date ORDER BY p
 d AS (SELECT symbol, date, min(dd) AS max_drawdown FROM k GROUP BY 1, 2)
 SELECT f.symbol AS portfolio_id, f.date, returns, volatility, downside_risk, returns / nullif(volatility, 0) AS sharpe_ratio,
   returns / nullif(downside_risk, 0) AS sortino_ratio, max_drawdown FROM f LEFT JOIN d USING (symbol, date)""", "portfolio_series",
-       r6="returns volatility downside_risk sharpe_ratio sortino_ratio max_drawdown")
+       r6="returns volatility downside_risk sharpe_ratio sortino_ratio max_drawdown", stored=True)
 def _(t: Tables):
     out = ft.rolling_metrics(t.portfolio_series).withColumnRenamed("symbol", "portfolio_id")
     return out.drop("ret")

@@ -65,7 +65,7 @@ def _(t: Tables):
     return fc.ensemble(t.predictions, WEIGHTS, "direction")
 
 
-@query("ensemble_weights", """, r AS (SELECT model, 1 / sqrt(avg((y_true - y_pred) * (y_true - y_pred))) AS s FROM predictions GROUP BY 1) SELECT model, s / sum(s) OVER () AS weight FROM r""", P, r6="weight")
+@query("ensemble_weights", """, r AS (SELECT model, 1 / sqrt(avg((y_true - y_pred) * (y_true - y_pred))) AS s FROM predictions GROUP BY 1) SELECT model, s / sum(s) OVER () AS weight FROM r""", P, r6="weight", stored=True)
 def _(t: Tables):
     # one row per model: weights by inverse error, scaled to sum one
     e = fc.regression_metrics(t.predictions, ["model"]).select("model", (1 / F.col("rmse")).alias("s"))

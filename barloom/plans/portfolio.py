@@ -33,7 +33,7 @@ def _(t: Tables):
 
 
 @query("align_tail", f""", a AS (SELECT symbol, ret, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS k FROM returns),
-b AS (SELECT ret AS bench, row_number() OVER (ORDER BY date DESC) AS k FROM benchmark_returns) SELECT symbol, k, ret, bench FROM a JOIN b USING (k)""", NB, r6="ret bench")
+b AS (SELECT ret AS bench, row_number() OVER (ORDER BY date DESC) AS k FROM benchmark_returns) SELECT symbol, k, ret, bench FROM a JOIN b USING (k)""", NB, r6="ret bench", stored=True)
 def _(t: Tables):
     from pyspark.sql import Window
 
@@ -71,12 +71,12 @@ pr AS (SELECT a.symbol AS symbol_a, b.symbol AS symbol_b, count(*) AS n, covar_s
   FROM rw a JOIN rw b ON a.date = b.date AND a.symbol {op} b.symbol GROUP BY 1, 2)"""
 
 
-@query("pair_self_join", PAIR.format(n=252, op="<") + " SELECT symbol_a, symbol_b, n FROM pr", "returns")
+@query("pair_self_join", PAIR.format(n=252, op="<") + " SELECT symbol_a, symbol_b, n FROM pr", "returns", stored=True)
 def _(t: Tables):
     return pairs.pairwise(t.returns, "ret", 252).select("symbol_a", "symbol_b", "n")
 
 
-@query("correlation_matrix", PAIR.format(n=252, op="<") + " SELECT symbol_a, symbol_b, n, correlation FROM pr WHERE n >= 5", "returns", r6="correlation")
+@query("correlation_matrix", PAIR.format(n=252, op="<") + " SELECT symbol_a, symbol_b, n, correlation FROM pr WHERE n >= 5", "returns", r6="correlation", stored=True)
 def _(t: Tables):
     return pairs.pairwise(t.returns, "ret", 252, min_common=5).select("symbol_a", "symbol_b", "n", "correlation")
 
@@ -85,7 +85,7 @@ def _(t: Tables):
   rank() OVER (PARTITION BY a.symbol, b.symbol ORDER BY a.ret) + (count(*) OVER (PARTITION BY a.symbol, b.symbol, a.ret) - 1) / 2.0 AS ra,
   rank() OVER (PARTITION BY a.symbol, b.symbol ORDER BY b.ret) + (count(*) OVER (PARTITION BY a.symbol, b.symbol, b.ret) - 1) / 2.0 AS rb
   FROM rw a JOIN rw b ON a.date = b.date AND a.symbol < b.symbol)
-SELECT symbol_a, symbol_b, corr(ra, rb) AS correlation FROM j GROUP BY 1, 2 HAVING count(*) >= 5""", "returns", r6="correlation")
+SELECT symbol_a, symbol_b, corr(ra, rb) AS correlation FROM j GROUP BY 1, 2 HAVING count(*) >= 5""", "returns", r6="correlation", stored=True)
 def _(t: Tables):
     return pairs.pairwise(t.returns, "ret", 252, "spearman", min_common=5, block=64).select("symbol_a", "symbol_b", "correlation")
 
@@ -93,25 +93,25 @@ def _(t: Tables):
 @query("correlation_kendall", PAIR.format(n=252, op="<") + """, j AS (SELECT a.symbol AS symbol_a, b.symbol AS symbol_b, a.date, a.ret AS x, b.ret AS y FROM rw a JOIN rw b ON a.date = b.date AND a.symbol < b.symbol),
 k AS (SELECT p.symbol_a, p.symbol_b, sum(sign(p.x - q.x) * sign(p.y - q.y)) AS num, sum(abs(sign(p.x - q.x))) AS dx, sum(abs(sign(p.y - q.y))) AS dy, count(DISTINCT p.date) AS n
   FROM j p JOIN j q ON p.symbol_a = q.symbol_a AND p.symbol_b = q.symbol_b GROUP BY 1, 2)
-SELECT symbol_a, symbol_b, num / sqrt(dx::DOUBLE * dy) AS correlation FROM k WHERE n >= 5""", "returns", r6="correlation")
+SELECT symbol_a, symbol_b, num / sqrt(dx::DOUBLE * dy) AS correlation FROM k WHERE n >= 5""", "returns", r6="correlation", stored=True)
 def _(t: Tables):
     return pairs.pairwise(t.returns, "ret", 252, "kendall", min_common=5, block=64).select("symbol_a", "symbol_b", "correlation")
 
 
 @query("price_correlation", """, ld AS (SELECT DISTINCT date FROM bars ORDER BY date DESC LIMIT 252), rw AS (SELECT * FROM bars JOIN ld USING (date))
 SELECT a.symbol AS symbol_a, b.symbol AS symbol_b, corr(a.close, b.close) AS correlation FROM rw a JOIN rw b ON a.date = b.date AND a.symbol < b.symbol GROUP BY 1, 2 HAVING count(*) >= 5""",
-       "bars", r6="correlation")
+       "bars", r6="correlation", stored=True)
 def _(t: Tables):
     return pairs.pairwise(t.bars, "close", 252, min_common=5).select("symbol_a", "symbol_b", "correlation")
 
 
-@query("covariance_matrix", PAIR.format(n=252, op="<=") + " SELECT symbol_a, symbol_b, covariance * 252 AS covariance FROM pr WHERE n >= 5", "returns", r6="covariance")
+@query("covariance_matrix", PAIR.format(n=252, op="<=") + " SELECT symbol_a, symbol_b, covariance * 252 AS covariance FROM pr WHERE n >= 5", "returns", r6="covariance", stored=True)
 def _(t: Tables):
     df = pairs.pairwise(t.returns, "ret", 252, diagonal=True, min_common=5)
     return df.select("symbol_a", "symbol_b", (F.col("covariance") * 252).alias("covariance"))
 
 
-@query("find_pairs", PAIR.format(n=252, op="<") + " SELECT symbol_a, symbol_b, correlation, n FROM pr WHERE n >= 5 AND correlation > 0.6", "returns", r6="correlation")
+@query("find_pairs", PAIR.format(n=252, op="<") + " SELECT symbol_a, symbol_b, correlation, n FROM pr WHERE n >= 5 AND correlation > 0.6", "returns", r6="correlation", stored=True)
 def _(t: Tables):
     return pairs.find_pairs(t.returns, 0.6, 252, 5)
 
@@ -125,7 +125,7 @@ def _(t: Tables):
     return pf.normalize_weights(raw)
 
 
-@query("portfolio_returns", "SELECT symbol AS portfolio_id, date, ret FROM portfolio_series", PS, r9="ret")
+@query("portfolio_returns", "SELECT symbol AS portfolio_id, date, ret FROM portfolio_series", PS, r9="ret", stored=True)
 def _(t: Tables):
     return pf.portfolio_returns(t.returns, t.weights)
 
@@ -135,7 +135,7 @@ PM = f""", {dd_cte(PS)}, pm AS (SELECT symbol AS portfolio_id, avg(ret) * 252 AS
 PMC = "mean_return volatility max_drawdown total_return sharpe_ratio"
 
 
-@query("portfolio_metrics", f"{PM} SELECT * FROM pm", PS, r6=PMC)
+@query("portfolio_metrics", f"{PM} SELECT * FROM pm", PS, r6=PMC, stored=True)
 def _(t: Tables):
     return pf.portfolio_metrics(pf.portfolio_returns(t.returns, t.weights))
 
@@ -150,7 +150,7 @@ rk AS (SELECT portfolio_id, symbol, weight, beta, marginal_contribution, weight
 
 
 @query("portfolio_risk", f"{RISK} SELECT * FROM rk", f"{PS} benchmark_returns",
-       r6="weight beta marginal_contribution component_contribution percent_contribution volatility diversification_ratio")
+       r6="weight beta marginal_contribution component_contribution percent_contribution volatility diversification_ratio", stored=True)
 def _(t: Tables):
     return pf.portfolio_risk(t.returns, t.weights, t.benchmark)
 
@@ -161,7 +161,7 @@ i AS (SELECT *, row_number() OVER ({W}) - sum((drawdown < 0)::INT) {RP} AS isl F
 p AS (SELECT symbol, avg(len) AS drawdown_duration FROM g GROUP BY 1), d AS (SELECT symbol, min(drawdown) * 100 AS max_drawdown, avg(CASE WHEN drawdown < 0 THEN drawdown * 100 END) AS avg_drawdown FROM dd GROUP BY 1),
 r AS (SELECT portfolio_id AS symbol, max(volatility) AS volatility, max(diversification_ratio) AS diversification_ratio FROM rk GROUP BY 1)
 SELECT symbol AS portfolio_id, * EXCLUDE (symbol) FROM r JOIN cv USING (symbol) JOIN d USING (symbol) JOIN p USING (symbol)""", f"{PS} benchmark_returns",
-       r6="volatility diversification_ratio var_95 cvar_95 max_drawdown avg_drawdown drawdown_duration")
+       r6="volatility diversification_ratio var_95 cvar_95 max_drawdown avg_drawdown drawdown_duration", stored=True)
 def _(t: Tables):
     return pf.portfolio_risk_report(t.returns, t.weights, t.benchmark)
 
@@ -182,13 +182,13 @@ def named(t: Tables):
   UNION ALL SELECT symbol, 'tech_bubble', CASE WHEN name LIKE '%tech%' THEN -0.25 ELSE -0.05 END FROM nm
   UNION ALL SELECT symbol, 'recession', CASE WHEN name LIKE '%equity%' THEN -0.20 WHEN name LIKE '%bond%' THEN 0.05 ELSE -0.10 END FROM nm)
 SELECT portfolio_id, scenario, sum(weight * shock) * 100 AS portfolio_impact, arg_max(symbol, (abs(shock), -symbol)) AS worst_asset, arg_max(shock, (abs(shock), -symbol)) AS worst_shock
-FROM weights JOIN sc USING (symbol) GROUP BY 1, 2""", "weights securities", r6="portfolio_impact")
+FROM weights JOIN sc USING (symbol) GROUP BY 1, 2""", "weights securities", r6="portfolio_impact", stored=True)
 def _(t: Tables):
     return pf.scenario_stress(t.weights, named(t))
 
 
 @query("historical_stress", """, d AS (SELECT symbol, min(ret) AS lo, max(ret) AS hi FROM returns GROUP BY 1)
-SELECT portfolio_id, sum(weight * lo) * 100 AS worst_day_impact, sum(weight * hi) * 100 AS best_day_impact FROM weights JOIN d USING (symbol) GROUP BY 1""", "returns weights", r6="worst_day_impact best_day_impact")
+SELECT portfolio_id, sum(weight * lo) * 100 AS worst_day_impact, sum(weight * hi) * 100 AS best_day_impact FROM weights JOIN d USING (symbol) GROUP BY 1""", "returns weights", r6="worst_day_impact best_day_impact", stored=True)
 def _(t: Tables):
     return pf.historical_stress(t.returns, t.weights)
 
@@ -211,7 +211,7 @@ def totals(t: Tables):
 
 
 @query("attribution", f""", {TOT} SELECT portfolio_id, symbol, weight, ret, weight * ret AS contribution, sum(weight * ret) OVER (PARTITION BY portfolio_id) AS total_return,
-  weight * ret / sum(weight * ret) OVER (PARTITION BY portfolio_id) AS attribution FROM weights JOIN tot USING (symbol)""", "weights", r6="ret total_return attribution", r9="weight contribution")
+  weight * ret / sum(weight * ret) OVER (PARTITION BY portfolio_id) AS attribution FROM weights JOIN tot USING (symbol)""", "weights", r6="ret total_return attribution", r9="weight contribution", stored=True)
 def _(t: Tables):
     return pf.attribution(t.weights, totals(t))
 
@@ -219,7 +219,7 @@ def _(t: Tables):
 @query("self_assess_benchmark", """, j AS (SELECT p.symbol AS portfolio_id, p.ret, b.ret AS bench FROM portfolio_series p JOIN benchmark_returns b USING (date)),
 a AS (SELECT portfolio_id, exp(sum(ln(1 + ret))) - 1 AS total_return, avg(ret) / stddev_samp(ret) * sqrt(252) AS sharpe, exp(sum(ln(1 + bench))) - 1 AS benchmark_return,
   avg(bench) / stddev_samp(bench) * sqrt(252) AS benchmark_sharpe, covar_samp(ret, bench) / var_samp(bench) AS beta, stddev_pop(ret - bench) AS tracking_error, avg(ret) AS m, avg(bench) AS b FROM j GROUP BY 1)
-SELECT * EXCLUDE (m, b), (m - beta * b) * 252 AS alpha FROM a""", f"{PS} benchmark_returns", r6="total_return sharpe benchmark_return benchmark_sharpe beta tracking_error alpha")
+SELECT * EXCLUDE (m, b), (m - beta * b) * 252 AS alpha FROM a""", f"{PS} benchmark_returns", r6="total_return sharpe benchmark_return benchmark_sharpe beta tracking_error alpha", stored=True)
 def _(t: Tables):
     return pf.self_assess_benchmark(s.with_benchmark(t.portfolio_series, t.benchmark))
 
@@ -233,28 +233,28 @@ def target_current(t: Tables):
             t.holdings.select("symbol", (F.col("quantity") * F.col("current_price")).alias("value")))
 
 
-@query("rebalance_outer", f", {TC} SELECT * FROM ro", "weights holdings", r9="target_weight")
+@query("rebalance_outer", f", {TC} SELECT * FROM ro", "weights holdings", r9="target_weight", stored=True)
 def _(t: Tables):
     return pf.rebalance_outer(*target_current(t))
 
 
 @query("rebalance_trades", f""", {TC}, x AS (SELECT *, sum(current_value) OVER () AS tv FROM ro)
 SELECT symbol, target_weight, current_value, current_value / tv AS current_weight, tv * target_weight - current_value AS trade FROM x WHERE abs(tv * target_weight - current_value) >= 100""",
-       "weights holdings", r9="target_weight current_weight", r4="trade")
+       "weights holdings", r9="target_weight current_weight", r4="trade", stored=True)
 def _(t: Tables):
     return pf.rebalance_trades(*target_current(t))
 
 
 @query("rebalance_actions", """, w AS (SELECT symbol, balance / sum(balance) OVER () AS target FROM securities), c AS (SELECT symbol, weight AS current FROM weights WHERE portfolio_id = 1),
 d AS (SELECT symbol, current, coalesce(target, 0) AS target, coalesce(target, 0) - current AS difference FROM c LEFT JOIN w USING (symbol))
-SELECT *, CASE WHEN difference > 0 THEN 'buy' ELSE 'sell' END AS action, abs(difference) AS amount FROM d WHERE abs(difference) > 0.005""", "weights securities", r9="current target difference amount")
+SELECT *, CASE WHEN difference > 0 THEN 'buy' ELSE 'sell' END AS action, abs(difference) AS amount FROM d WHERE abs(difference) > 0.005""", "weights securities", r9="current target difference amount", stored=True)
 def _(t: Tables):
     raw = t.securities.select(F.lit(1).alias("portfolio_id"), "symbol", F.col("balance").alias("weight"))
     return pf.rebalance_actions(t.weights.where("portfolio_id = 1"), pf.normalize_weights(raw), 0.005)
 
 
 @query("recommend_equal", f"""{PM} SELECT * EXCLUDE (portfolio_id), 'moderate' AS risk_tolerance, 0.15::DOUBLE AS target_volatility, (SELECT max(weight) FROM weights WHERE portfolio_id = 1) AS weight,
-  (SELECT count(DISTINCT symbol) FROM returns) AS assets FROM pm WHERE portfolio_id = 1""", PS, r6=PMC)
+  (SELECT count(DISTINCT symbol) FROM returns) AS assets FROM pm WHERE portfolio_id = 1""", PS, r6=PMC, stored=True)
 def _(t: Tables):
     return pf.recommend_equal(t.returns)
 
@@ -264,7 +264,7 @@ b AS (SELECT portfolio_id, CAST(asset_count AS BIGINT) AS asset_count, max_weigh
   CASE WHEN volatility > 0.25 THEN 3 WHEN max_drawdown < -0.25 THEN 4 ELSE 7 END AS risk_score, 0 AS liquidity_score FROM a JOIN pm USING (portfolio_id))
 SELECT *, (diversification_score + risk_score) / 3 AS overall_score, concat_ws('; ', CASE WHEN asset_count < 5 THEN 'Consider adding more assets to improve diversification'
   WHEN max_weight > 0.25 THEN 'Portfolio has concentrated positions, consider rebalancing' END, CASE WHEN volatility > 0.25 THEN 'Portfolio volatility is high, consider reducing risk'
-  WHEN max_drawdown < -0.25 THEN 'Portfolio has high drawdown risk, consider adding hedges' END) AS recommendations FROM b""", PS, r6="max_weight volatility max_drawdown overall_score")
+  WHEN max_drawdown < -0.25 THEN 'Portfolio has high drawdown risk, consider adding hedges' END) AS recommendations FROM b""", PS, r6="max_weight volatility max_drawdown overall_score", stored=True)
 def _(t: Tables):
     return pf.assess_scores(t.weights, pf.portfolio_metrics(pf.portfolio_returns(t.returns, t.weights)))
 
@@ -273,26 +273,26 @@ EXP = """, ex AS (SELECT portfolio_id, 'sector' AS kind, sector AS label, sum(we
 UNION ALL SELECT portfolio_id, 'asset_class', asset_class, sum(weight) FROM weights JOIN securities USING (symbol) GROUP BY 1, 3)"""
 
 
-@query("exposures", f"{EXP} SELECT * FROM ex", "weights securities", r9="exposure")
+@query("exposures", f"{EXP} SELECT * FROM ex", "weights securities", r9="exposure", stored=True)
 def _(t: Tables):
     return pf.exposures(t.weights, t.securities)
 
 
-@query("exposure_limits", f"{EXP} SELECT *, CASE WHEN exposure > 0.235 THEN 'over' ELSE 'under' END AS status FROM ex WHERE exposure > 0.235 OR exposure < 0.015", "weights securities", r9="exposure")
+@query("exposure_limits", f"{EXP} SELECT *, CASE WHEN exposure > 0.235 THEN 'over' ELSE 'under' END AS status FROM ex WHERE exposure > 0.235 OR exposure < 0.015", "weights securities", r9="exposure", stored=True)
 def _(t: Tables):
     return pf.exposure_limits(pf.exposures(t.weights, t.securities), 0.235, 0.015)
 
 
 @query("allocation", """, v AS (SELECT symbol, sector, asset_class, quantity * current_price AS value, sum(quantity * current_price) OVER () AS tv FROM holdings JOIN securities USING (symbol)),
 u AS (SELECT 'symbol' AS kind, CAST(symbol AS VARCHAR) AS label, value, tv FROM v UNION ALL SELECT 'sector', sector, value, tv FROM v UNION ALL SELECT 'asset_class', asset_class, value, tv FROM v)
-SELECT kind, label, sum(value) AS value, sum(value) / any_value(tv) * 100 AS share FROM u GROUP BY 1, 2""", "holdings securities", r4="value", r6="share")
+SELECT kind, label, sum(value) AS value, sum(value) / any_value(tv) * 100 AS share FROM u GROUP BY 1, 2""", "holdings securities", r4="value", r6="share", stored=True)
 def _(t: Tables):
     return pf.allocation(t.holdings, t.securities)
 
 
 @query("holdings_pnl", """, h AS (SELECT symbol, quantity * purchase_price AS cost_basis, quantity * current_price AS current_value, CAST(DATE '2024-01-01' - purchase_date AS INTEGER) AS days_held FROM holdings
 UNION ALL SELECT NULL, sum(quantity * purchase_price), sum(quantity * current_price), NULL FROM holdings)
-SELECT *, current_value - cost_basis AS gain_loss, (current_value - cost_basis) / cost_basis * 100 AS gain_loss_pct FROM h""", "holdings", r4="cost_basis current_value gain_loss", r6="gain_loss_pct")
+SELECT *, current_value - cost_basis AS gain_loss, (current_value - cost_basis) / cost_basis * 100 AS gain_loss_pct FROM h""", "holdings", r4="cost_basis current_value gain_loss", r6="gain_loss_pct", stored=True)
 def _(t: Tables):
     return pf.holdings_pnl(t.holdings, F.lit("2024-01-01").cast("date"))
 
@@ -311,7 +311,7 @@ def _(t: Tables):
 
 @query("cumulative_vs_benchmark", f""", j AS (SELECT p.symbol, p.date, p.ret, coalesce(b.ret, 0) AS bench FROM portfolio_series p LEFT JOIN benchmark_returns b USING (date)),
 c AS (SELECT symbol, date, exp(sum(ln(1 + ret)) {RP}) AS c, exp(sum(ln(1 + bench)) {RP}) - 1 AS benchmark_cumulative FROM j)
-SELECT symbol AS portfolio_id, date, c - 1 AS cumulative, benchmark_cumulative, c / max(c) {RP} - 1 AS drawdown FROM c""", f"{PS} benchmark_returns", r6="cumulative benchmark_cumulative drawdown")
+SELECT symbol AS portfolio_id, date, c - 1 AS cumulative, benchmark_cumulative, c / max(c) {RP} - 1 AS drawdown FROM c""", f"{PS} benchmark_returns", r6="cumulative benchmark_cumulative drawdown", stored=True)
 def _(t: Tables):
     port = pf.portfolio_returns(t.returns, t.weights)
     return pf.cumulative_vs_benchmark(port, t.benchmark)
@@ -319,23 +319,23 @@ def _(t: Tables):
 
 @query("predicted_portfolio", """, f AS (SELECT symbol, arg_max(y_true, date) AS current_price, arg_max(y_pred, date) AS predicted_price FROM predictions WHERE model = 'mean5' GROUP BY 1),
 a AS (SELECT portfolio_id, sum(weight * current_price) AS current_value, sum(weight * predicted_price) AS predicted_value FROM weights JOIN f USING (symbol) GROUP BY 1)
-SELECT *, (predicted_value - current_value) / current_value AS predicted_return FROM a""", "weights predictions", r4="current_value predicted_value", r6="predicted_return")
+SELECT *, (predicted_value - current_value) / current_value AS predicted_return FROM a""", "weights predictions", r4="current_value predicted_value", r6="predicted_return", stored=True)
 def _(t: Tables):
     f = t.predictions.where("model = 'mean5'").groupBy("symbol").agg(F.max_by("y_true", "date").alias("current_price"), F.max_by("y_pred", "date").alias("predicted_price"))
     return pf.predicted_portfolio(t.weights, f)
 
 
-@query("weight_search")
+@query("weight_search", stored=True)
 def _(t: Tables):
     return pf.weight_search(pf.candidate_moments(t.returns), target_return=0.1, target_volatility=0.5)
 
 
-@query("efficient_frontier")
+@query("efficient_frontier", stored=True)
 def _(t: Tables):
     return pf.efficient_frontier(pf.candidate_moments(t.returns))
 
 
-@query("capital_market_line")
+@query("capital_market_line", stored=True)
 def _(t: Tables):
     return pf.capital_market_line(pf.weight_search(pf.candidate_moments(t.returns)), 0.02)
 
@@ -348,13 +348,13 @@ a AS (SELECT symbol, corr(ret, t) AS correlation, count(t) AS n, avg(ret) AS mea
   FROM i LEFT JOIN tg USING (i) WHERE symbol <> {TGT} GROUP BY 1 HAVING count(t) = (SELECT count(*) FROM tg) ORDER BY abs(correlation) DESC, symbol LIMIT 5)"""
 
 
-@query("peer_compare", f"{PEER} SELECT * FROM a", "returns", r6="correlation mean_return volatility beta")
+@query("peer_compare", f"{PEER} SELECT * FROM a", "returns", r6="correlation mean_return volatility beta", stored=True)
 def _(t: Tables):
     first = t.returns.agg(F.min("symbol")).scalar()
     return peers.peer_compare(t.returns, first).drop("p_value", "significance")
 
 
-@query("peer_significance")
+@query("peer_significance", stored=True)
 def _(t: Tables):
     first = t.returns.agg(F.min("symbol")).scalar()
     return peers.peer_compare(t.returns, first).select("symbol", "correlation", "n", F.round("p_value", 9).alias("p_value"), "significance")
@@ -365,7 +365,7 @@ a AS (SELECT symbol, corr(ret, t) AS correlation, count(*) AS n, covar_samp(ret,
 z AS (SELECT symbol, sum(volume * close) AS size FROM bars GROUP BY 1),
 b AS (SELECT a.*, size / (SELECT size FROM z WHERE symbol = {TGT}) AS relative_size FROM a JOIN z USING (symbol))
 SELECT *, 0.5 * (abs(correlation) + 1) / 2 + 0.3 * (1 - least(abs(beta - 1), 1)) + 0.2 * (1 - least(abs(log10(relative_size)), 1)) AS similarity_score FROM b ORDER BY similarity_score DESC, symbol LIMIT 5""",
-       "returns", r6="correlation beta mean_return volatility relative_size similarity_score")
+       "returns", r6="correlation beta mean_return volatility relative_size similarity_score", stored=True)
 def _(t: Tables):
     first = t.returns.agg(F.min("symbol")).scalar()
     size = t.bars.groupBy("symbol").agg(F.sum(F.col("volume") * F.col("close")).alias("size"))
@@ -483,7 +483,7 @@ def quality_rank(facts):
     return df.withColumn("recommendation", label)
 
 
-@query("union_symbols", "SELECT symbol, date, close, volume, CAST(NULL AS DOUBLE) AS ret FROM bars UNION ALL SELECT symbol, date, NULL, NULL, ret FROM returns", "returns", r6="ret")
+@query("union_symbols", "SELECT symbol, date, close, volume, CAST(NULL AS DOUBLE) AS ret FROM bars UNION ALL SELECT symbol, date, NULL, NULL, ret FROM returns", "returns", r6="ret", stored=True)
 def _(t: Tables):
     return t.bars.select("symbol", "date", "close", "volume").unionByName(t.returns, allowMissingColumns=True)
 

@@ -110,13 +110,13 @@ def _(t: Tables):
     return readers.symbol_search(t.securities, "Supplier#00000001")
 
 
-@query("read_through", "SELECT * FROM bars", B)
+@query("read_through", "SELECT * FROM bars", B, stored=True)
 def _(t: Tables):
     return readers.read_through(t.bars.where("date < '1998-01-01'"), t.bars, ["symbol", "date"])
 
 
 @query("upsert_bars", """SELECT symbol, date, open, high, low, CASE WHEN date >= DATE '1998-01-01' THEN close * 2 ELSE close END AS close, volume,
-  CASE WHEN date >= DATE '1998-01-01' THEN TIMESTAMP '2024-01-02 00:00:00' END AS updated_at FROM bars""", B)
+  CASE WHEN date >= DATE '1998-01-01' THEN TIMESTAMP '2024-01-02 00:00:00' END AS updated_at FROM bars""", B, stored=True)
 def _(t: Tables):
     newer = t.bars.where("date >= '1998-01-01'").withColumn("close", F.col("close") * 2)
     return upsert.upsert(t.bars, newer, ["symbol", "date"], F.lit("2024-01-02 00:00:00").cast("timestamp_ntz")).select(*BAR_ORDER, "updated_at")
@@ -124,7 +124,7 @@ def _(t: Tables):
 
 @query("upsert_indicators", f""", i AS (SELECT symbol, date, {roll('avg', 'close', 20)} AS sma_20, {roll('avg', 'close', 50)} AS sma_50 FROM bars)
 SELECT symbol, 'sma_20' AS indicator, date, CASE WHEN date >= DATE '1998-01-01' THEN -1 ELSE sma_20 END AS value FROM i WHERE sma_20 IS NOT NULL
-UNION ALL SELECT symbol, 'sma_50', date, CASE WHEN date >= DATE '1998-01-01' THEN -1 ELSE sma_50 END FROM i WHERE sma_50 IS NOT NULL""", B, r4="value")
+UNION ALL SELECT symbol, 'sma_50', date, CASE WHEN date >= DATE '1998-01-01' THEN -1 ELSE sma_50 END FROM i WHERE sma_50 IS NOT NULL""", B, r4="value", stored=True)
 def _(t: Tables):
     long = upsert.indicators_long(ind.sma(ind.sma(t.bars, 20), 50), ["sma_20", "sma_50"])
     newer = long.where("date >= '1998-01-01'").withColumn("value", F.lit(-1.0))
@@ -155,9 +155,9 @@ def _(t: Tables):
 
 
 @query("ingest_all", f"""SELECT 'bars' AS dataset, count(*) AS rows FROM bars UNION ALL SELECT 'company', count(*) FROM securities
-UNION ALL SELECT 'indicators', count(*) FROM (SELECT {roll('avg', 'close', 20)} AS s FROM bars) WHERE s IS NOT NULL""", "bars securities")
+UNION ALL SELECT 'indicators', count(*) FROM (SELECT {roll('avg', 'close', 20)} AS s FROM bars) WHERE s IS NOT NULL""", "bars securities", stored=True)
 def _(t: Tables):
-    bars = t.spark.read.parquet(saved(t, t.bars, "bars"))
+    bars = t.bars
     parts = {"bars": bars, "company": t.spark.read.parquet(saved(t, t.securities, "company")),
              "indicators": t.spark.read.parquet(saved(t, upsert.indicators_long(ind.sma(bars, 20), ["sma_20"]), "indicators"))}
     out = None
@@ -191,7 +191,7 @@ def _(t: Tables):
 
 
 @query("dataset_version_diff", """SELECT count(*) AS rows_old, count_if(volume >= 20) AS rows_new, 0::BIGINT AS rows_added, count_if(volume < 20) AS rows_removed,
-  count_if(volume >= 20 AND close > 100) AS rows_changed, 'ret' AS columns_added, 'open' AS columns_removed FROM bars""", B)
+  count_if(volume >= 20 AND close > 100) AS rows_changed, 'ret' AS columns_added, 'open' AS columns_removed FROM bars""", B, stored=True)
 def _(t: Tables):
     new = t.bars.where("volume >= 20").drop("open").withColumns({"ret": F.lit(0.0), "high": F.when(F.col("close") > 100, F.col("high") + 1).otherwise(F.col("high"))})
     return readers.dataset_version_diff(t.bars, new, ["symbol", "date"])

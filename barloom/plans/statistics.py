@@ -40,7 +40,7 @@ SELECT *, last / lag(last) OVER (PARTITION BY symbol ORDER BY period) - 1 AS ret
 
 
 @query("resample_returns", """SELECT symbol, CAST(date_trunc('month', date) AS DATE) AS period, exp(sum(ln(1 + ret))) - 1 AS compound, sum(ret) AS total
-FROM returns GROUP BY 1, 2""", "returns", r6="compound total")
+FROM returns GROUP BY 1, 2""", "returns", r6="compound total", stored=True)
 def _(t: Tables):
     a = s.resample_returns(t.returns).withColumnRenamed("ret", "compound")
     return a.join(s.resample_returns(t.returns, method="sum").withColumnRenamed("ret", "total"), ["symbol", "period"])
@@ -54,7 +54,7 @@ def cal(unit: str, label: str) -> str:
 
 @query("performance_calendar", f"""{cal('quarter', "'Q' || quarter(p) || ' ' || year(p)")} UNION ALL {cal('year', "CAST(year(p) AS VARCHAR)")}
 UNION ALL SELECT symbol, 'month_cumulative', strftime(p, '%Y-%m'), l / first(f) OVER (PARTITION BY symbol ORDER BY p) - 1 FROM (
-  SELECT symbol, date_trunc('month', date) AS p, arg_max(close, date) AS l, arg_min(close, date) AS f FROM bars GROUP BY 1, 2)""", "bars", r6="value")
+  SELECT symbol, date_trunc('month', date) AS p, arg_max(close, date) AS l, arg_min(close, date) AS f FROM bars GROUP BY 1, 2)""", "bars", r6="value", stored=True)
 def _(t: Tables):
     return s.performance_calendar(t.bars)
 
@@ -128,20 +128,20 @@ p AS (SELECT symbol, avg(len) AS avg_duration, avg(CASE WHEN NOT open THEN len E
 d AS (SELECT symbol, min(drawdown) * 100 AS max_drawdown, coalesce(avg(CASE WHEN drawdown < 0 THEN drawdown * 100 END), 0) AS avg_drawdown FROM dd GROUP BY 1)
 SELECT symbol, max_drawdown, avg_drawdown, coalesce(avg_duration, 0) AS avg_duration, coalesce(avg_recovery, 0) AS avg_recovery,
   coalesce(coalesce(avg_recovery, 0) / nullif(avg_duration, 0), 0) AS recovery_ratio FROM d LEFT JOIN p USING (symbol)""", "returns",
-       r6="max_drawdown avg_drawdown avg_duration avg_recovery recovery_ratio")
+       r6="max_drawdown avg_drawdown avg_duration avg_recovery recovery_ratio", stored=True)
 def _(t: Tables):
     return s.drawdown_profile(t.returns)
 
 
 @query("align_inner_benchmark", """SELECT r.symbol, r.date, r.ret, b.ret AS bench FROM returns r JOIN benchmark_returns b USING (date)
-QUALIFY count(*) OVER (PARTITION BY r.symbol) >= 30""", "benchmark_returns", r6="ret bench")
+QUALIFY count(*) OVER (PARTITION BY r.symbol) >= 30""", "benchmark_returns", r6="ret bench", stored=True)
 def _(t: Tables):
     return s.with_benchmark(t.returns, t.benchmark, 30)
 
 
 @query("beta", """, p AS (SELECT r.symbol, r.ret, b.ret AS bench, row_number() OVER (PARTITION BY r.symbol ORDER BY r.date DESC) AS k FROM returns r JOIN benchmark_returns b USING (date))
 SELECT symbol, CASE WHEN count(*) >= 30 THEN covar_samp(ret, bench) / var_samp(bench) ELSE 0 END AS beta, count(*) AS n_common FROM p WHERE k <= 252 GROUP BY symbol""",
-       "benchmark_returns", r6="beta")
+       "benchmark_returns", r6="beta", stored=True)
 def _(t: Tables):
     return s.beta(t.returns, t.benchmark)
 
@@ -150,12 +150,12 @@ AB = """SELECT symbol, beta, (m - (0.02 / 252 + beta * (mb - 0.02 / 252))) * 252
   SELECT r.symbol, covar_samp(r.ret, b.ret) / var_samp(b.ret) AS beta, avg(r.ret) AS m, avg(b.ret) AS mb FROM {src} r JOIN benchmark_returns b USING (date) GROUP BY 1)"""
 
 
-@query("alpha", f"SELECT symbol, alpha FROM ({AB.format(src='returns')})", "benchmark_returns", r6="alpha")
+@query("alpha", f"SELECT symbol, alpha FROM ({AB.format(src='returns')})", "benchmark_returns", r6="alpha", stored=True)
 def _(t: Tables):
     return s.alpha(s.with_benchmark(t.returns, t.benchmark), 0.02).select("symbol", "alpha")
 
 
-@query("alpha_beta", AB.format(src="portfolio_series"), "benchmark_returns portfolio_series", r6="alpha beta")
+@query("alpha_beta", AB.format(src="portfolio_series"), "benchmark_returns portfolio_series", r6="alpha beta", stored=True)
 def _(t: Tables):
     return s.alpha(s.with_benchmark(t.portfolio_series, t.benchmark), 0.02)
 
@@ -225,13 +225,13 @@ c AS (SELECT *, pow(1 + total_return, 252.0 / periods) - 1 AS annualized_return
 SELECT * EXCLUDE (bt, bn), annualized_return / annualized_volatility AS return_risk_ratio, annualized_return - beta * (pow(1 + bt, 252.0 / bn) - 1) AS alpha,
   correlation * correlation AS r_squared, annualized_return / beta AS treynor_ratio FROM c""", "portfolio_series benchmark_returns",
        r6="""total_return annualized_volatility sharpe_ratio sortino_ratio downside_risk var_95 var_99 cvar_95 positive_periods negative_periods best_period
-       worst_period skewness kurtosis beta information_ratio tracking_error correlation annualized_return return_risk_ratio alpha r_squared treynor_ratio max_drawdown""")
+       worst_period skewness kurtosis beta information_ratio tracking_error correlation annualized_return return_risk_ratio alpha r_squared treynor_ratio max_drawdown""", stored=True)
 def _(t: Tables):
     return s.portfolio_statistics(t.portfolio_series, t.benchmark)
 
 
 @query("portfolio_moments", f"""SELECT symbol AS portfolio_id, avg(ret) AS mean, var_samp(ret) AS variance, stddev_samp(ret) AS volatility, {skew('ret')} AS skewness, {kurt('ret')} AS kurtosis
-FROM portfolio_series GROUP BY symbol""", "portfolio_series", r6="mean volatility skewness kurtosis", r9="variance")
+FROM portfolio_series GROUP BY symbol""", "portfolio_series", r6="mean volatility skewness kurtosis", r9="variance", stored=True)
 def _(t: Tables):
     return s.portfolio_moments(t.portfolio_series).withColumnRenamed("symbol", "portfolio_id")
 

@@ -299,7 +299,7 @@ def _(t: Tables):
     return rt.retrieval_report(found(t), times)
 
 
-@query("text_report", f"""{PM} SELECT portfolio_id, 'Portfolio ' || portfolio_id || ': return ' || printf('%.2f%%', total_return * 100) || ', volatility ' || printf('%.2f%%', volatility * 100) || ', Sharpe ' || printf('%.2f', sharpe_ratio) || ', worst fall ' || printf('%.2f%%', max_drawdown * 100) AS report FROM pm""", PS)
+@query("text_report", f"""{PM} SELECT portfolio_id, 'Portfolio ' || portfolio_id || ': return ' || printf('%.2f%%', total_return * 100) || ', volatility ' || printf('%.2f%%', volatility * 100) || ', Sharpe ' || printf('%.2f', sharpe_ratio) || ', worst fall ' || printf('%.2f%%', max_drawdown * 100) AS report FROM pm""", PS, stored=True)
 def _(t: Tables):
     m = pf.portfolio_metrics(pf.portfolio_returns(t.returns, t.weights))
     return rt.text_report(m, F.concat(F.lit("Portfolio "), F.col("portfolio_id").cast("string")))

@@ -25,18 +25,20 @@ def _names(text: str) -> list[str]:
     return text.split()
 
 
-def query(name: str, sql: str | None = None, ctes: str = "", r6: str = "", r4: str = "", r9: str = ""):
+def query(name: str, sql: str | None = None, ctes: str = "", r6: str = "", r4: str = "", r9: str = "", stored: bool = False):
     """Register a plan over the test tables.
 
     ``r6`` and ``r4`` list the double columns rounded to 6 or 4 places on both sides, so that the two
     engines may add in a different order.  A ``sql`` that starts with a comma adds its own CTEs after
-    the shared ones named in ``ctes``.
+    the shared ones named in ``ctes``.  ``stored`` is for plans that pass over the bars several times: the bars
+    are then written once and read back.
     """
     digits = {c: 6 for c in _names(r6)} | {c: 4 for c in _names(r4)} | {c: 9 for c in _names(r9)}
 
     def wrap(fn: Callable[[Tables], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            df = fn(Tables(spark, sf_dir))
+            tables = Tables(spark, sf_dir)
+            df = fn(tables.store() if stored else tables)
             if not digits:
                 return df
             return df.select(*[F.round(c, digits[c]).alias(c) if c in digits else F.col(c) for c in df.columns])

@@ -73,6 +73,11 @@ class Tables:
         """Bars written once to the shared folder, for operators that pass over their input several times."""
         return materialize(self.bars, "bars")
 
+    def store(self) -> Tables:
+        """Lets every later table of this object start from the stored bars."""
+        self.__dict__["bars"] = self.stored_bars
+        return self
+
     @cached_property
     def returns(self) -> DataFrame:
         ret = F.col("close") / F.lag("close").over(series()) - 1
