@@ -16,13 +16,19 @@ def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float], accuracy: i
     """
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in cols]))
     long = df.select(cells.alias("x")).select("x.name", "x.v").where("v IS NOT NULL")
-    eps = 2.0 / accuracy
-    marks = [p for q in qs for p in (max(q - eps, 0.0), min(q + eps, 1.0))]
+    # a bracket must span a few ranks, so short columns take the wide one and very short ones their whole range
+    narrow, wide = 2.0 / accuracy, 0.01
+    marks = [min(max(q + d, 0.0), 1.0) for q in qs for d in (-narrow, narrow, -wide, wide)]
     sketch = long.groupBy("name").agg(
         F.count("*").alias("n"), F.percentile_approx("v", marks, accuracy).alias("p"), F.min("v").alias("a"), F.max("v").alias("z"))
-    rows = F.explode(F.array(*[F.struct(
-        F.lit(float(q)).alias("q"), (F.col("a") if q - eps <= 0 else F.get("p", F.lit(2 * i))).alias("lo"),
-        (F.col("z") if q + eps >= 1 else F.get("p", F.lit(2 * i + 1))).alias("hi")) for i, q in enumerate(qs)]))
+
+    def edge(q: float, at: int, sign: int, end: str) -> Column:
+        def mark(width: float, place: int) -> Column:
+            return F.col(end) if not 0 < q + sign * width < 1 else F.get("p", F.lit(place))
+        return F.when(F.col("n") * narrow >= 4, mark(narrow, at)).when(F.col("n") * wide >= 4, mark(wide, at + 2)).otherwise(F.col(end))
+
+    rows = F.explode(F.array(*[F.struct(F.lit(float(q)).alias("q"), edge(q, 4 * i, -1, "a").alias("lo"), edge(q, 4 * i + 1, 1, "z").alias("hi"))
+                               for i, q in enumerate(qs)]))
     brackets = sketch.select("name", "n", rows.alias("r")).select("name", "n", "r.*")  # columns x quantiles rows
     near = long.join(F.broadcast(brackets), "name").where(F.col("v") <= F.col("hi"))
     counts = near.groupBy("name", "q", "n", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("k")).agg(F.count("*").alias("c"))

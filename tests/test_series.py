@@ -144,6 +144,15 @@ def test_exact_quantiles_with_narrow_brackets_and_ties(spark):
         assert math.isclose(v, np.quantile(x if c == "v" else -x, q), rel_tol=1e-12), (c, q)
 
 
+@pytest.mark.parametrize("n", [1, 2, 7, 399, 401, 1234, 5321])
+def test_exact_quantiles_of_short_columns(spark, n):
+    x = np.random.default_rng(n).normal(0, 1, n)
+    df = spark.createDataFrame(pd.DataFrame({"v": x})).repartition(3)
+    got = {r["q"]: r["value"] for r in exact_quantiles(df, ["v"], [0.01, 0.25, 0.5, 0.75, 0.999]).collect()}
+    for q, v in got.items():
+        assert math.isclose(v, np.quantile(x, q), rel_tol=1e-12, abs_tol=1e-12), (n, q)
+
+
 def test_row_index_with_hot_first_key(spark):
     rng = np.random.default_rng(4)
     rows = [(float(a), float(b)) for a, b in zip(np.where(rng.random(5000) < 0.4, 3.0, rng.integers(0, 900, 5000)), rng.permutation(5000))]
