@@ -126,14 +126,44 @@ def _(t: Tables):
     return tx.chunk_words(t.raw("documents").select("doc_id", "text"), "text", 100, 20).drop("text")
 
 
-@query("chunk_sentences")
+def sentence_pack(src: str, keys: str) -> str:
+    """Recursive check of greedy sentence packing (512, 128): one step per sentence of every text in ``src``."""
+    on = " AND ".join(f"sn.{k} = sr.{k}" for k in keys.split(", "))
+    own = ", ".join(f"sr.{k}" for k in keys.split(", "))
+    split = r"list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda w: w <> '')"
+    return f"""ss AS (SELECT {keys}, {split} AS s FROM {src}),
+sn AS (SELECT {keys}, CAST(unnest(generate_series(1, len(s))) AS INTEGER) AS j, unnest(s) AS p FROM ss),
+sr AS (SELECT {keys}, 0 AS j, CAST([] AS VARCHAR[]) AS cur, CAST(NULL AS VARCHAR) AS out FROM ss
+UNION ALL SELECT {keys}, j, list_append(CASE WHEN flush THEN cur[len(cur) - k + 1:] ELSE cur END, p), CASE WHEN flush THEN array_to_string(cur, ' ') END FROM (
+  SELECT {own}, sn.j, sn.p, cur, coalesce(list_sum(list_transform(cur, lambda w: length(w))), 0) + length(sn.p) > 512 AND len(cur) > 0 AS flush,
+    len(list_filter(range(1, len(cur) + 1), lambda k: list_sum(list_transform(cur[len(cur) - k + 1:], lambda w: length(w))) <= 128)) AS k
+  FROM sr JOIN sn ON {on} AND sn.j = sr.j + 1)),
+se AS (SELECT {keys}, j, out AS chunk FROM sr WHERE out IS NOT NULL
+  UNION ALL SELECT {keys}, 1000000000, array_to_string(arg_max(cur, j), ' ') FROM sr GROUP BY {keys} HAVING len(arg_max(cur, j)) > 0)"""
+
+
+NUMBERED = "CAST(row_number() OVER (PARTITION BY doc_id ORDER BY {o}) - 1 AS INTEGER) AS chunk_index, CAST(count(*) OVER (PARTITION BY doc_id) AS INTEGER) AS chunk_count, chunk"
+
+
+@query("chunk_sentences", f"WITH RECURSIVE {sentence_pack('documents', 'doc_id')} SELECT doc_id, {NUMBERED.format(o='j')} FROM se")
 def _(t: Tables):
     return tx.chunk_sentences(t.raw("documents").select("doc_id", "text"), "text").drop("text")
 
 
-@query("chunk_paragraphs")
-def _(t: Tables):
-    return tx.chunk_paragraphs(t.raw("documents").select("doc_id", "text"), "text").drop("text")
+@query("chunk_paragraphs", rf"""WITH RECURSIVE pp AS (SELECT doc_id, list_filter(list_transform(string_split_regex(replace(text, chr(10), chr(10) || chr(10)), '\n\s*\n'), lambda w: regexp_replace(w, '^\s+|\s+$', '', 'g')), lambda w: w <> '') AS ps FROM documents),
+pn AS (SELECT doc_id, CAST(unnest(generate_series(1, len(ps))) AS INTEGER) AS i, unnest(ps) AS p FROM pp), lg AS (SELECT doc_id, i, p AS text FROM pn WHERE length(p) > 512),
+{sentence_pack('lg', 'doc_id, i')}, lc AS (SELECT doc_id, i, list(chunk ORDER BY j) AS cs FROM se GROUP BY 1, 2),
+pr AS (SELECT doc_id, 0 AS i, CAST([] AS VARCHAR[]) AS cur, CAST([] AS VARCHAR[]) AS out FROM pp
+UNION ALL SELECT doc_id, i, CASE WHEN cs IS NOT NULL THEN cur WHEN flush THEN [p] ELSE list_append(cur, p) END, CASE WHEN cs IS NOT NULL THEN cs WHEN flush THEN [array_to_string(cur, chr(10) || chr(10))] ELSE [] END FROM (
+  SELECT pr.doc_id, q.i, q.p, cur, q.cs, coalesce(list_sum(list_transform(cur, lambda w: length(w))), 0) + length(q.p) > 512 AND len(cur) > 0 AS flush
+  FROM pr JOIN (SELECT pn.*, lc.cs FROM pn LEFT JOIN lc USING (doc_id, i)) q ON q.doc_id = pr.doc_id AND q.i = pr.i + 1)),
+pe AS (SELECT doc_id, i, generate_subscripts(out, 1) AS o, unnest(out) AS chunk FROM pr WHERE len(out) > 0
+  UNION ALL SELECT doc_id, 1000000000, 1, array_to_string(arg_max(cur, i), chr(10) || chr(10)) FROM pr GROUP BY 1 HAVING len(arg_max(cur, i)) > 0)
+SELECT doc_id, {NUMBERED.format(o='i, o')} FROM pe""")
+def _(t: Tables):
+    # the documents break lines once, so every line is taken as a paragraph
+    docs = t.raw("documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    return tx.chunk_paragraphs(docs, "text").drop("text")
 
 
 @query("chunk_metadata", r""", f AS (SELECT id, source, title || chr(10) || chr(10) || content AS full FROM articles), n AS (SELECT *, CASE WHEN length("full") <= 512 THEN 1 ELSE CAST(ceil((length("full") - 512) / 384.0) AS INTEGER) + 1 END AS cc FROM f),
