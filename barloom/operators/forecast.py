@@ -26,8 +26,8 @@ def training_table(bars: DataFrame, horizon: int = 5, min_rows: int = 100) -> Da
     df = bars.select("symbol", "date", "close", "volume")
     df = df.withColumns({
         "ret_1": rate("close"), "ret_5": rate("close", 5), "ret_10": rate("close", 10), "_m": roll(F.avg, "close", 20, dense=True),
-        "volume_rel": F.col("volume") / roll(F.avg, "volume", 20, dense=True), "target": F.lead("close", horizon).over(series()) / F.col("close") - 1})
-    df = df.withColumns({"to_mean": F.col("close") / F.col("_m") - 1, "vol_10": roll(F.stddev_samp, "ret_1", 10)})
+        "volume_rel": F.try_divide(F.col("volume"), roll(F.avg, "volume", 20, dense=True)), "target": F.try_divide(F.lead("close", horizon).over(series()), F.col("close")) - 1})
+    df = df.withColumns({"to_mean": F.try_divide(F.col("close"), F.col("_m")) - 1, "vol_10": roll(F.stddev_samp, "ret_1", 10)})
     df = df.drop("_m").where("target IS NOT NULL").na.drop("any")
     n = F.count("*").over(W.partitionBy("symbol"))
     return df.withColumn("_n", n).where(F.col("_n") >= min_rows).drop("_n")
@@ -234,7 +234,7 @@ def strategy_equity(preds: DataFrame, capital: float = 10000.0, cost: float = 0.
     was = F.coalesce(prev("pos", 1, w), F.lit(0))
     df = df.withColumn("step", (1 + was * F.col("r")) * F.when(F.col("pos") != was, 1 - cost).otherwise(1.0))
     df = df.withColumns({"strategy_equity": capital * F.exp(F.sum(F.ln("step")).over(all_before)),
-                         "buy_and_hold_equity": capital * F.col("y_true") / F.col("first"), "strategy_return": F.col("step") - 1})
+                         "buy_and_hold_equity": capital * F.try_divide(F.col("y_true"), F.col("first")), "strategy_return": F.col("step") - 1})
     return df.select(*MS, "date", "pos", F.col("r").alias("buy_and_hold_return"), "strategy_return", "strategy_equity", "buy_and_hold_equity")
 
 

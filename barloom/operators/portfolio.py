@@ -73,8 +73,8 @@ def portfolio_risk(returns: DataFrame, weights: DataFrame, market: DataFrame | N
     per = per.withColumn("_m", sums).withColumns({"sm": F.col("_m.sm"), "smm": F.col("_m.smm")}).drop("_m")
     per = per.join(days, "portfolio_id")
     d = F.col("d")
-    cov = lambda xy, x, y: (F.col(xy) - F.col(x) * F.col(y) / d) / (d - 1)
-    vol = F.sqrt(F.col("vp") * 252)
+    cov = lambda xy, x, y: F.try_divide(F.col(xy) - F.col(x) * F.col(y) / d, d - 1)
+    vol = F.nullif(F.sqrt(F.col("vp") * 252), F.lit(0.0))
     per = per.withColumns({"volatility": vol, "beta": F.try_divide(cov("srm", "sr", "sm"), cov("smm", "sm", "sm")),
                            "marginal_contribution": cov("srp", "sr", "sp") * 252 / vol, "asset_volatility": F.sqrt(cov("srr", "sr", "sr") * 252)})
     per = per.withColumn("component_contribution", F.col("weight") * F.col("marginal_contribution"))

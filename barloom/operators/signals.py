@@ -41,7 +41,7 @@ def market_regime(df: DataFrame, n: int = 63) -> DataFrame:
     df = df.withColumns({
         **{f"sma_{k}": roll(F.avg, "close", k, dense=True) for k in (20, 50, 200)},
         "_short": roll(F.avg, "close", n, dense=True), "_long": roll(F.avg, "close", 2 * n, dense=True),
-        "_ret": rate("close"), "_cum": F.when(prev("close").isNotNull(), F.col("close") / first - 1)})
+        "_ret": rate("close"), "_cum": F.when(prev("close").isNotNull(), F.try_divide(F.col("close"), first) - 1)})
     df = df.withColumns({"current_volatility": roll(F.stddev_samp, "_ret", n) * math.sqrt(252), "_cumavg": roll(F.avg, "_cum", n)})
     df = df.withColumn("historical_volatility", roll(F.avg, "current_volatility", 2 * n))
     tests = [F.col("close") > F.col("sma_200"), F.col("sma_50") > F.col("sma_200"), F.col("sma_20") > F.col("sma_50"),
@@ -102,8 +102,8 @@ def trend_class(df: DataFrame, short: int = 20, medium: int = 50, long: int = 20
     return out.withColumns({
         "trend": F.when(up, "uptrend").when(down, "downtrend").when(slope > 0, "weak_uptrend")
                   .when(slope < 0, "weak_downtrend").otherwise("sideways"),
-        "trend_strength": F.abs(slope) * long / c,
-        **{f"price_to_sma_{k}": c / F.col(f"sma_{k}") - 1 for k in names},
+        "trend_strength": F.try_divide(F.abs(slope) * long, c),
+        **{f"price_to_sma_{k}": F.try_divide(c, F.col(f"sma_{k}")) - 1 for k in names},
         "golden_cross": F.coalesce((F.col("_x") > 0) & (F.col("_px") <= 0), F.lit(False)),
         "death_cross": F.coalesce((F.col("_x") < 0) & (F.col("_px") >= 0), F.lit(False))}).drop("_x", "_px")
 
@@ -115,11 +115,11 @@ def trend_direction(df: DataFrame, periods=(20, 50, 200)) -> DataFrame:
     a, b, x = F.col(f"ma_{periods[0]}"), F.col(f"ma_{periods[-1]}"), F.col("adx")
     out = out.withColumns({
         "trend_direction": F.when(a > b, "Bullish").when(a < b, "Bearish").otherwise("Neutral"),
-        "_s": F.when(a > b, a / b - 1).when(a < b, 1 - a / b).otherwise(0.0)})
+        "_s": F.when(a > b, F.try_divide(a, b) - 1).when(a < b, 1 - F.try_divide(a, b)).otherwise(0.0)})
     s = F.col("_s")
     strength = F.when(x.isNull(), s).when(x < 20, F.least(s, F.lit(0.2))).when(x < 30, F.greatest(s, F.lit(0.5))).when(
         x < 50, F.greatest(s, F.lit(0.8))).otherwise(F.greatest(s, F.lit(1.0)))
-    vs = {f"vs_ma_{n}": F.coalesce(F.col("close") / F.col(f"ma_{n}") - 1, F.lit(0.0)) for n in periods}
+    vs = {f"vs_ma_{n}": F.coalesce(F.try_divide(F.col("close"), F.col(f"ma_{n}")) - 1, F.lit(0.0)) for n in periods}
     return out.withColumns({"trend_strength": strength, **vs}).drop("_s")
 
 
@@ -152,7 +152,7 @@ def signal_effectiveness(signals: DataFrame, days: int = 20) -> DataFrame:
     """Return over the next ``days`` rows (to the last row near the end) after each kind of signal."""
     w = series()
     last = F.last("price").over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    fwd = (F.coalesce(F.lead("price", days).over(w), last) / F.col("price") - 1) * 100
+    fwd = (F.try_divide(F.coalesce(F.lead("price", days).over(w), last), F.col("price")) - 1) * 100
     kinds = BUY + SELL + ["strong_buy", "strong_sell"]
     fired = F.array_compact(F.array(*[F.when(F.col(k), F.lit(k)) for k in kinds]))
     rows = signals.select("symbol", fwd.alias("r"), fired.alias("k")).select("symbol", "r", F.explode("k").alias("signal"))
@@ -196,6 +196,6 @@ def price_change_card(df: DataFrame) -> DataFrame:
     first = F.first("close").over(w.rowsBetween(W.unboundedPreceding, 0))
     month = F.coalesce(prev("close", 20), first)
     df = df.select("symbol", "date", "close", "volume", (F.col("close") - prev("close")).alias("change"),
-                   (rate("close") * 100).alias("pct_change"), ((F.col("close") / month - 1) * 100).alias("month_change"),
+                   (rate("close") * 100).alias("pct_change"), ((F.try_divide(F.col("close"), month) - 1) * 100).alias("month_change"),
                    F.avg("volume").over(w.rowsBetween(-19, 0)).alias("avg_volume"))
     return last_row(df)

@@ -45,7 +45,7 @@ def performance_calendar(df: DataFrame) -> DataFrame:
     month = df.groupBy("symbol", F.trunc("date", "month").alias("period")).agg(
         F.max_by("close", "date").alias("last"), F.min_by("close", "date").alias("first"))
     monthly = month.select("symbol", F.lit("month_cumulative").alias("kind"), F.date_format("period", "yyyy-MM").alias("label"),
-                           (F.col("last") / first - 1).alias("value"))
+                           (F.try_divide(F.col("last"), first) - 1).alias("value"))
     return quarterly.unionByName(yearly).unionByName(monthly)
 
 
@@ -62,10 +62,10 @@ def analyze_returns(bars: DataFrame) -> DataFrame:
         series().rowsBetween(W.unboundedPreceding, 0)))
     r = F.col("ret")
     out = df.groupBy("symbol").agg(
-        (F.max_by("close", "date") / F.min_by("close", "date") - 1).alias("total_return"), F.avg(r).alias("daily_mean"),
+        (F.try_divide(F.max_by("close", "date"), F.min_by("close", "date")) - 1).alias("total_return"), F.avg(r).alias("daily_mean"),
         F.stddev_samp(r).alias("daily_std"), st.sharpe("ret").alias("sharpe_ratio"),
         (st.ratio(F.avg(r), F.stddev_samp(F.when(r < 0, r))) * math.sqrt(252)).alias("sortino_ratio"),
-        F.min(F.col("close") / F.col("_peak") - 1).alias("max_drawdown"), F.count_if(r > 0).alias("positive_days"),
+        F.min(F.try_divide(F.col("close"), F.col("_peak")) - 1).alias("max_drawdown"), F.count_if(r > 0).alias("positive_days"),
         F.count_if(r < 0).alias("negative_days"), F.count(r).alias("num_observations"))
     n = F.col("num_observations")
     return out.withColumns({

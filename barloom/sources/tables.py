@@ -80,7 +80,7 @@ class Tables:
 
     @cached_property
     def returns(self) -> DataFrame:
-        ret = F.col("close") / F.lag("close").over(series()) - 1
+        ret = F.try_divide(F.col("close"), F.lag("close").over(series())) - 1
         return self.bars.select("symbol", "date", ret.alias("ret")).where("ret IS NOT NULL")
 
     @cached_property
