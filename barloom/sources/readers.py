@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,14 +12,24 @@ from pyspark.sql import functions as F
 BARS_SCHEMA = "symbol bigint, date date, open double, high double, low double, close double, volume bigint"
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared one the session names in spark.checkpoint.dir; its own only if unset."""
+    """A fresh folder below the shared one that the session names in spark.checkpoint.dir.
+
+    Where that is unset, a session on one machine (a ``local`` master) gets a temporary folder; on a cluster it is an
+    error, as executors would not see each other's files.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = tempfile.mkdtemp(prefix="barloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base}/barloom/{name}-{uuid.uuid4().hex}"
+        context = spark.sparkContext
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        if context.applicationId not in _LOCAL:
+            _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="barloom-")
+        base = _LOCAL[context.applicationId]
+    return f"{base.rstrip('/')}/barloom/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
