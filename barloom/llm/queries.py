@@ -60,10 +60,22 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "stratum", "rejected_by")
 
 
+@query
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that spread over many sites."""
+    from pyspark.sql import functions as F
+
+    from barloom.llm import line_dedup
+
+    kept = line_dedup.remove(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
 def _sql() -> None:
-    from barloom.llm import quality_rules
+    from barloom.llm import line_dedup, quality_rules
 
     SQL["op2_quality_rules"] = quality_rules.sql()
+    SQL["op10_line_dedup"] = line_dedup.sql()
 
 
 _sql()
