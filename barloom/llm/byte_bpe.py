@@ -17,11 +17,12 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from barloom.llm.words import ODD, mix
+from barloom.llm.words import ODD, bounded, mix
 
-#: Characters that are encoded together; a longer text is encoded alone.
-BATCH = 1 << 23
+#: Bytes that are encoded together; a longer text is encoded alone.
+BATCH = 3 << 20
 #: Distinct pre-tokens whose ids a task remembers before it starts anew.
 REMEMBERED = 1 << 20
 
@@ -356,27 +357,30 @@ def binaries(data: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     return [raw[a:b] for a, b in zip(at, at[1:])]
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """Adds ``ids``: the token ids of the whole text as little-endian 32-bit integers in one binary value.
 
     A pre-token that is in the vocabulary is one token, any other is merged by rank.  A null text gives no ids (an empty
-    value), as an empty one does.  A column named like ``ids`` is replaced; all others stay as they are.  The vocabulary
-    is read on the driver and broadcast: its size is that of the rank file, whatever the documents.  It must hold all 256
-    single bytes.
+    value), as an empty one does.  Columns named like ``ids`` or ``decoded`` are replaced; all others stay as they are.
+    With ``decoded`` the bytes of the ids are added as well, in the same pass.  The vocabulary is read on the driver and
+    broadcast: its size is that of the rank file, whatever the documents.  It must hold all 256 single bytes.
     """
     vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary(path))
+    added = [c for c in (ids, decoded) if c]
+    docs = docs.drop(*[c for c in added if c != text])
+    kept = T.StructType([f for f in docs.schema if f.name not in added])
 
-    @F.arrow_udf("binary")
-    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary.value)
-        for column in columns:
-            column = pc.fill_null(column, "")
-            out: list[bytes] = []
-            for a, b in groups(pc.utf8_length(column).to_numpy(zero_copy_only=False)):
-                out += binaries(*(lambda x: (x[0].astype("<u4"), x[1]))(encoder.encode(column.slice(a, b - a).to_pylist())))
-            yield pa.array(out, pa.binary())
+        for batch in bounded(batches, BATCH, text):
+            column = pc.fill_null(batch.column(batch.schema.get_field_index(text)), "")
+            out, bounds = encoder.encode(column.to_pylist())
+            new = [pa.array(binaries(out.astype("<u4"), bounds), pa.binary())]
+            if decoded:
+                new.append(pa.array(binaries(*decode_ids(vocabulary.value, out, bounds)), pa.binary()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(f.name)) for f in kept], *new], [*kept.names, *added])
 
-    return docs.withColumn(ids, run(F.col(text)))
+    return docs.mapInArrow(run, T.StructType([*kept, *[T.StructField(c, T.BinaryType()) for c in added]]))
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", data: str = "decoded") -> DataFrame:
@@ -399,7 +403,7 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", data: str = "decoded")
 
 def digest(docs: DataFrame, path: str) -> DataFrame:
     """Per document: number of tokens, hash of the ids and hash of the decoded bytes."""
-    coded = decode(encode(docs.select("doc_id", "text"), path), path)
+    coded = encode(docs.select("doc_id", "text"), path, decoded="decoded")
     return coded.select(
         "doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
