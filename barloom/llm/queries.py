@@ -98,3 +98,11 @@ FROM w LEFT JOIN k USING (doc_id)"""
 
 
 _sql()
+
+
+@query
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark, with the item and the place."""
+    from barloom.llm import decontamination
+
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
