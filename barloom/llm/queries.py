@@ -106,3 +106,11 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barloom.llm import decontamination
 
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose three-word shingles agree by nine tenths."""
+    from barloom.llm import jaccard_join
+
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
