@@ -114,3 +114,11 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barloom.llm import jaccard_join
 
     return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every document under unigrams and under the mixed-context model."""
+    from barloom.llm import lm_scoring
+
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
