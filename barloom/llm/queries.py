@@ -122,3 +122,11 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barloom.llm import lm_scoring
 
     return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posterior quality of every document from its text and its site."""
+    from barloom.llm import quality_classifier
+
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -29,12 +29,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _byte_values(lower: bool) -> np.ndarray:
+def _byte_values(lower: bool, white: np.ndarray) -> np.ndarray:
     b = np.arange(256)
     if lower:
         b = np.where((b >= 65) & (b <= 90), b + 32, b)
     values = mix((b.astype(np.uint64) + np.uint64(1)) * ODD)
-    values[SPACE] = 0
+    values[white] = 0
     return values
 
 
@@ -62,12 +62,13 @@ def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, at - at[0]
 
 
-def words(column: pa.Array, lower: bool = False) -> Words:
+def words(column: pa.Array, lower: bool = False, white: np.ndarray = SPACE) -> Words:
+    """``white``: which bytes lie between words."""
     data, at = texts(column)
     n = len(data)
     if not n:
         return Words(np.zeros(0, np.uint64), np.zeros(len(at), np.int64), np.zeros(0, np.int64), data)
-    space = SPACE[data]
+    space = white[data]
     before = np.empty(n, bool)
     before[0] = True
     before[1:] = space[:-1]
@@ -79,7 +80,7 @@ def words(column: pa.Array, lower: bool = False) -> Words:
     within = np.arange(n, dtype=np.int64)
     within[starts[0]:] -= np.repeat(starts, ends - starts)
     powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(int((ends - starts).max()) + int(starts[0]), ODD)]), dtype=np.uint64)
-    values = _byte_values(lower)[data]
+    values = _byte_values(lower, white)[data]
     values *= powers[within]
     return Words(mix(np.add.reduceat(values, starts)), np.searchsorted(starts, at).astype(np.int64), starts, data)
 
