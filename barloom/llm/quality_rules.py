@@ -25,6 +25,8 @@ RULES = [
     ("long_words", "word_chars", "n_words", [4000, 3000, 2500, 2000, 1800, 1600, 1400, 1200, 1100, 1000, 900]),
 ]
 BASE_WORDS, BASE_REPEATS = 50, 50
+#: Strata up to which their cutoffs (four numbers each) are broadcast.
+STRATA = 10_000
 
 
 def let(value: Column, body) -> Column:
@@ -133,8 +135,10 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float
     counted = materialize(counted.drop("text").withColumn("base_failed", base_failed()), "rules")
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.min("quality") == 1).alias("good"))
     chosen = cutoffs(counted.where(~F.col("base_failed")).join(known, "doc_id"), "stratum", risk, confidence)
-    # strata are few by contract, but nothing here depends on it: one row per stratum, joined as the optimizer sees fit
     wide = chosen.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == name, F.col("cutoff"))).alias(f"_{name}") for name, *_ in RULES])
+    wide = materialize(wide, "cutoffs")
+    if wide.limit(STRATA + 1).count() <= STRATA:  # else both sides are shuffled
+        wide = F.broadcast(wide)
     hits = [F.when(exceeds(a, b, F.col(f"_{name}")), F.lit(name)) for name, a, b, _ in RULES]
     judged = counted.join(wide, "stratum", "left").withColumn("rejected_by", F.array_compact(F.array(*hits)))
     return judged.withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0)).drop(*[f"_{name}" for name, *_ in RULES])
