@@ -31,7 +31,8 @@ def spread(lines: DataFrame, sites: int = SITES, sketch: int = SKETCH) -> DataFr
     near = estimated.where(F.col("sites") <= high).select("h1", "h2")
     exact = lines.select("h1", "h2", "site").join(near, ["h1", "h2"], "left_semi").distinct().groupBy("h1", "h2").agg(F.count("*").alias("exact"))
     checked = estimated.join(exact.where(F.col("exact") >= sites), ["h1", "h2"], "left")
-    return checked.where((F.col("sites") > high) | F.col("exact").isNotNull()).select("h1", "h2", "first_doc")
+    found = checked.where((F.col("sites") > high) | F.col("exact").isNotNull()).select("h1", "h2", "first_doc")
+    return materialize(found, "boilerplate")
 
 
 def remove(docs: DataFrame, sites: int = SITES, words: int = WORDS, text: str = "text", site: str = "source") -> DataFrame:
