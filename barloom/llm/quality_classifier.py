@@ -16,7 +16,7 @@ from barloom.sources.readers import materialize
 #: Bits of a hashed word, labelled documents to learn from and bytes that each may have (this bounds what the driver
 #: takes), documents that a word needs among them, weight of an unlabelled document in its site's record.
 FEATURES, LABELS, LABEL_BYTES, LEAST, SOFT = 18, 8192, 1 << 15, 5, 0.1
-SHAPES = 6
+SHAPES = 9
 #: Bytes between words: white space and ASCII punctuation.
 WHITE = SPACE.copy()
 WHITE[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
@@ -47,7 +47,12 @@ def evidence(column: pa.Array) -> Evidence:
 
     n = np.diff(plain.bounds)
     lines = share(np.arange(256) == 10)
-    shapes = np.stack([np.log1p(n) / 10, 5 * share(SYMBOL), 5 * share(DIGIT), 5 * share(UPPER), np.minimum(size / np.maximum(n, 1), 40) / 10, np.minimum(20 * lines, 2)], 1)
+    same = np.zeros(len(plain.hashes) + 1, np.int64)
+    if len(plain.hashes):
+        same[2:] = np.cumsum(plain.hashes[1:] == plain.hashes[:-1])
+    again = (same[plain.bounds[1:]] - same[np.minimum(plain.bounds[:-1] + 1, plain.bounds[1:])]) / np.maximum(n, 1)
+    fresh = np.diff(bounds) / np.maximum(np.diff(w.bounds), 1)
+    shapes = np.stack([np.log1p(n) / 10, 5 * share(SYMBOL), 5 * share(DIGIT), 5 * share(UPPER), np.minimum(size / np.maximum(n, 1), 40) / 10, np.minimum(20 * lines, 2), 5 * again, fresh, 10 * share(np.arange(256) == 33)], 1)
     return Evidence(pair & ((1 << FEATURES) - 1), bounds, shapes.astype(np.float32))
 
 
@@ -147,7 +152,7 @@ def posteriors(scored: DataFrame) -> DataFrame:
     return scored.join(rates, ["host", "path"]).withColumn("global_rate", overall)
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = 0.5, text: str = "text") -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = 0.3, text: str = "text") -> DataFrame:
     """doc_id, host, path, evidence (log odds of the text), site_rate, posterior and kept, per row of docs.
 
     A document is good if its label says quality 1 and not toxic; repeated labels of one document must agree on that, and
