@@ -81,25 +81,6 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-def _sql() -> None:
-    from barloom.llm import line_dedup, quality_rules
-
-    SQL["op2_quality_rules"] = quality_rules.sql()
-    SQL["op3_substring_dedup"] = r"""
-WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
-p AS (SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS g FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 11, 1))) AS i FROM w)),
-late AS (SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY g) AS least FROM p) WHERE doc_id > least),
-gone AS (SELECT DISTINCT doc_id, i + d AS i FROM late, (SELECT unnest(range(0, 13)) AS d)),
-k AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.i) AS kept, count(*) AS n FROM (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM w) x
-      ANTI JOIN gone USING (doc_id, i) GROUP BY x.doc_id)
-SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
-FROM w LEFT JOIN k USING (doc_id)"""
-    SQL["op10_line_dedup"] = line_dedup.sql()
-
-
-_sql()
-
-
 @query
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark, with the item and the place."""
@@ -130,3 +111,43 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barloom.llm import quality_classifier
 
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All turns as mails that quote each other, linked by their quotes and freed of them."""
+    from pyspark.sql import functions as F
+
+    from barloom.llm import chat
+
+    mails = chat.quoting(table(spark, sf_dir, "conversations"))
+    linked = chat.conversations(mails)
+    return linked.select("conv_id", "turn", F.col("id").alias("message_id"), "parent_id", "root_id", "depth", "n_quoted",
+                         F.sha2("own", 256).alias("own_sha256"), F.length(chat.template(F.col("role"), F.col("own"))).alias("n_formatted"))
+
+
+def _sql() -> None:
+    from barloom.llm import line_dedup, quality_rules
+
+    SQL["op2_quality_rules"] = quality_rules.sql()
+    SQL["op3_substring_dedup"] = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+p AS (SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS g FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 11, 1))) AS i FROM w)),
+late AS (SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY g) AS least FROM p) WHERE doc_id > least),
+gone AS (SELECT DISTINCT doc_id, i + d AS i FROM late, (SELECT unnest(range(0, 13)) AS d)),
+k AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.i) AS kept, count(*) AS n FROM (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM w) x
+      ANTI JOIN gone USING (doc_id, i) GROUP BY x.doc_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k USING (doc_id)"""
+    SQL["op10_line_dedup"] = line_dedup.sql()
+    SQL["op9_chat"] = r"""
+WITH c AS (SELECT *, conv_id * 1048576 + turn AS id, min(turn) OVER (PARTITION BY conv_id) AS first_turn,
+                  regexp_replace(text, '^(?:[ \t]*\n)+|\s+$', '', 'g') AS own, len(string_split(text, chr(10))) AS n_lines FROM conversations)
+SELECT conv_id, turn, id AS message_id, CASE WHEN turn > first_turn THEN id - 1 END AS parent_id, conv_id * 1048576 + first_turn AS root_id,
+       CAST(turn - first_turn AS INTEGER) AS depth,
+       CAST(coalesce(sum(n_lines) OVER (PARTITION BY conv_id ORDER BY turn RANGE BETWEEN 3 PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS n_quoted,
+       sha256(own) AS own_sha256, CAST(length(role) + length(own) + 16 AS INTEGER) AS n_formatted
+FROM c"""
+
+
+_sql()
