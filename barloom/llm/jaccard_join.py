@@ -22,6 +22,8 @@ from barloom.sources.readers import materialize
 
 #: Words of a shingle, least similarity in percent, members of a region that one task takes, pivots, members compared pair by pair.
 SHINGLE, PERCENT, REGION, PIVOTS, SMALL = 3, 90, 4096, 16, 24
+#: Rows of three numbers or fewer up to which a side of a join is broadcast.
+BROADCAST = 250_000
 
 
 def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -50,7 +52,7 @@ class Sizes:
         return int(np.searchsorted(self.starts, n, "right")) - 1
 
     def blocks(self, k: int) -> tuple[int, int]:
-        """Blocks for pairs whose greater set is of class k, and the empty blocks that a set may have.
+        """Blocks for pairs whose greater set is of class k, and the spare ones among them.
 
         Linked sets of at most u elements differ in at most 2u(1 - s)/(1 + s) elements; with one block more than that,
         one block at least is equal, and with further ones that many more.
@@ -59,15 +61,15 @@ class Sizes:
         while len(self.starts) < k + 2:
             self.starts.append(self.starts[-1] * 100 // self.percent + 1)
         differ = 2 * (self.starts[k + 1] - 1) * (100 - self.percent) // (100 + self.percent)
-        spare = 2 if differ >= 20 else 1
+        spare = 2 + differ // 8
         return (differ + 1 + spare, spare) if differ else (0, 0)
 
 
 def signatures(members: np.ndarray, sizes: Sizes) -> np.ndarray:
     """Hashes of the set's blocks, for pairs in which it is the greater one's class and for those in which it is below it.
 
-    Equal sets need none.  An empty block is left out unless the set has more of them than spare blocks: if all equal
-    blocks of two linked sets are empty, both have that many.
+    Equal sets need none.  Blocks of one element or none, which unrelated sets share easily, are left out unless the set
+    has more of them than spare blocks: if all equal blocks of two linked sets are that thin, both have more.
     """
     own = sizes.of(len(members))
     out = []
@@ -81,7 +83,8 @@ def signatures(members: np.ndarray, sizes: Sizes) -> np.ndarray:
         sums = np.zeros(m, np.uint64)
         sums[filled] = np.add.reduceat(mix(members[order]), at)
         keys = mix(sums ^ mix((np.arange(m) + (k + 1) * 1_000_003).astype(np.uint64)))
-        out.append(keys if m - len(filled) > spare else keys[filled])
+        thick = filled[np.diff(np.append(at, len(members))) > 1]
+        out.append(keys if m - len(thick) > spare else keys[thick])
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -195,8 +198,12 @@ class Region:
                 for k in np.unique(nearest).tolist():  # a cell without members of its own has no pair to find
                     self.solve(part[cells[k]], radius)
                 return
-            # one dense cell: its core is linked to the pivot and needs no more pairs; those outside are compared with it
+            # no pivot tells the members apart: either a dense core, or sets that share too little for pivots
             k = int((d <= radius + eps).sum(1).argmax())
+            if (d[k] <= radius + eps).sum() < 0.3 * len(part):
+                self.by_prefixes(part)
+                return
+            # the core is linked to the pivot and needs no more pairs; those outside are compared with it
             p = int(pivots[k])
             core = self.linked(p, part, self.shared(p, part))
             inside, rest, dc = part[core], part[~core], d[k]
@@ -209,6 +216,28 @@ class Region:
                     shared = self.shared(one, window)
                     self.link(one, window[self.linked(one, window, shared)][:1])
             part = rest
+        self.by_pairs(part)
+
+    def by_prefixes(self, part: np.ndarray) -> None:
+        """Sets in order of size, each compared with those that share one of its rarest elements: of n elements at most
+        (1 - s) n can be missing from the other set, so with one element more there is a common one."""
+        order = part[np.argsort(self.n[part], kind="stable")]
+        rarity = np.argsort(np.argsort(np.bincount(self.flat, minlength=len(self.mark)), kind="stable"))
+        holders: dict[int, list[int]] = {}
+        for one in order.tolist():
+            n = int(self.n[one])
+            own = self.flat[self.at[one]:self.at[one] + n]
+            keys = own[np.argpartition(rarity[own], min(n - 1, n * (100 - self.percent) // 100))[:n * (100 - self.percent) // 100 + 1]].tolist()
+            near = {o for key in keys for o in holders.get(key, ()) if 100 * self.n[o] >= self.percent * n}
+            mine = self.find(one)
+            others = np.array([o for o in near if self.find(o) != mine], np.int64)
+            if len(others):
+                shared = self.shared(one, others)
+                self.link(one, others[self.linked(one, others, shared)])
+            for key in keys:
+                holders.setdefault(key, []).append(one)
+
+    def by_pairs(self, part: np.ndarray) -> None:
         for k in range(len(part) - 1):
             others = part[k + 1:]
             others = others[[self.find(o) != self.find(int(part[k])) for o in others.tolist()]]
@@ -303,6 +332,7 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, limit: in
     regions = regions.unionByName(regions.select(F.col("root").alias("node"), "root").distinct())
     holder = known.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     wanted = regions.join(holder, "node").select("doc_id", "node", F.col("root").alias("region"))
+    wanted = small(wanted)
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, 1 << 22):
@@ -316,12 +346,19 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, limit: in
     members = materialize(members.dropDuplicates(["region", "node"]), "members")
     linked = components(join_large(members, percent, limit))
     rooted = known.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
+    # written, so that the join can split a component that holds many documents
+    least = materialize(rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least")), "least")
     return rooted.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
 
+def small(rows: DataFrame) -> DataFrame:
+    """A written table, broadcast if it has at most BROADCAST rows; else joins shuffle both sides."""
+    rows = materialize(rows, "small")
+    return F.broadcast(rows) if rows.limit(BROADCAST + 1).count() <= BROADCAST else rows
+
+
 def first_of_each(docs: DataFrame, size: int = 5, percent: int = 80, limit: int = REGION, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that have the least doc_id of their component; rows with a null doc_id or without words stay."""
     found = join(docs, size, percent, limit, text)
-    late = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_late")).distinct()
+    late = small(found.where("component_id <> doc_id").select(F.col("doc_id").alias("_late")).distinct())
     return docs.join(late, docs["doc_id"] == late["_late"], "left_anti")
