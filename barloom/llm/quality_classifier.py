@@ -10,21 +10,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.words import SPACE, bounded, words
+from barloom.llm.words import SPACE, bounded, mix, words
 from barloom.sources.readers import materialize
 
 #: Bits of a hashed word, labelled documents to learn from and bytes that each may have (this bounds what the driver
-#: takes), documents that a word needs among them, weight of an unlabelled document in its site's record.
-FEATURES, LABELS, LABEL_BYTES, LEAST, SOFT = 18, 8192, 1 << 15, 5, 0.1
-SHAPES = 9
+#: takes), documents that a word needs among them and standard errors by which it must tell them apart, weight of an unlabelled document in its site's record.
+FEATURES, LABELS, LABEL_BYTES, LEAST, CLEAR, SOFT = 18, 8192, 1 << 15, 5, 3.5, 0.1
+SHAPES = 10
+#: Bytes of the beginnings of words that count as words of their own.
+HEADS = (5, 7)
 #: Bytes between words: white space and ASCII punctuation.
 WHITE = SPACE.copy()
 WHITE[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
-SYMBOL, DIGIT, UPPER = (np.isin(np.arange(256), list(x)) for x in (b"#*$%&|<>{}[]=+_^~\\", b"0123456789", bytes(range(65, 91))))
+SYMBOL, PIPE, MARK, DIGIT, UPPER = (np.isin(np.arange(256), list(x)) for x in (b"#*$%&<>{}[]=+_^~\\", b"|", b"!?", b"0123456789", bytes(range(65, 91))))
 
 
 class Evidence(NamedTuple):
-    """Distinct hashed words per document, and some numbers about its form."""
+    """Distinct hashed words and word beginnings per document, and some numbers about its form."""
 
     words: np.ndarray
     bounds: np.ndarray
@@ -35,7 +37,9 @@ def evidence(column: pa.Array) -> Evidence:
     w = words(column, lower=True, white=WHITE)
     plain = words(column)
     n_docs = len(w.bounds) - 1
-    pair = np.unique(np.repeat(np.arange(n_docs), np.diff(w.bounds)) << FEATURES | (w.hashes >> np.uint64(64 - FEATURES)).astype(np.int64))
+    hashes = [w.hashes, *(mix(words(column, lower=True, white=WHITE, head=k).hashes + np.uint64(k)) for k in HEADS)]
+    owner = np.repeat(np.arange(n_docs), np.diff(w.bounds)) << FEATURES
+    pair = np.unique(np.concatenate([owner | (h >> np.uint64(64 - FEATURES)).astype(np.int64) for h in hashes]))
     bounds = np.searchsorted(pair, np.arange(n_docs + 1) << FEATURES)
     text = column.fill_null("") if column.null_count else column
     size = np.array([len(x.as_buffer()) if x.as_buffer() is not None else 0 for x in text], np.int64)
@@ -51,8 +55,11 @@ def evidence(column: pa.Array) -> Evidence:
     if len(plain.hashes):
         same[2:] = np.cumsum(plain.hashes[1:] == plain.hashes[:-1])
     again = (same[plain.bounds[1:]] - same[np.minimum(plain.bounds[:-1] + 1, plain.bounds[1:])]) / np.maximum(n, 1)
-    fresh = np.diff(bounds) / np.maximum(np.diff(w.bounds), 1)
-    shapes = np.stack([np.log1p(n) / 10, 5 * share(SYMBOL), 5 * share(DIGIT), 5 * share(UPPER), np.minimum(size / np.maximum(n, 1), 40) / 10, np.minimum(20 * lines, 2), 5 * again, fresh, 10 * share(np.arange(256) == 33)], 1)
+    fresh = np.diff(bounds) / np.maximum(len(hashes) * np.diff(w.bounds), 1)
+    per_word = size / np.maximum(n, 1)
+    full = lambda x: np.minimum(x, 1)  # noqa: E731  forms count by their share, up to a point
+    shapes = np.stack([np.log1p(n) / 10, full(share(SYMBOL) * per_word), full(4 * share(PIPE) * per_word), full(5 * share(DIGIT)), full(3 * share(UPPER)), full(per_word / 20),
+                       full(20 * lines), full(3 * again), fresh, full(share(MARK) * per_word)], 1)
     return Evidence(pair & ((1 << FEATURES) - 1), bounds, shapes.astype(np.float32))
 
 
@@ -66,9 +73,16 @@ class Classifier(NamedTuple):
         return total[e.bounds[1:]] - total[e.bounds[:-1]] + e.shapes @ self.shapes + self.bias
 
 
-def train(e: Evidence, good: np.ndarray, epochs: int = 25, rate: float = 0.1, decay: float = 1e-4) -> Classifier:
-    """Logistic regression by adaptive gradient steps; words of fewer than LEAST documents have no weight."""
-    often = np.bincount(e.words, minlength=1 << FEATURES) >= LEAST
+def train(e: Evidence, good: np.ndarray, epochs: int = 40, rate: float = 0.3, decay: float = 1e-4) -> Classifier:
+    """Logistic regression by adaptive gradient steps.  A word has a weight only if LEAST documents hold it and its share
+    among the bad ones differs from that among the good ones by CLEAR standard errors, so that the thousands of words
+    that say nothing don't add up in long texts."""
+    per_word = np.repeat(good, np.diff(e.bounds))
+    held, held_good = np.bincount(e.words, minlength=1 << FEATURES), np.bincount(e.words, weights=per_word, minlength=1 << FEATURES)
+    n, n_good = len(good), max(1.0, good.sum())
+    n_bad, rate_all = max(1.0, n - good.sum()), np.clip(held / n, 1e-9, 1 - 1e-9)
+    z = ((held - held_good) / n_bad - held_good / n_good) / np.sqrt(rate_all * (1 - rate_all) * (1 / n_bad + 1 / n_good))
+    often = (held >= LEAST) & (np.abs(z) >= CLEAR)
     weight, power = np.zeros(1 << FEATURES), np.full(1 << FEATURES, 1e-8)
     shape, shape_power = np.zeros(e.shapes.shape[1] + 1), np.full(e.shapes.shape[1] + 1, 1e-8)
     x = np.concatenate([e.shapes, np.ones((len(good), 1))], 1)
@@ -90,7 +104,7 @@ def train(e: Evidence, good: np.ndarray, epochs: int = 25, rate: float = 0.1, de
             weight[used] += rate * gradient / np.sqrt(power[used])
             g = x[rows].T @ error / len(rows)
             shape_power += g ** 2
-            shape += rate * g / np.sqrt(shape_power)
+            shape += 3 * rate * g / np.sqrt(shape_power)
     return Classifier(weight.astype(np.float32), shape[:-1], float(shape[-1]))
 
 
@@ -152,7 +166,7 @@ def posteriors(scored: DataFrame) -> DataFrame:
     return scored.join(rates, ["host", "path"]).withColumn("global_rate", overall)
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = 0.3, text: str = "text") -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = 0.5, text: str = "text") -> DataFrame:
     """doc_id, host, path, evidence (log odds of the text), site_rate, posterior and kept, per row of docs.
 
     A document is good if its label says quality 1 and not toxic; repeated labels of one document must agree on that, and

@@ -146,7 +146,7 @@ WITH c AS (SELECT *, conv_id * 1048576 + turn AS id, min(turn) OVER (PARTITION B
 SELECT conv_id, turn, id AS message_id, CASE WHEN turn > first_turn THEN id - 1 END AS parent_id, conv_id * 1048576 + first_turn AS root_id,
        CAST(turn - first_turn AS INTEGER) AS depth,
        CAST(coalesce(sum(n_lines) OVER (PARTITION BY conv_id ORDER BY turn RANGE BETWEEN 3 PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS n_quoted,
-       sha256(own) AS own_sha256, CAST(length(role) + length(own) + 16 AS INTEGER) AS n_formatted
+       sha256(own) AS own_sha256, CAST(length(role) + length(own) + 14 AS INTEGER) AS n_formatted
 FROM c"""
 
 

@@ -169,7 +169,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     parts = parts.withColumn("joined", F.aggregate(F.col("parts.block"), F.lit(b""), lambda a, b: F.concat(a, b))).where("kind is not null").select(
         "kind", "page_id", "url", "digest", "refers_to", "length", F.col("joined").alias("block"),
         (F.array_max("parts.number").eqNullSafe(F.size("parts")) & F.octet_length("joined").eqNullSafe(F.col("total"))).alias("whole"))
-    rows = single.unionByName(parts).withColumn("payload", F.when(F.col("kind") == "response", _payload("block")))
+    rows = single.unionByName(parts).withColumn("payload", F.when(F.col("kind") == "response", F.arrow_udf(_payload, "binary")("block")))
     own = F.sha1("payload")
     return rows.select(
         "page_id", "url", F.col("kind").alias("record_type"), "refers_to", "payload",
@@ -177,7 +177,6 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         (F.col("whole") & (F.coalesce(own, "digest").eqNullSafe(F.col("digest")))).alias("complete"))
 
 
-@F.arrow_udf("binary")
 def _payload(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for column in columns:
         yield pa.array([None if not b.is_valid else _body(b.as_py()) for b in column], pa.binary())

@@ -62,8 +62,8 @@ def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, at - at[0]
 
 
-def words(column: pa.Array, lower: bool = False, white: np.ndarray = SPACE) -> Words:
-    """``white``: which bytes lie between words."""
+def words(column: pa.Array, lower: bool = False, white: np.ndarray = SPACE, head: int | None = None) -> Words:
+    """``white``: which bytes lie between words; ``head``: hash only so many bytes of each word."""
     data, at = texts(column)
     n = len(data)
     if not n:
@@ -82,6 +82,8 @@ def words(column: pa.Array, lower: bool = False, white: np.ndarray = SPACE) -> W
     powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(int((ends - starts).max()) + int(starts[0]), ODD)]), dtype=np.uint64)
     values = _byte_values(lower, white)[data]
     values *= powers[within]
+    if head is not None:
+        values[within >= head] = 0
     return Words(mix(np.add.reduceat(values, starts)), np.searchsorted(starts, at).astype(np.int64), starts, data)
 
 
