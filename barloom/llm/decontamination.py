@@ -68,6 +68,16 @@ class Items:
         self.bags = [np.unique(item_shingles(x, size), return_counts=True) for _, x in parts]
         every = np.concatenate([b[0] for b in self.bags]) if parts else np.zeros(0, np.uint64)
         self.shingles = np.unique(every)
+        # the lengths of the items that hold a shingle, by the shingle's own length
+        long = np.repeat(self.lengths, [len(b[0]) for b in self.bags]) if parts else np.zeros(0, np.int64)
+        self.owners = {}
+        for k in np.unique(np.minimum(long, size)).tolist():
+            own = np.minimum(long, size) == k
+            order = np.lexsort((long[own], every[own]))
+            keys, lengths = every[own][order], long[own][order]
+            new = np.ones(len(keys), bool)
+            new[1:] = (keys[1:] != keys[:-1]) | (lengths[1:] != lengths[:-1])
+            self.owners[k] = keys[new], lengths[new]
         self.by_length = {}
         for n in np.unique(self.lengths).tolist():
             members = np.flatnonzero(self.lengths == n)
@@ -90,16 +100,11 @@ def weighted_similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
 def search(hashes: np.ndarray, items: Items, similarity: float) -> Iterator[tuple[int, int, int, float]]:
     """(item, first word, words, similarity) of the best window per item in one document; the first of equal ones.
 
-    A window with no shingle of the benchmark has similarity 0, so only windows that hold one are fingerprinted.
+    A window that shares no shingle with an item has similarity 0, so only windows that hold a shingle of an item of
+    their length are fingerprinted.
     """
-    for n, (members, index) in items.by_length.items():
-        k = min(items.size, n)
-        if len(hashes) < n:
-            continue
-        sh = shingles(hashes, k)
-        hit = np.flatnonzero(np.isin(sh, items.shingles))
-        if not len(hit):
-            continue
+    for n, k, sh, hit in hits(hashes, items):
+        members, index = items.by_length[n]
         span = n - k + 1  # shingles of a window
         # windows that hold a hit start at hit - span + 1 .. hit; neighbouring ones form stretches
         first = np.maximum(hit - span + 1, 0)
@@ -119,6 +124,19 @@ def search(hashes: np.ndarray, items: Items, similarity: float) -> Iterator[tupl
             yield int(items.ids[m]), at, n, score
 
 
+def hits(hashes: np.ndarray, items: Items) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Per item length that fits: (item words, shingle words, the document's shingles, those that items of that length hold)."""
+    for k, (keys, lengths) in items.owners.items():
+        sh = shingles(hashes, k)
+        a, b = np.searchsorted(keys, sh, "left"), np.searchsorted(keys, sh, "right")
+        count = b - a
+        at = np.repeat(np.arange(len(sh)), count)
+        length = lengths[np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(a, count)]
+        for n in np.unique(length).tolist():
+            if n <= len(hashes):
+                yield n, k, sh, at[length == n]
+
+
 def stretches(first: np.ndarray, last: np.ndarray) -> Iterator[tuple[int, int]]:
     """Unions of intervals that are sorted by both ends."""
     cut = np.flatnonzero(first[1:] > last[:-1] + 1) + 1
