@@ -24,17 +24,17 @@ def as_col(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def roll(agg, x, n: int, w=None, dense: bool = False) -> Column:
+def roll(agg, x, n: int, w=None) -> Column:
     """``agg(x)`` over the last n rows, null until the frame holds n values.
 
-    ``dense`` says that x is never null, so the row number can stand in for the count of the frame.
+    The values in the frame are the difference of two running counts, which cost one step per row whatever n is.
     """
     if n <= 0:
         raise ValueError("period must be a positive integer")
     w = w or series()
     f = w.rowsBetween(-(n - 1), 0)
     x = as_col(x)
-    filled = F.row_number().over(w) if dense else F.count(x).over(f)
+    filled = F.count(x).over(w.rowsBetween(W.unboundedPreceding, 0)) - F.count(x).over(w.rowsBetween(W.unboundedPreceding, -n))
     return F.when(filled >= n, agg(x).over(f))
 
 
@@ -87,11 +87,13 @@ def frame_values(x, n: int, end: int = 0, w=None) -> Column:
 def ewm_many(df: DataFrame, specs: list[tuple[str, int, str]], key: str = KEY, time: str = TIME) -> DataFrame:
     """Exponential means y = a*y' + (1-a)*x, y1 = x1, a = 1 - 2/(span+1), for (column, span, name) specs.
 
+    A null is no step: it neither decays nor changes the mean, and its row has the mean so far (null before the first value).
+
     Inside a block the recurrence has the closed form a^k * sum(b * a^-k), a running sum.  A block is as long
     as a^-k stays below 1e250 for the fastest span, and what would be carried past one whole block is scaled
     by less than 1e-18 for the slowest, which no double can see: the last value of the previous block is the
-    full carry.  Spans too far apart to share a block length are done in separate passes.  One pass is one
-    extra sort however many means it holds.
+    full carry.  Spans too far apart to share a block length, and different columns, are done in separate
+    passes.  One pass is one extra sort however many means it holds.
     """
     if any(span <= 0 for _, span, _ in specs):
         raise ValueError("span must be a positive integer")
@@ -103,7 +105,8 @@ def ewm_many(df: DataFrame, specs: list[tuple[str, int, str]], key: str = KEY, t
         block = int(575 / -math.log(_keep(todo[0][1])))
         now = [s for s in todo if block * -math.log(_keep(s[1])) > 42]
         todo = [s for s in todo if s not in now]
-        df = _affine(df, [(F.col(x), _keep(n), 1 - _keep(n), out) for x, n, out in now], block, key, time, seed_first=True)
+        for col in dict.fromkeys(x for x, _, _ in now):
+            df = _affine(df, [(F.col(x), _keep(n), 1 - _keep(n), out) for x, n, out in now if x == col], block, key, time, seed_first=True, on=col)
     return df
 
 
@@ -115,13 +118,15 @@ def ewm(df: DataFrame, x: str, span: int, out: str, key: str = KEY, time: str =
     return ewm_many(df, [(x, span, out)], key, time)
 
 
-def decayed_sums(df: DataFrame, xs: list[tuple[Column, str]], decay: float, key: str = KEY, time: str = TIME) -> DataFrame:
-    """s = decay*s' + x, from zero, for (expression, name) pairs."""
-    return _affine(df, [(x, decay, 1.0, out) for x, out in xs], int(575 / -math.log(decay)), key, time, seed_first=False)
+def decayed_sums(df: DataFrame, xs: list[tuple[Column, str]], decay: float, key: str = KEY, time: str = TIME, on: str | None = None) -> DataFrame:
+    """s = decay*s' + x, from zero, for (expression, name) pairs; rows in which ``on`` is null are no step."""
+    return _affine(df, [(x, decay, 1.0, out) for x, out in xs], int(575 / -math.log(decay)), key, time, seed_first=False, on=on)
 
 
-def _affine(df, terms, block, key, time, seed_first):
-    index = F.row_number().over(W.partitionBy(key).orderBy(time)) - 1
+def _affine(df, terms, block, key, time, seed_first, on=None):
+    """``on``: the column whose values are counted as steps; without it every row is one."""
+    steps = W.partitionBy(key).orderBy(time)
+    index = (F.row_number().over(steps) if on is None else F.count(on).over(steps.rowsBetween(W.unboundedPreceding, 0))) - 1
     df = df.withColumn("_i", index)
     df = df.withColumns({"_b": F.floor(F.col("_i") / block), "_k": F.col("_i") % block})
     inner = W.partitionBy(key, "_b").orderBy(time).rowsBetween(W.unboundedPreceding, 0)
@@ -131,5 +136,5 @@ def _affine(df, terms, block, key, time, seed_first):
         b = F.when(F.col("_i") == 0, x).otherwise(x * gain) if seed_first else x * gain
         partial[f"_s{j}"] = F.pow(F.lit(a), F.col("_k")) * F.sum(b * F.pow(F.lit(a), -F.col("_k"))).over(inner)
         carry = F.last(F.when(F.col("_k") == block - 1, F.col(f"_s{j}")), ignorenulls=True).over(past)
-        full[out] = F.col(f"_s{j}") + F.coalesce(carry * F.pow(F.lit(a), F.col("_k") + 1), F.lit(0.0))
+        full[out] = F.when(F.col("_i") >= 0, F.col(f"_s{j}") + F.coalesce(carry * F.pow(F.lit(a), F.col("_k") + 1), F.lit(0.0)))
     return df.withColumns(partial).withColumns(full).drop("_i", "_b", "_k", *partial)

@@ -12,7 +12,7 @@ CURRENCIES = {"USD": "$", "EUR": "€", "GBP": "£", "JPY": "¥"}
 KEPT = r"[^\p{L}\p{N} _\-.,;:!?()\[\]{}'\"/\\@#$%^&*+=<>]"
 
 
-def sanitize_text(c, max_length: int | None = 1000) -> Column:
+def sanitize_text(c, max_length: int | None = None) -> Column:
     """Keeps letters, digits and common punctuation of the first ``max_length`` characters, or of the whole text."""
     c = as_col(c)
     return F.regexp_replace(c if max_length is None else F.substring(c, 1, max_length), KEPT, "")

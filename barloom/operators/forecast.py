@@ -25,8 +25,8 @@ def training_table(bars: DataFrame, horizon: int = 5, min_rows: int = 100) -> Da
     """Features and the forward return, complete rows only, symbols with fewer rows left out."""
     df = bars.select("symbol", "date", "close", "volume")
     df = df.withColumns({
-        "ret_1": rate("close"), "ret_5": rate("close", 5), "ret_10": rate("close", 10), "_m": roll(F.avg, "close", 20, dense=True),
-        "volume_rel": F.try_divide(F.col("volume"), roll(F.avg, "volume", 20, dense=True)), "target": F.try_divide(F.lead("close", horizon).over(series()), F.col("close")) - 1})
+        "ret_1": rate("close"), "ret_5": rate("close", 5), "ret_10": rate("close", 10), "_m": roll(F.avg, "close", 20),
+        "volume_rel": F.try_divide(F.col("volume"), roll(F.avg, "volume", 20)), "target": F.try_divide(F.lead("close", horizon).over(series()), F.col("close")) - 1})
     df = df.withColumns({"to_mean": F.try_divide(F.col("close"), F.col("_m")) - 1, "vol_10": roll(F.stddev_samp, "ret_1", 10)})
     df = df.drop("_m").where("target IS NOT NULL").na.drop("any")
     n = F.count("*").over(W.partitionBy("symbol"))

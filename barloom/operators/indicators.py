@@ -23,8 +23,8 @@ def ema(df: DataFrame, n: int = 20, col: str = "close", out: str | None = None)
 
 
 def ema_adjusted(df: DataFrame, n: int, col: str = "close", out: str | None = None) -> DataFrame:
-    """Weighted mean with weights a^k over all rows so far."""
-    df = decayed_sums(df, [(F.col(col), "_num"), (F.lit(1.0), "_den")], 1 - 2.0 / (n + 1))
+    """Weighted mean with weights a^k over all values so far; nulls have no weight."""
+    df = decayed_sums(df, [(F.col(col), "_num"), (F.when(F.col(col).isNotNull(), 1.0), "_den")], 1 - 2.0 / (n + 1), on=col)
     return df.withColumn(out or f"ema_adj_{n}", F.col("_num") / F.col("_den")).drop("_num", "_den")
 
 
@@ -64,7 +64,7 @@ def bollinger(df: DataFrame, n: int = 20, k: float = 2.0, col: str = "close") ->
 
 
 def stochastic(df: DataFrame, k: int = 14, d: int = 3) -> DataFrame:
-    lo, hi = roll(F.min, "low", k, dense=True), roll(F.max, "high", k, dense=True)
+    lo, hi = roll(F.min, "low", k), roll(F.max, "high", k)
     df = df.withColumn("_lo", lo).withColumn("_hi", hi)
     df = df.withColumn("stoch_k", 100 * F.try_divide(F.col("close") - F.col("_lo"), F.col("_hi") - F.col("_lo")))
     return df.withColumn("stoch_d", roll(F.avg, "stoch_k", d)).drop("_lo", "_hi")
@@ -76,7 +76,7 @@ def true_range() -> Column:
 
 
 def atr_sma(df: DataFrame, n: int = 14, out: str | None = None) -> DataFrame:
-    return df.withColumn("_tr", true_range()).withColumn(out or f"atr_{n}", roll(F.avg, "_tr", n, dense=True)).drop("_tr")
+    return df.withColumn("_tr", true_range()).withColumn(out or f"atr_{n}", roll(F.avg, "_tr", n)).drop("_tr")
 
 
 def atr_ema(df: DataFrame, n: int = 14, out: str | None = None) -> DataFrame:
@@ -92,9 +92,9 @@ def adx(df: DataFrame, n: int = 14, raw_dm: bool = False) -> DataFrame:
     df = df.withColumn("_p", F.when((F.col("_up") > F.col("_dn")) & (F.col("_up") > 0), F.col("_up")).otherwise(zero))
     rival = F.col("_p") if raw_dm else F.col("_up")
     df = df.withColumn("_m", F.when((F.col("_dn") > rival) & (F.col("_dn") > 0), F.col("_dn")).otherwise(zero))
-    df = df.withColumn("_st", roll(F.sum, "_tr", n, dense=True))
-    df = df.withColumn("pos_di", 100 * F.try_divide(roll(F.sum, "_p", n, dense=True), F.col("_st")))
-    df = df.withColumn("neg_di", 100 * F.try_divide(roll(F.sum, "_m", n, dense=True), F.col("_st")))
+    df = df.withColumn("_st", roll(F.sum, "_tr", n))
+    df = df.withColumn("pos_di", 100 * F.try_divide(roll(F.sum, "_p", n), F.col("_st")))
+    df = df.withColumn("neg_di", 100 * F.try_divide(roll(F.sum, "_m", n), F.col("_st")))
     df = df.withColumn("_dx", 100 * F.try_divide(F.abs(F.col("pos_di") - F.col("neg_di")),
                                                  F.col("pos_di") + F.col("neg_di")))
     return df.withColumn("adx", roll(F.avg, "_dx", n)).drop("_tr", "_up", "_dn", "_p", "_m", "_st", "_dx")
@@ -106,7 +106,7 @@ def obv(df: DataFrame) -> DataFrame:
 
 
 def ichimoku(df: DataFrame, conversion: int = 9, base: int = 26, span_b: int = 52, shift: int = 26) -> DataFrame:
-    mid = {n: (roll(F.max, "high", n, dense=True) + roll(F.min, "low", n, dense=True)) / 2 for n in (conversion, base, span_b)}
+    mid = {n: (roll(F.max, "high", n) + roll(F.min, "low", n)) / 2 for n in (conversion, base, span_b)}
     df = (df.withColumn("tenkan_sen", mid[conversion]).withColumn("kijun_sen", mid[base]).withColumn("_b", mid[span_b]))
     return (df.withColumn("senkou_span_a", F.lag((F.col("tenkan_sen") + F.col("kijun_sen")) / 2, shift).over(series()))
               .withColumn("senkou_span_b", F.lag("_b", shift).over(series()))
@@ -148,7 +148,7 @@ def all_indicators(df: DataFrame) -> DataFrame:
     The same definitions as the single functions, for bars without null prices.
     """
     def r(agg, x, n):
-        return roll(agg, x, n, dense=True)
+        return roll(agg, x, n)
 
     c, hi, lo, zero = F.col("close"), F.col("high"), F.col("low"), F.lit(0.0)
     mid = {n: (r(F.max, "high", n) + r(F.min, "low", n)) / 2 for n in (9, 26, 52)}

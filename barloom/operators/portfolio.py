@@ -209,10 +209,10 @@ def assess_scores(weights: DataFrame, metrics: DataFrame) -> DataFrame:
     df = df.withColumns({"diversification_score": F.when(few, 3).when(packed, 5).otherwise(8),
                          "risk_score": F.when(hot, 3).when(deep, 4).otherwise(7), "liquidity_score": F.lit(0)})
     advice = F.array_compact(F.array(
-        F.when(few, "Consider adding more assets to improve diversification").when(
-            packed, "Portfolio has concentrated positions, consider rebalancing"),
-        F.when(hot, "Portfolio volatility is high, consider reducing risk").when(
-            deep, "Portfolio has high drawdown risk, consider adding hedges")))
+        F.when(few, "Too few assets: spread the money over more of them").when(
+            packed, "One position outweighs the rest: trim it"),
+        F.when(hot, "Prices swing widely: hold calmer assets").when(
+            deep, "Past falls were deep: hedge or hold more cash")))
     overall = (F.col("diversification_score") + F.col("risk_score") + F.col("liquidity_score")) / 3
     return df.withColumns({"overall_score": overall, "recommendations": F.array_join(advice, "; ")})
 

@@ -39,8 +39,8 @@ def crosses_below(a: str, b) -> Column:
 def market_regime(df: DataFrame, n: int = 63) -> DataFrame:
     first = F.first("close").over(series().rowsBetween(W.unboundedPreceding, 0))
     df = df.withColumns({
-        **{f"sma_{k}": roll(F.avg, "close", k, dense=True) for k in (20, 50, 200)},
-        "_short": roll(F.avg, "close", n, dense=True), "_long": roll(F.avg, "close", 2 * n, dense=True),
+        **{f"sma_{k}": roll(F.avg, "close", k) for k in (20, 50, 200)},
+        "_short": roll(F.avg, "close", n), "_long": roll(F.avg, "close", 2 * n),
         "_ret": rate("close"), "_cum": F.when(prev("close").isNotNull(), F.try_divide(F.col("close"), first) - 1)})
     df = df.withColumns({"current_volatility": roll(F.stddev_samp, "_ret", n) * math.sqrt(252), "_cumavg": roll(F.avg, "_cum", n)})
     df = df.withColumn("historical_volatility", roll(F.avg, "current_volatility", 2 * n))
@@ -57,7 +57,7 @@ def market_regime(df: DataFrame, n: int = 63) -> DataFrame:
 
 def market_events(df: DataFrame, move: float = 0.03) -> DataFrame:
     """Crosses of the 50- and 200-row means and large daily moves, one row per event."""
-    df = df.withColumns({"sma_50": roll(F.avg, "close", 50, dense=True), "sma_200": roll(F.avg, "close", 200, dense=True),
+    df = df.withColumns({"sma_50": roll(F.avg, "close", 50), "sma_200": roll(F.avg, "close", 200),
                          "change": rate("close")})
     def event(when, kind, significance, value):
         return F.when(when, F.struct(F.lit(kind).alias("type"), F.lit(significance).alias("significance"),
@@ -90,7 +90,7 @@ def trend_strength(df: DataFrame, n: int = 63) -> DataFrame:
 def trend_class(df: DataFrame, short: int = 20, medium: int = 50, long: int = 200) -> DataFrame:
     names = {"short": short, "medium": medium, "long": long}
     df = add_adx(df, raw_dm=True)
-    df = df.withColumns({f"sma_{k}": roll(F.avg, "close", n, dense=True) for k, n in names.items()})
+    df = df.withColumns({f"sma_{k}": roll(F.avg, "close", n) for k, n in names.items()})
     df = df.withColumn("_x", F.col("sma_short") - F.col("sma_medium"))
     df = df.withColumns({"trend_slope": (F.col("sma_long") - prev("sma_long", 20)) / 20, "_px": prev("_x")})
     df = ewm_many(df, [("close", n, f"ema_{k}") for k, n in names.items()])
@@ -110,7 +110,7 @@ def trend_class(df: DataFrame, short: int = 20, medium: int = 50, long: int = 20
 
 def trend_direction(df: DataFrame, periods=(20, 50, 200)) -> DataFrame:
     periods = sorted(periods)
-    df = add_adx(df).withColumns({f"ma_{n}": roll(F.avg, "close", n, dense=True) for n in periods})
+    df = add_adx(df).withColumns({f"ma_{n}": roll(F.avg, "close", n) for n in periods})
     out = last_row(df.select("symbol", "date", "close", "adx", *[f"ma_{n}" for n in periods]))
     a, b, x = F.col(f"ma_{periods[0]}"), F.col(f"ma_{periods[-1]}"), F.col("adx")
     out = out.withColumns({
@@ -138,7 +138,7 @@ def trading_signals(df: DataFrame) -> DataFrame:
         "stoch_bullish_cross": crosses_above("stoch_k", "stoch_d") & (F.col("stoch_k") < 50),
         "stoch_bearish_cross": crosses_below("stoch_k", "stoch_d") & (F.col("stoch_k") > 50),
         "adx_strong_trend": crosses_above("adx", 25.0),
-        "volume_spike": F.coalesce(F.col("volume") > 2 * roll(F.avg, "volume", 20, dense=True), F.lit(False))}
+        "volume_spike": F.coalesce(F.col("volume") > 2 * roll(F.avg, "volume", 20), F.lit(False))}
     out = df.select("symbol", "date", F.col("close").alias("price"), *[c.alias(n) for n, c in rules.items()])
     count = lambda names: sum(F.col(n).cast("int") for n in names)
     out = out.withColumns({
@@ -164,7 +164,7 @@ def signal_effectiveness(signals: DataFrame, days: int = 20) -> DataFrame:
 
 
 def ma_signal(df: DataFrame) -> DataFrame:
-    df = df.withColumns({"sma_20": roll(F.avg, "close", 20, dense=True), "sma_50": roll(F.avg, "close", 50, dense=True)})
+    df = df.withColumns({"sma_20": roll(F.avg, "close", 20), "sma_50": roll(F.avg, "close", 50)})
     c, a, b = F.col("close"), F.col("sma_20"), F.col("sma_50")
     return last_row(df.select("symbol", "date", "close", "sma_20", "sma_50")).withColumn(
         "label", F.when((c > b) & (a > b), "Bullish").when((c < b) & (a < b), "Bearish").otherwise("Neutral"))

@@ -45,7 +45,7 @@ def _(t: Tables):
 
 @query("stacking")
 def _(t: Tables):
-    return fc.stacking(fc.training_table(t.bars), folds=3)[0]
+    return fc.stacking(fc.training_table(t.bars), folds=5)[0]
 
 
 @query("ensemble_weighted", f"SELECT symbol, date, max(y_true) AS y_true, sum({WC} * y_pred) AS y_pred FROM predictions GROUP BY 1, 2", P, r4="y_pred")

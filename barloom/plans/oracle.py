@@ -53,11 +53,11 @@ CTES = {
   SELECT symbol, date, eps_actual, lag(eps_actual) OVER ({W}) AS eps_estimate FROM (
     SELECT symbol, CAST(date_trunc('quarter', date) AS DATE) AS date, avg(close) AS eps_actual FROM bars GROUP BY 1, 2))""",
     "articles": """articles AS (
-  SELECT doc_id, md5(CAST(doc_id AS VARCHAR)) AS id, substr(text, 1, 60) AS title,
+  SELECT doc_id, md5(CAST(doc_id AS VARCHAR)) AS id, split_part(text, chr(10), 1) AS title,
          'https://news.example/' || doc_id AS link, text AS content,
          CAST(DATE '2024-01-01' + CAST(doc_id % 90 AS INTEGER) AS DATE) AS published, source, lang FROM documents)""",
     "questions": """questions AS (
-  SELECT conv_id * 1000 + turn AS query_id, CASE (conv_id + turn) % 3 WHEN 0 THEN s WHEN 1 THEN text ELSE s || ' ' || text END AS query
+  SELECT conv_id * 1000 + turn AS query_id, CASE (conv_id + turn) % 3 WHEN 0 THEN text || ' ' || s WHEN 1 THEN text ELSE s || ' ' || text END AS query
   FROM (SELECT *, [__SAMPLES__][(conv_id + turn) % 5 + 1] AS s FROM conversations WHERE role = 'user'))""".replace(
         "__SAMPLES__", ", ".join(f"'{q}'" for q in SAMPLE_QUESTIONS)),
     "centroids": """centroids AS (

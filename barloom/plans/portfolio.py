@@ -262,9 +262,9 @@ def _(t: Tables):
 @query("assess_scores", f"""{PM}, a AS (SELECT portfolio_id, count_if(weight > 0.01) AS asset_count, max(weight) AS max_weight FROM weights GROUP BY 1),
 b AS (SELECT portfolio_id, CAST(asset_count AS BIGINT) AS asset_count, max_weight, volatility, max_drawdown, CASE WHEN asset_count < 5 THEN 3 WHEN max_weight > 0.25 THEN 5 ELSE 8 END AS diversification_score,
   CASE WHEN volatility > 0.25 THEN 3 WHEN max_drawdown < -0.25 THEN 4 ELSE 7 END AS risk_score, 0 AS liquidity_score FROM a JOIN pm USING (portfolio_id))
-SELECT *, (diversification_score + risk_score) / 3 AS overall_score, concat_ws('; ', CASE WHEN asset_count < 5 THEN 'Consider adding more assets to improve diversification'
-  WHEN max_weight > 0.25 THEN 'Portfolio has concentrated positions, consider rebalancing' END, CASE WHEN volatility > 0.25 THEN 'Portfolio volatility is high, consider reducing risk'
-  WHEN max_drawdown < -0.25 THEN 'Portfolio has high drawdown risk, consider adding hedges' END) AS recommendations FROM b""", PS, r6="max_weight volatility max_drawdown overall_score")
+SELECT *, (diversification_score + risk_score) / 3 AS overall_score, concat_ws('; ', CASE WHEN asset_count < 5 THEN 'Too few assets: spread the money over more of them'
+  WHEN max_weight > 0.25 THEN 'One position outweighs the rest: trim it' END, CASE WHEN volatility > 0.25 THEN 'Prices swing widely: hold calmer assets'
+  WHEN max_drawdown < -0.25 THEN 'Past falls were deep: hedge or hold more cash' END) AS recommendations FROM b""", PS, r6="max_weight volatility max_drawdown overall_score")
 def _(t: Tables):
     return pf.assess_scores(t.weights, pf.portfolio_metrics(pf.portfolio_returns(t.returns, t.weights)))
 
@@ -488,10 +488,10 @@ def _(t: Tables):
     return t.bars.select("symbol", "date", "close", "volume").unionByName(t.returns, allowMissingColumns=True)
 
 
-@query("union_feeds", """, u AS (SELECT id, title, link, published, source FROM articles UNION ALL SELECT md5(url), substr(url, 1, 60), url, DATE '2024-01-01', 'web' FROM pages)
+@query("union_feeds", """, u AS (SELECT id, title, link, published, source FROM articles UNION ALL SELECT md5(url), url, url, DATE '2024-01-01', 'web' FROM pages)
 SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY lower(title) ORDER BY published, id) = 1""", "articles")
 def _(t: Tables):
-    web = t.raw("pages").select(F.md5("url").alias("id"), F.substring("url", 1, 60).alias("title"), F.col("url").alias("link"),
+    web = t.raw("pages").select(F.md5("url").alias("id"), F.col("url").alias("title"), F.col("url").alias("link"),
                                 F.lit("2024-01-01").cast("date").alias("published"), F.lit("web").alias("source"))
     both = t.articles.select("id", "title", "link", "published", "source").unionByName(web)
     first = both.groupBy(F.lower("title").alias("k")).agg(F.min_by(F.struct(*both.columns), F.struct("published", "id")).alias("r"))

@@ -56,10 +56,10 @@ def _(t: Tables):
     return jobs.run(jobs.stream_alerts(feed, RULES), "stream_alerts", "append")
 
 
-@query("stream_upsert_news", "SELECT DISTINCT md5(title) AS id, title FROM articles", "articles")
+@query("stream_upsert_news", "SELECT DISTINCT md5(content) AS id, title FROM articles", "articles")
 def _(t: Tables):
     docs = t.spark.readStream.schema("doc_id bigint, text string").option("pathGlobFilter", "documents.parquet").parquet(t.dir)
-    title = F.substring("text", 1, 60)
+    title = F.substring_index("text", "\n", 1)
     published = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 90).cast("int")).cast("timestamp")
-    items = docs.select(F.md5(title).alias("id"), title.alias("title"), published.alias("published_at"))
+    items = docs.select(F.md5("text").alias("id"), title.alias("title"), published.alias("published_at"))
     return jobs.run(jobs.stream_news(items), "stream_news", "append", ["id"]).select("id", "title")

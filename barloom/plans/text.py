@@ -119,11 +119,11 @@ def _(t: Tables):
 
 
 @query("chunk_words", r"""WITH w AS (SELECT doc_id, text, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM documents),
-c AS (SELECT doc_id, text, i, w[i * 80 + 1 : i * 80 + 100] AS cw, len(w) AS n FROM w, LATERAL (SELECT unnest(range(greatest((len(w) - 1) // 80, 0) + 1)) AS i))
-SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS chunk_index, CAST(count(*) OVER (PARTITION BY doc_id) AS INTEGER) AS chunk_count, CASE WHEN n <= 100 THEN text ELSE array_to_string(cw, ' ') END AS chunk
-FROM c WHERE CASE WHEN n <= 100 THEN i = 0 ELSE i = 0 OR len(cw) >= 50 END""")
+c AS (SELECT doc_id, text, i, w[i * 400 + 1 : i * 400 + 500] AS cw, len(w) AS n FROM w, LATERAL (SELECT unnest(range(greatest((len(w) - 1) // 400, 0) + 1)) AS i))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS chunk_index, CAST(count(*) OVER (PARTITION BY doc_id) AS INTEGER) AS chunk_count, CASE WHEN n <= 500 THEN text ELSE array_to_string(cw, ' ') END AS chunk
+FROM c WHERE CASE WHEN n <= 500 THEN i = 0 ELSE i = 0 OR len(cw) >= 250 END""")
 def _(t: Tables):
-    return tx.chunk_words(t.raw("documents").select("doc_id", "text"), "text", 100, 20).drop("text")
+    return tx.chunk_words(t.raw("documents").select("doc_id", "text"), "text", 500, 100).drop("text")
 
 
 def sentence_pack(src: str, keys: str) -> str:
@@ -232,7 +232,7 @@ def _(t: Tables):
 
 @query("knn_cross", ", " + KNN.format(src="(SELECT vec_id AS id, embedding FROM embeddings)", where="", k=10) + " SELECT * FROM kn", "centroids", r6="distance")
 def _(t: Tables):
-    return rt.knn(t.vectors, t.centroids, 10, strategy="blocked", block=(4, 128))
+    return rt.knn(t.vectors, t.centroids, 10, block=(4, 128))
 
 
 FILT = KNN.format(src="vector_articles", where="WHERE c.lang = 'en' AND c.published >= DATE '2024-01-15'", k=5)

@@ -248,3 +248,26 @@ def test_rolling_drawdown(spark):
         else:
             c = np.cumprod(1 + r[i - 9:i + 1])
             assert math.isclose(got[i], (c / np.maximum.accumulate(c) - 1).min(), abs_tol=1e-12)
+
+
+@pytest.mark.parametrize("at", [[0], [0, 1], [5], [10, 11, 12], [29], [0, 7, 8, 29], list(range(30))])
+def test_exponential_means_step_over_nulls(spark, at):
+    import pandas as pd
+
+    values = [None if i in at else 100 + (i * 7919 % 23) / 3 for i in range(30)]
+    df = spark.createDataFrame([(1, i, v) for i, v in enumerate(values)], "symbol long, date int, close double")
+    for span in (2, 3, 12):
+        want = pd.Series(values, dtype=float).ewm(span=span, adjust=False, ignore_na=True).mean()
+        adjusted = pd.Series(values, dtype=float).ewm(span=span, adjust=True, ignore_na=True).mean()
+        got = indicators.ema_adjusted(indicators.ema(df, span, out="y"), span, out="z").orderBy("date").collect()
+        for r, a, b in zip(got, want, adjusted):
+            assert (r.y is None and pd.isna(a)) or r.y == pytest.approx(a, rel=1e-12)
+            assert (r.z is None and pd.isna(b)) or r.z == pytest.approx(b, rel=1e-12)
+
+
+def test_rolling_frames_need_all_values(spark):
+    from barloom.functions.frames import roll
+
+    df = spark.createDataFrame([(1, i, None if i == 4 else float(i)) for i in range(10)], "symbol long, date int, close double")
+    got = {r.date: r.m for r in df.select("date", roll(F.avg, "close", 3).alias("m")).collect()}
+    assert got == {0: None, 1: None, 2: 1.0, 3: 2.0, 4: None, 5: None, 6: None, 7: 6.0, 8: 7.0, 9: 8.0}

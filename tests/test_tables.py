@@ -109,15 +109,15 @@ def test_near_duplicates_brute_force(spark):
     assert got == near_brute(items)
 
 
-@pytest.mark.parametrize("strategy", ["scan", "blocked", "auto"])
-def test_knn_brute_force(spark, strategy):
+@pytest.mark.parametrize("block", [(3, 40), (1024, 8192), (1, 1)])
+def test_knn_brute_force(spark, block):
     rng = np.random.default_rng(2)
     x, q = rng.normal(size=(200, 8)), rng.normal(size=(7, 8))
     x[50] = x[10]
     corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, embedding array<double>").repartition(5)
     queries = spark.createDataFrame([(f"q{i}", v.tolist()) for i, v in enumerate(q)], "query_id string, embedding array<double>")
     got = {}
-    for r in retrieval.knn(corpus, queries, 4, strategy, (3, 40)).orderBy("query_id", "rank").collect():
+    for r in retrieval.knn(corpus, queries, 4, block).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append(r["id"])
     for i, v in enumerate(q):
         assert got[f"q{i}"] == np.argsort(((x - v) ** 2).sum(1), kind="stable")[:4].tolist()
