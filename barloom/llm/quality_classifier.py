@@ -10,11 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.blocks import sample
 from barloom.llm.words import SPACE, bounded, mix, words
 from barloom.sources.readers import materialize
 
-#: Bits of a hashed word, labelled documents to learn from and bytes that each may have (this bounds what the driver
-#: takes), documents that a word needs among them and standard errors by which it must tell them apart, weight of an unlabelled document in its site's record.
+#: Bits of a hashed word, labelled documents to learn from (about; twice as many at most) and bytes that each may
+#: have (this bounds what the driver takes), documents that a word needs among them and standard errors by which it must tell them apart, weight of an unlabelled document in its site's record.
 FEATURES, LABELS, LABEL_BYTES, LEAST, CLEAR, SOFT = 18, 8192, 1 << 15, 5, 3.5, 0.1
 SHAPES = 10
 #: Bytes of the beginnings of words that count as words of their own.
@@ -109,9 +110,9 @@ def train(e: Evidence, good: np.ndarray, epochs: int = 40, rate: float = 0.3, de
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
-    """From the LABELS labelled documents of least hash, those of at most LABEL_BYTES bytes."""
-    chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELS)
-    rows = docs.where(F.octet_length("text") <= LABEL_BYTES).join(F.broadcast(chosen), "doc_id").select("text", "good")  # LABELS rows of two numbers
+    """From about LABELS labelled documents, chosen by hash, those of at most LABEL_BYTES bytes."""
+    chosen = sample(labels, LABELS, "doc_id")
+    rows = docs.where(F.octet_length("text") <= LABEL_BYTES).join(F.broadcast(chosen), "doc_id").select("text", "good")  # 2 * LABELS rows of two numbers at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, 1 << 22):
