@@ -50,35 +50,25 @@ def quantile_map(df: DataFrame, cols: list[str], qs: list[float]) -> Column:
     return q.agg(F.map_from_entries(F.collect_list(F.struct(key.alias("k"), "value")))).scalar()
 
 
-def with_row_index(df: DataFrame, first: str, rest: list[str], out: str = "row_index", parts: int = 256) -> DataFrame:
+#: Rows of a range that one task numbers.
+RANGE = 1 << 20
+
+
+def with_row_index(df: DataFrame, first: str, rest: list[str], out: str = "row_index", size: int = RANGE) -> DataFrame:
     """Zero-based position of every row in the order (first, *rest).
 
-    Rows are cut into value ranges of ``first`` by a sketch, and ranges into sub-ranges of the first of ``rest``
-    so that one value of ``first`` that owns a third of the rows is still split.  Each range counts its rows,
-    the running total of the counts (ranges only) is its offset, and rows are numbered inside their range.
-    The order must be total and both keys numeric or dates.  The input is passed over four times, so give it a
-    stored table (``readers.materialize``) unless it is a plain scan.
+    Spark's range partitioning over all keys deals the rows into ranges of about ``size`` rows, so a value of ``first``
+    with a third of the rows is split by the keys behind it.  The ranges are written once, each counts its rows, the
+    running total of the counts (one row per range) is its offset, and rows are numbered inside their range.  Equal rows
+    have neighbouring numbers in any order; nulls come first.
     """
-    def number(c: str) -> Column:
-        return F.unix_date(c) if dict(df.dtypes)[c] == "date" else F.col(c).cast("double")
-
-    def place(value: Column, cuts: Column, steps: int) -> Column:
-        """Number of cuts below the value, by binary search over the sorted cuts."""
-        powers = F.array(*[F.lit(2**i) for i in reversed(range(steps))])
-        return F.aggregate(powers, F.lit(0), lambda at, p: F.when(F.get(cuts, at + p - 1) < value, at + p).otherwise(at))
+    from barloom.sources.readers import materialize
 
-    marks = [(i + 1) / parts for i in range(parts - 1)]
-    df = df.withColumns({"_a": number(first).cast("double"), "_b": number(rest[0]).cast("double")})
-    cuts = df.agg(F.array_distinct(F.percentile_approx("_a", marks, 10_000))).scalar()
-    df = df.withColumn("_q", cuts).withColumn("_r", place(F.col("_a"), F.col("_q"), parts.bit_length())).drop("_q")
-    sub_marks = [(i + 1) / 16 for i in range(15)]
-    sub = df.groupBy("_r").agg(F.array_distinct(F.percentile_approx("_b", sub_marks, 1_000)).alias("_cuts"), (F.min("_a") == F.max("_a")).alias("_one"))
-    df = df.join(F.broadcast(sub), "_r")  # at most ``parts`` rows
-    # a range of several first values is ordered by them, so only a single-valued range is cut by the second key
-    df = df.withColumn("_s", F.when(F.col("_one"), place(F.col("_b"), F.col("_cuts"), 4)).otherwise(0)).drop("_cuts", "_one")
-    sizes = df.groupBy("_r", "_s").agg(F.count("*").alias("_c"))
-    before = F.sum("_c").over(W.partitionBy(F.lit(1)).orderBy("_r", "_s").rowsBetween(W.unboundedPreceding, -1))
-    offsets = sizes.select("_r", "_s", F.coalesce(before, F.lit(0)).alias("_o"))
-    inside = F.row_number().over(W.partitionBy("_r", "_s").orderBy(first, *rest)) - 1
-    df = df.join(F.broadcast(offsets), ["_r", "_s"])  # at most 16 * parts rows
-    return df.withColumn(out, F.col("_o") + inside).drop("_a", "_b", "_r", "_s", "_o")
+    keys = [first, *rest]
+    n = df.count()
+    dealt = materialize(df.repartitionByRange(max(1, -(-n // size)), *keys).withColumn("_r", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy("_r").agg(F.count("*").alias("_c"))
+    before = F.sum("_c").over(W.partitionBy(F.lit(1)).orderBy("_r").rowsBetween(W.unboundedPreceding, -1))
+    offsets = sizes.select("_r", F.coalesce(before, F.lit(0)).alias("_o"))
+    inside = F.row_number().over(W.partitionBy("_r").orderBy(*keys)) - 1
+    return dealt.join(offsets, "_r").withColumn(out, F.col("_o") + inside).drop("_r", "_o")

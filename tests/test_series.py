@@ -156,7 +156,7 @@ def test_exact_quantiles_of_short_columns(spark, n):
 def test_row_index_with_hot_first_key(spark):
     rng = np.random.default_rng(4)
     rows = [(float(a), float(b)) for a, b in zip(np.where(rng.random(5000) < 0.4, 3.0, rng.integers(0, 900, 5000)), rng.permutation(5000))]
-    got = with_row_index(spark.createDataFrame(rows, "a double, b double").repartition(6), "a", ["b"], parts=32).toPandas().sort_values(["a", "b"])
+    got = with_row_index(spark.createDataFrame(rows, "a double, b double").repartition(6), "a", ["b"], size=200).toPandas().sort_values(["a", "b"])
     assert got["row_index"].tolist() == list(range(5000))
 
 
@@ -271,3 +271,25 @@ def test_rolling_frames_need_all_values(spark):
     df = spark.createDataFrame([(1, i, None if i == 4 else float(i)) for i in range(10)], "symbol long, date int, close double")
     got = {r.date: r.m for r in df.select("date", roll(F.avg, "close", 3).alias("m")).collect()}
     assert got == {0: None, 1: None, 2: 1.0, 3: 2.0, 4: None, 5: None, 6: None, 7: 6.0, 8: 7.0, 9: 8.0}
+
+
+def test_ranges_split_a_hot_value(spark):
+    """A third of the rows have one value among 2,500 others: no range holds much more than its share."""
+    from barloom.sources import readers
+
+    rows = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 2500).alias("a"), F.col("id").alias("b"))
+    sizes = []
+    keep = readers.materialize
+
+    def watched(df, name="stage"):
+        stored = keep(df, name)
+        sizes.extend(r["count"] for r in stored.groupBy("_r").count().collect())
+        return stored
+
+    readers.materialize = watched
+    try:
+        got = with_row_index(rows, "a", ["b"], size=3000)
+        assert got.select("a", "b").orderBy("row_index").limit(30_000).collect() == rows.orderBy("a", "b").limit(30_000).collect()
+    finally:
+        readers.materialize = keep
+    assert max(sizes) < 2 * 3000 and sum(sizes) == 60_000
