@@ -23,7 +23,8 @@ def peer_compare(returns: DataFrame, target, n: int = 5) -> DataFrame:
         st.ratio(F.covar_samp("ret", "t"), F.var_samp("t")).alias("beta")).withColumn("_len", length)
     top = out.where(F.col("n") == F.col("_len")).drop("_len").orderBy(F.desc(F.abs("correlation")), "symbol").limit(n)
     top = st.pearson_p(top)
-    return top.withColumn("significance", F.when(F.col("p_value") < 0.05, "significant").otherwise("not significant"))
+    # fixed values: the grades and their limits
+    return top.withColumn("significance", F.when(F.col("p_value") < 0.05, "High").when(F.col("p_value") < 0.1, "Medium").otherwise("Low"))
 
 
 def top_peers(returns: DataFrame, target, sizes: DataFrame | None = None, n: int = 5, min_rows: int = 20) -> DataFrame:

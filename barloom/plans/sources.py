@@ -137,7 +137,8 @@ def _(t: Tables):
     ev = t.raw("events").select(F.col("user_id").alias("symbol"), F.when(F.col("event_type") != "view", F.col("event_id")).alias("event_id"),
                                 F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), "value")
     rows = ev.select("symbol", upsert.event_key("event_id", "at").alias("k"), "value")
-    return upsert.upsert(rows.where("value < 10"), rows.where("value >= 10"), ["symbol", "k"])
+    stored = rows.where("value < 10").groupBy("symbol", "k").agg(F.max("value").alias("value"))
+    return upsert.upsert(stored, rows.where("value >= 10"), ["symbol", "k"])
 
 
 @query("upsert_by_key", """, a AS (SELECT symbol, 'overview' AS type, name FROM securities), b AS (SELECT symbol, 'overview' AS type, upper(name) AS name FROM securities WHERE balance > 0)

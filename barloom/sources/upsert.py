@@ -7,17 +7,24 @@ from pyspark.sql import functions as F
 
 
 def upsert(stored: DataFrame, incoming: DataFrame, keys: list[str], now: Column | None = None) -> DataFrame:
-    """Incoming rows replace stored rows of the same key; the last incoming row of a key wins by ``updated_at``.
+    """Incoming fields replace those of the stored row with the same key; keys that are not stored are added.
 
-    The winner is a mergeable ``max_by``, so a key that arrives many times is reduced before the shuffle.
+    A field that is null or absent in the incoming row keeps its stored value.  Where a key arrives more than once the
+    last value of each field counts, by ``updated_at`` and then by the row's values.  Only the incoming rows are
+    aggregated, before and after the shuffle; the stored rows, one per key, are joined as they are.
     """
     if now is not None:
         incoming = incoming.withColumn("updated_at", now)
-    both = stored.withColumn("_new", F.lit(0)).unionByName(incoming.withColumn("_new", F.lit(1)), allowMissingColumns=True)
-    rest = [c for c in both.columns if c not in keys and c != "_new"]
-    order = F.struct("_new", *( ["updated_at"] if "updated_at" in both.columns else []), *[c for c in rest if c != "updated_at"])
-    out = both.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("r"))
-    return out.select(*keys, *[F.col(f"r.{c}").alias(c) for c in rest])
+    given = [c for c in incoming.columns if c not in keys]
+    order = F.struct(*(["updated_at"] if "updated_at" in given else []), *[c for c in given if c != "updated_at"], F.lit(0))
+    last = incoming.groupBy(*keys).agg(F.lit(True).alias("_in"), *[F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(f"_{c}") for c in given])
+    last = last.withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = [stored[k].eqNullSafe(last[f"_{k}"]) for k in keys]
+    joined = stored.join(last, same, "full")
+    rest = [c for c in stored.columns if c not in keys]
+    columns = [F.when(F.col("_in"), F.col(f"_{k}")).otherwise(F.col(k)).alias(k) for k in keys]
+    columns += [F.coalesce(f"_{c}", c).alias(c) if c in given else F.col(c) for c in rest]
+    return joined.select(*columns, *[F.col(f"_{c}").alias(c) for c in given if c not in rest])
 
 
 def event_key(id_col: str, time_col: str) -> Column:

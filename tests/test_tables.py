@@ -218,3 +218,10 @@ def test_join_unique_with_a_hot_key(spark):
     got = join_unique(big, small, "k", "n")
     want = big.join(small.drop("n"), "k")
     assert got.count() == 30000 and got.exceptAll(want.select(*got.columns)).count() == 0
+
+
+def test_upsert_merges_fields(spark):
+    stored = spark.createDataFrame([(1, 1.0, "a", 0), (2, 2.0, "b", 0), (None, 3.0, "c", 0)], "k int, v double, name string, kept int")
+    incoming = spark.createDataFrame([(1, None, "x", 1), (1, 5.0, None, 2), (1, 4.0, "y", 1), (3, 9.0, None, 1), (None, None, "z", 1)], "k int, v double, name string, updated_at int")
+    got = sorted(upsert.upsert(stored, incoming, ["k"]).collect(), key=str)
+    assert sorted([(1, 5.0, "y", 0, 2), (2, 2.0, "b", 0, None), (3, 9.0, None, None, 1), (None, 3.0, "z", 0, 1)], key=str) == sorted([tuple(r) for r in got], key=str)
