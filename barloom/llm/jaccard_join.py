@@ -1,10 +1,12 @@
 """Documents linked by the Jaccard similarity of their word shingles, and the components of the links.
 
 Sets are points of a metric space (distance = 1 - similarity).  Unrelated documents all lie at distance 1, so pivots
-over the whole corpus would separate nothing.  The first split is therefore by exact block signatures, which bring
-together every pair that can be linked; within the regions that they form, distances tell documents apart, and pivots
-cut them into Voronoi cells.  A document joins every cell whose pivot is at most two radii farther than its nearest one,
-so by the triangle inequality linked documents share the nearer one's cell; cells are cut again until they are small.
+chosen among the documents would separate nothing at first.  The pivots of the first split are therefore single
+shingles: a document lies in the cells of its rarest ones, as many as a linked document can lack, and one more, so that
+two linked documents share a cell.  Within the regions that these cells form, distances tell documents apart, and pivot
+documents cut them into Voronoi cells.  A document joins every cell whose pivot is at most two radii farther than its
+nearest one, so by the triangle inequality linked documents share the nearer one's cell; cells are cut again until they
+are small.
 """
 
 from __future__ import annotations
@@ -16,12 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.blocks import squeeze, unsqueeze
 from barloom.llm.components import components
 from barloom.llm.words import bounded, mix, shingles, words
 from barloom.sources.readers import materialize
 
 #: Words of a shingle, least similarity in percent, members of a region that one task takes, pivots, members compared pair by pair.
 SHINGLE, PERCENT, REGION, PIVOTS, SMALL = 3, 90, 4096, 16, 24
+#: Bits of the table that tells rare shingles from frequent ones; it decides the order of pivots, not the result.
+SLOTS = 22
 #: Rows of three numbers or fewer up to which a side of a join is broadcast.
 BROADCAST = 250_000
 
@@ -39,53 +44,39 @@ def set_hash(members: np.ndarray) -> int:
     return int((mix(members ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) ^ mix(np.array([len(members)], np.uint64))[0]).view(np.int64))
 
 
-class Sizes:
-    """Set sizes in classes such that linked sets lie in one class or in two neighbouring ones."""
+def rarest(members: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """The set's first elements in a fixed order of all elements, rare ones first.
 
-    def __init__(self, percent: int):
-        self.percent = percent
-        self.starts = [1]
-
-    def of(self, n: int) -> int:
-        while self.starts[-1] <= n:
-            self.starts.append(self.starts[-1] * 100 // self.percent + 1)
-        return int(np.searchsorted(self.starts, n, "right")) - 1
+    Of n elements a linked set lacks at most (1 - s) n.  So the first common element of two linked sets lies, in each of
+    them, among the first (1 - s) n + 1.  ``counts`` only has to be the same for all sets.
+    """
+    order = np.lexsort((mix(members), counts[(members >> np.uint64(64 - SLOTS)).astype(np.int64)]))
+    return members[order[:len(members) * (100 - percent) // 100 + 1]]
 
-    def blocks(self, k: int) -> tuple[int, int]:
-        """Blocks for pairs whose greater set is of class k, and the spare ones among them.
 
-        Linked sets of at most u elements differ in at most 2u(1 - s)/(1 + s) elements; with one block more than that,
-        one block at least is equal, and with further ones that many more.
-        """
-        self.of(self.starts[k] if k < len(self.starts) else 1)
-        while len(self.starts) < k + 2:
-            self.starts.append(self.starts[-1] * 100 // self.percent + 1)
-        differ = 2 * (self.starts[k + 1] - 1) * (100 - self.percent) // (100 + self.percent)
-        spare = 2 + differ // 8
-        return (differ + 1 + spare, spare) if differ else (0, 0)
+def slot_counts(docs: DataFrame, size: int) -> np.ndarray:
+    """How many sets of all documents have an element in each of 2^SLOTS slots: a table of fixed size."""
+    chunk = 1 << 16
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << SLOTS, np.uint32)
+        for batch in bounded(batches, 1 << 22):
+            found = list(shingle_sets(batch.column(0), size))
+            if found:
+                total += np.bincount((np.concatenate(found) >> np.uint64(64 - SLOTS)).astype(np.int64), minlength=len(total)).astype(np.uint32)
+        parts = [(k, squeeze(part)) for k, part in enumerate(total.reshape(-1, chunk)) if part.any()]
+        columns = list(zip(*parts)) or [(), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary())], ["chunk", "counts"])
 
-def signatures(members: np.ndarray, sizes: Sizes) -> np.ndarray:
-    """Hashes of the set's blocks, for pairs in which it is the greater one's class and for those in which it is below it.
+    def add(table: pa.Table) -> pa.Table:
+        total = sum((unsqueeze(x, chunk, np.uint32).astype(np.uint64) for x in table["counts"].to_pylist()), np.zeros(chunk, np.uint64))
+        return pa.table([table["chunk"][:1], pa.array([squeeze(np.minimum(total, 0xFFFFFFFF).astype(np.uint32))], pa.binary())], names=["chunk", "counts"])
 
-    Equal sets need none.  Blocks of one element or none, which unrelated sets share easily, are left out unless the set
-    has more of them than spare blocks: if all equal blocks of two linked sets are that thin, both have more.
-    """
-    own = sizes.of(len(members))
-    out = []
-    for k in (own, own + 1):
-        m, spare = sizes.blocks(k)
-        if not m:
-            continue
-        block = (mix(members + np.uint64(k + 1)) % np.uint64(m)).astype(np.int64)
-        order = np.argsort(block, kind="stable")
-        filled, at = np.unique(block[order], return_index=True)
-        sums = np.zeros(m, np.uint64)
-        sums[filled] = np.add.reduceat(mix(members[order]), at)
-        keys = mix(sums ^ mix((np.arange(m) + (k + 1) * 1_000_003).astype(np.uint64)))
-        thick = filled[np.diff(np.append(at, len(members))) > 1]
-        out.append(keys if m - len(thick) > spare else keys[thick])
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    counts = np.zeros((1 << SLOTS) // chunk * chunk, np.uint32).reshape(-1, chunk)
+    rows = docs.mapInArrow(run, "chunk bigint, counts binary").groupBy("chunk").applyInArrow(add, "chunk bigint, counts binary")
+    for row in rows.collect():  # one row per chunk of the table
+        counts[row.chunk] = unsqueeze(row.counts, chunk, np.uint32)
+    return counts.reshape(-1)
 
 
 def sets(docs: DataFrame, size: int = SHINGLE, text: str = "text") -> DataFrame:
@@ -103,18 +94,20 @@ def sets(docs: DataFrame, size: int = SHINGLE, text: str = "text") -> DataFrame:
 def candidates(docs: DataFrame, size: int, percent: int, text: str = "text") -> DataFrame:
     """Edges (u, v) between sets such that every pair of linked sets is connected.
 
-    Rows (signature, node) are sorted within partitions, and each node is linked to the first one of its signature, so
-    a signature of any size passes through as a stream and makes one edge per node.
+    Rows (pivot, node) are sorted within partitions, and each node is linked to the first one of its pivot, so a cell of
+    any size passes through as a stream and makes one edge per node.
     """
+    rows = docs.select(F.col(text).alias("text")).where("text is not null")
+    counts = docs.sparkSession.sparkContext.broadcast(slot_counts(rows, size))
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = Sizes(percent)
         for batch in bounded(batches, 1 << 22):
             keys, nodes, seen = [], [], set()
             for members in shingle_sets(batch.column(0), size):
                 node = set_hash(members)
                 if len(members) and node not in seen:
                     seen.add(node)
-                    own = signatures(members, sizes)
+                    own = rarest(members, counts.value, percent)
                     keys.append(own)
                     nodes.append(np.full(len(own), node, np.int64))
             key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
@@ -136,7 +129,7 @@ def candidates(docs: DataFrame, size: int, percent: int, text: str = "text") ->
             pairs = np.unique(np.stack([nodes, leads], 1)[nodes != leads], axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
 
-    rows = docs.select(F.col(text).alias("text")).where("text is not null").mapInArrow(emit, "key bigint, node bigint")
+    rows = rows.mapInArrow(emit, "key bigint, node bigint")
     return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(stars, "u bigint, v bigint").distinct()
 
 
