@@ -61,15 +61,26 @@ def links(messages: DataFrame) -> DataFrame:
 
 
 def climb(parents: DataFrame) -> DataFrame:
-    """(id, root_id, depth) from (id, parent_id) without cycles, by doubling the steps that each message looks up."""
-    at = materialize(parents.select("id", F.coalesce("parent_id", "id").alias("up"), F.when(F.col("parent_id").isNull(), 0).otherwise(1).alias("depth")), "climb")
-    while at.where("depth > 0").limit(1).count():
-        above = at.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
-        longer = materialize(at.join(above, "up").select("id", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved")), "climb")
-        at = longer.drop("moved")
-        if not longer.where("moved").limit(1).count():
-            break
-    return at.select("id", F.col("up").alias("root_id"), "depth")
+    """(id, root_id, depth) from (id, parent_id) without cycles, every parent being an id.
+
+    Each message looks up where the one it points to points, which doubles the steps of a round; those that point to a
+    root are done and leave the rounds, so long threads alone take part in the later ones.
+    """
+    done = [parents.where("parent_id is null").select("id", F.col("id").alias("up"), F.lit(0).alias("depth"))]
+    todo = parents.where("parent_id is not null").select("id", F.col("parent_id").alias("up"), F.lit(1).alias("depth"))
+    while todo.limit(1).count():
+        above = todo
+        for part in done:
+            above = above.unionByName(part)
+        above = above.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
+        moved = materialize(todo.join(above, "up").select(
+            "id", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") == 0).alias("final")), "climb")
+        done.append(moved.where("final").drop("final"))
+        todo = moved.where("not final").drop("final")
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out.select("id", F.col("up").alias("root_id"), "depth")
 
 
 def conversations(messages: DataFrame, text: str = "text") -> DataFrame:
