@@ -145,10 +145,10 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.02, confidence: float = 0.95, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose document is kept, with their own columns.  doc_id is taken as a key."""
-    verdict = judge(docs, labels, stratum, risk, confidence, text).where("kept").select("doc_id").distinct()
-    return docs.join(verdict, "doc_id", "left_semi").select(*docs.columns)
-
+    """The rows of ``docs`` of kept documents, with their own columns; rows with one doc_id, or with none, stay together if
+    the verdict keeps any of them."""
+    verdict = judge(docs, labels, stratum, risk, confidence, text).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(verdict, docs["doc_id"].eqNullSafe(verdict["_kept"]), "left_semi")
 
 
 def sql(risk: float = 0.02, confidence: float = 0.95) -> str:
