@@ -23,10 +23,10 @@ from barloom.llm.components import components
 from barloom.llm.words import bounded, mix, shingles, words
 from barloom.sources.readers import materialize
 
-#: Words of a shingle, least similarity in percent, members of a region that one task takes, pivots, members compared pair by pair.
-SHINGLE, PERCENT, REGION, PIVOTS, SMALL = 3, 90, 4096, 16, 24
+#: Words of a shingle, least similarity in percent, shingles of a region that one task takes, pivots, members compared pair by pair.
+SHINGLE, PERCENT, REGION, PIVOTS, SMALL = 3, 90, 1 << 21, 16, 24
 #: Bits of the table that tells rare shingles from frequent ones; it decides the order of pivots, not the result.
-SLOTS = 22
+SLOTS = 24
 #: Rows of three numbers or fewer up to which a side of a join is broadcast.
 BROADCAST = 250_000
 
@@ -59,23 +59,25 @@ def slot_counts(docs: DataFrame, size: int) -> np.ndarray:
     chunk = 1 << 16
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SLOTS, np.uint32)
+        total = np.zeros(1 << SLOTS, np.uint16)
         for batch in bounded(batches, 1 << 22):
             found = list(shingle_sets(batch.column(0), size))
             if found:
-                total += np.bincount((np.concatenate(found) >> np.uint64(64 - SLOTS)).astype(np.int64), minlength=len(total)).astype(np.uint32)
+                slot, n = np.unique(np.concatenate(found) >> np.uint64(64 - SLOTS), return_counts=True)
+                slot = slot.astype(np.int64)
+                total[slot] = np.minimum(total[slot] + n, 0xFFFF)
         parts = [(k, squeeze(part)) for k, part in enumerate(total.reshape(-1, chunk)) if part.any()]
         columns = list(zip(*parts)) or [(), ()]
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary())], ["chunk", "counts"])
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum((unsqueeze(x, chunk, np.uint32).astype(np.uint64) for x in table["counts"].to_pylist()), np.zeros(chunk, np.uint64))
-        return pa.table([table["chunk"][:1], pa.array([squeeze(np.minimum(total, 0xFFFFFFFF).astype(np.uint32))], pa.binary())], names=["chunk", "counts"])
+        total = sum((unsqueeze(x, chunk, np.uint16).astype(np.uint64) for x in table["counts"].to_pylist()), np.zeros(chunk, np.uint64))
+        return pa.table([table["chunk"][:1], pa.array([squeeze(np.minimum(total, 0xFFFF).astype(np.uint16))], pa.binary())], names=["chunk", "counts"])
 
-    counts = np.zeros((1 << SLOTS) // chunk * chunk, np.uint32).reshape(-1, chunk)
+    counts = np.zeros(1 << SLOTS, np.uint16).reshape(-1, chunk)
     rows = docs.mapInArrow(run, "chunk bigint, counts binary").groupBy("chunk").applyInArrow(add, "chunk bigint, counts binary")
     for row in rows.collect():  # one row per chunk of the table
-        counts[row.chunk] = unsqueeze(row.counts, chunk, np.uint32)
+        counts[row.chunk] = unsqueeze(row.counts, chunk, np.uint16)
     return counts.reshape(-1)
 
 
@@ -244,7 +246,7 @@ def as_sets(column) -> list[np.ndarray]:
 
 
 def join_regions(members: DataFrame, percent: int) -> DataFrame:
-    """Edges (u, v) that connect what is linked, from (region, node, shingles) with at most REGION members a region."""
+    """Edges (u, v) that connect what is linked, from (region, node, shingles) with at most REGION shingles a region (or one member)."""
     def run(table: pa.Table) -> pa.Table:
         nodes = table["node"].to_numpy()
         _, first = np.unique(nodes, return_index=True)
@@ -267,9 +269,14 @@ def split_regions(members: DataFrame, percent: int, limit: int, pivots: int = PI
     chosen = chosen.groupBy("region").agg(F.array_agg("p.node").alias("pivot_nodes"), F.array_agg("p.shingles").alias("pivot_sets"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kinds = ["region", "node", "shingles", "pivot"], [pa.int64(), pa.int64(), pa.binary(), pa.int64()]
         for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
+            rows, held = [], 0
+            for at in range(len(batch)):
+                if held > 1 << 24:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+                    rows, held = [], 0
+                r = batch.slice(at, 1).to_pylist()[0]  # a row holds all pivots
                 own = np.frombuffer(r["shingles"], np.uint64)
                 shared = np.array([len(np.intersect1d(own, np.frombuffer(p, np.uint64), assume_unique=True)) for p in r["pivot_sets"]])
                 union = np.array([len(own) + len(p) // 8 for p in r["pivot_sets"]]) - shared
@@ -278,8 +285,8 @@ def split_regions(members: DataFrame, percent: int, limit: int, pivots: int = PI
                     linked = 100 * shared[k] >= percent * union[k]
                     cell = int(mix(np.array([r["region"], r["pivot_nodes"][k]], np.int64).view(np.uint64)).sum(dtype=np.uint64).view(np.int64))
                     rows.append((cell, r["node"], r["shingles"], r["pivot_nodes"][k] if linked else None))
-            columns = list(zip(*rows)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64(), pa.int64(), pa.binary(), pa.int64()])], ["region", "node", "shingles", "pivot"])
+                    held += len(r["shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 4, kinds)], names)
 
     cells = materialize(members.join(chosen, "region").mapInArrow(run, "region bigint, node bigint, shingles binary, pivot bigint"), "cells")
     edges = cells.where("pivot is not null and pivot <> node").select(F.col("node").alias("u"), F.col("pivot").alias("v"))
@@ -290,7 +297,7 @@ def join_large(members: DataFrame, percent: int, limit: int, rounds: int = 3) ->
     """Edges within regions of any size: cells by pivots for a few rounds, then all pairs of parts of what stays large."""
     edges = None
     for level in range(rounds + 1):
-        counts = members.groupBy("region").agg(F.count("*").alias("size"))
+        counts = members.groupBy("region").agg(F.sum(F.octet_length("shingles") / 8).alias("size"))
         small = members.join(counts.where(F.col("size") <= limit), "region", "left_semi")
         found = join_regions(small, percent)
         edges = found if edges is None else edges.unionByName(found)
@@ -302,8 +309,8 @@ def join_large(members: DataFrame, percent: int, limit: int, rounds: int = 3) ->
             break
         members, linked = split_regions(members.drop("size"), percent, limit)
         edges = edges.unionByName(linked)
-    # each member meets each part of its region once: parts of half the limit, in pairs
-    parts = F.ceil(F.col("size") * 2 / limit).cast("int")
+    # each member meets each part of its region once: parts of about a third of the limit, in pairs
+    parts = F.ceil(F.col("size") * 3 / limit).cast("int")
     own = members.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int"))
     paired = own.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1))).select(
         F.xxhash64("region", F.least("part", "other"), F.greatest("part", "other")).alias("region"), "node", "shingles")
