@@ -61,7 +61,7 @@ def brute_components(rows, size, percent):
     return {k: (len(sets[k]), find(k)) for k in sets}
 
 
-@pytest.mark.parametrize("size,percent,limit", [(3, 90, 4096), (5, 80, 4096), (3, 60, 8)])
+@pytest.mark.parametrize("size,percent,limit", [(3, 90, 1 << 21), (5, 80, 1 << 21), (3, 60, 900)])
 def test_jaccard_components(spark, documents, size, percent, limit):
     rows = corpus(size)
     got = jaccard_join.join(documents(rows), size, percent, limit).collect()
