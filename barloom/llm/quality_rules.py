@@ -24,6 +24,8 @@ RULES = [
     ("lines", "n_dup_lines", "n_lines", [90, 80, 70, 60, 50, 40, 30, 25, 20, 15, 10]),
     ("long_words", "word_chars", "n_words", [4000, 3000, 2500, 2000, 1800, 1600, 1400, 1200, 1100, 1000, 900]),
 ]
+#: Steps of all ladders in one, as positions in each: word length, which differs between languages, goes last.
+TOGETHER = [(i, min(i, 11), min(i, 10), i // 3) for i in range(16)] + [(15, 11, 10, i) for i in range(6, 11)]
 BASE_WORDS, BASE_REPEATS = 50, 50
 #: Strata up to which their cutoffs (four numbers each) are broadcast.
 STRATA = 10_000
@@ -123,19 +125,70 @@ def cutoffs(labelled: DataFrame, stratum: str, risk: float = 0.02, confidence: f
         "stratum", "rule", F.col("s.cutoff").alias("cutoff"), F.col("s.n").alias("n_good"), F.col("s.k").alias("n_rejected"))
 
 
-def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.02, confidence: float = 0.95, text: str = "text") -> DataFrame:
+def pooled_cutoffs(labelled: DataFrame, stratum: str, risk: float = 0.02, confidence: float = 0.95, good: str = "good") -> DataFrame:
+    """One row per stratum with a cutoff: stratum, pooled, n_good and the cutoff of each rule (null: none).
+
+    Strata with fewer good documents than a test without a single rejection needs are pooled and tested as one more
+    stratum; there the bound holds for the pool's good documents together.  If the pool is below that need as well, its
+    rules descend TOGETHER and one test for the whole of ``risk`` takes the place of one per rule.  Which tests are made
+    depends on the strata's sizes alone, and they share the error as in ``cutoffs``, the pool as a further stratum.  A
+    stratum without any good document, and a pool too small for TOGETHER, have no row.
+    """
+    share = risk / len(RULES)
+
+    def rejects(at: tuple[int, ...]) -> Column:
+        return F.sum(F.array_contains(F.array(*[exceeds(a, b, ladder[i]) for i, (_, a, b, ladder) in zip(at, RULES)]), True).cast("long"))
+
+    counted = {f"{name}_{c}": F.sum(exceeds(a, b, c).cast("long")) for name, a, b, ladder in RULES for c in ladder}
+    counted |= {f"together_{i}": rejects(at) for i, at in enumerate(TOGETHER)}
+    per = labelled.where(good).groupBy(F.col(stratum).alias("stratum")).agg(F.count("*").alias("n"), *[v.alias(k) for k, v in counted.items()])
+    per = materialize(per, "strata")  # one row per stratum
+    allowed = math.log((1 - confidence) / (per.count() + 1))
+    each = allowed - math.log(len(RULES))
+    need = math.ceil(each / math.log1p(-share))
+    few = F.col("n") < need
+    pool = per.where(few).agg(*[F.sum(c).alias(c) for c in per.columns[1:]]).where("n is not null")
+    units = per.where(~few).withColumn("pooled", F.lit(False)).unionByName(pool.withColumns({"stratum": F.lit(""), "pooled": F.lit(True)}))
+    steps = F.explode(F.array(*[
+        F.struct(F.lit(rule).alias("rule"), F.lit(i).alias("step"), F.col(f"{rule}_{c}").alias("k"))
+        for rule, cs in [*((name, ladder) for name, *_, ladder in RULES), ("together", range(len(TOGETHER)))] for i, c in enumerate(cs)]))
+    steps = units.select("stratum", "pooled", "n", steps.alias("s")).select("stratum", "pooled", "n", "s.*").where((F.col("rule") == "together") == few)
+
+    def passed(p: float, level: float) -> Column:
+        near = F.col("k") <= F.col("n") * p
+        return F.when(near, log_at_most(F.when(near, F.col("k")).otherwise(F.lit(0).cast("long")), F.col("n"), p) <= level).otherwise(False)
+
+    steps = steps.withColumn("passed", F.when(few, passed(risk, allowed)).otherwise(passed(share, each)))
+    # the step before the first failure
+    best = steps.groupBy("stratum", "pooled", "n", "rule").agg(
+        (F.coalesce(F.min(F.when(~F.col("passed"), F.col("step"))), F.max("step") + 1) - 1).alias("step")).where("step >= 0")
+    literal = lambda cs: F.array(*map(F.lit, cs))
+    wide = best.groupBy("stratum", "pooled", F.col("n").alias("n_good")).agg(*[
+        F.max(F.when(F.col("rule") == name, F.get(literal(ladder), F.col("step"))).when(
+            F.col("rule") == "together", F.get(literal([ladder[at[r]] for at in TOGETHER]), F.col("step")))).alias(name)
+        for r, (name, *_, ladder) in enumerate(RULES)])
+    shared = per.where(few).select("stratum").crossJoin(F.broadcast(wide.where("pooled").drop("stratum")))  # one row
+    return wide.where("not pooled").unionByName(shared)
+
+
+def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.02, confidence: float = 0.95, text: str = "text", pooled: bool = False) -> DataFrame:
     """doc_id, the stratum, the counts of ``features``, base_failed, rejected_by (names of rules) and kept, per row of docs.
 
     ``labels``: doc_id, quality (1: good); a repeated doc_id counts once, good only if all its labels say so; null labels
     and labels of unknown documents count nowhere.  A null stratum is a stratum of its own.  Repeated rows of ``docs``
-    give repeated rows.  Without labels only the base rules reject.
+    give repeated rows.  Without labels only the base rules reject.  ``pooled``: cutoffs of ``pooled_cutoffs`` instead of
+    those of ``cutoffs``.
     """
     counted = features(docs.select("doc_id", F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), F.col(text).alias("text")))
     # seven numbers a document; the texts are read once
     counted = materialize(counted.drop("text").withColumn("base_failed", base_failed()), "rules")
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.min("quality") == 1).alias("good"))
-    chosen = cutoffs(counted.where(~F.col("base_failed")).join(known, "doc_id"), "stratum", risk, confidence)
-    wide = chosen.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == name, F.col("cutoff"))).alias(f"_{name}") for name, *_ in RULES])
+    labelled = counted.where(~F.col("base_failed")).join(known, "doc_id")
+    if pooled:
+        wide = pooled_cutoffs(labelled, "stratum", risk, confidence).select("stratum", *[F.col(name).alias(f"_{name}") for name, *_ in RULES])
+    else:
+        chosen = cutoffs(labelled, "stratum", risk, confidence)
+        wide = chosen.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == name, F.col("cutoff"))).alias(f"_{name}") for name, *_ in RULES])
     wide = materialize(wide, "cutoffs")
     if wide.limit(STRATA + 1).count() <= STRATA:  # else both sides are shuffled
         wide = F.broadcast(wide)
@@ -145,9 +198,9 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.02, confidence: float = 0.95, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` of kept documents, with their own columns; rows with one doc_id, or with none, stay together if
-    the verdict keeps any of them."""
-    verdict = judge(docs, labels, stratum, risk, confidence, text).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    """The rows of ``docs`` of kept documents by ``pooled_cutoffs``, with their own columns; rows with one doc_id, or with none,
+    stay together if the verdict keeps any of them."""
+    verdict = judge(docs, labels, stratum, risk, confidence, text, pooled=True).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
     return docs.join(verdict, docs["doc_id"].eqNullSafe(verdict["_kept"]), "left_semi")
 
 

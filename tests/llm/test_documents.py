@@ -85,6 +85,17 @@ def test_rules_on_odd_rows(spark, documents):
     assert kept.columns == documents(rows).columns and {r.doc_id for r in kept.collect()} == {3, None}
 
 
+def test_sparse_languages_are_judged_together(spark, documents):
+    """Three languages, none of which has the good documents that a bound of its own needs."""
+    clean, junk = " ".join(f"word{i}" for i in range(60)), " ".join(f"word{i} #$%*&|<>" for i in range(60))
+    for n in (100, 500):  # the pool allows one test for all rules, or one for each
+        rows = [(10_000 * k + i, junk if i >= n else clean, lang, "s") for k, lang in enumerate(("de", "fr", "es")) for i in range(n + 5)] + [(99_999, junk, "xx", "s")]
+        labels = spark.createDataFrame([(r[0], int(r[1] == clean), 0) for r in rows], "doc_id long, quality int, toxic int")
+        kept = {r.doc_id for r in quality_rules.kept_documents(documents(rows), labels).collect()}
+        # a language without a good document has no certificate
+        assert kept == {r[0] for r in rows if r[1] == clean} | {99_999}
+
+
 # quality classifier
 
 
