@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 import harness
 from barloom.llm import chat, lm_scoring, quality_classifier, quality_rules, warc
+from barloom.llm.blocks import in_blocks
 from barloom.llm.queries import QUERIES, SQL
 from barloom.llm.words import WORD
 
@@ -213,6 +214,45 @@ def test_probabilities_sum_to_one():
         assert p.sum() == pytest.approx(1, abs=1e-5)
 
 
+def test_long_documents_train_the_weights(spark, documents, monkeypatch):
+    """Every training document, here all above 16 KiB and in several blocks, has its part in the mixer."""
+    monkeypatch.setattr(lm_scoring, "BLOCK", 1 << 17)
+    rng = random.Random(5)
+    follow = {f"w{i}x": [f"w{rng.randrange(300)}x" for _ in range(3)] for i in range(300)}
+    rows = []
+    for k in range(20):
+        word, text = "w0x", []
+        for _ in range(5000):
+            word = rng.choice(follow[word])
+            text.append(word)
+        rows.append((k, " ".join(text)))
+    docs = documents(rows)
+    blocked = in_blocks(docs.select("doc_id", "text"), -(-sum(len(t) for _, t in rows) // (1 << 17))).collect()
+    train = [r for r in sorted(blocked, key=lambda r: r.doc_id) if lm_scoring.training([r.doc_id])[0]]
+    every = lm_scoring.tokens(pa.array([r.text for r in train]))
+    tables = np.zeros((lm_scoring.CONTEXTS, 1 << lm_scoring.CONTEXT, 1 << lm_scoring.CODE), np.uint64)
+    for k in range(lm_scoring.CONTEXTS):
+        np.add.at(tables[k], (every.contexts[k], every.code), 1)
+    sums = [0.0, 0, 0.0, 0]
+    for b in {r.block for r in train}:
+        mixer = lm_scoring.Mixer(tables)
+        seen, reached = mixer.learn(lm_scoring.tokens(pa.array([r.text for r in train if r.block == b])))
+        sums = [a + b for a, b in zip(sums, (mixer.weights * seen[:, None], seen, mixer.refined * reached, reached))]
+    assert len({r.block for r in train}) > 1
+    mixer = lm_scoring.Mixer(tables)
+    mixer.weights[sums[1] > 0] = (sums[0] / np.maximum(sums[1], 1)[:, None])[sums[1] > 0]
+    mixer.refined[sums[3] > 0] = (sums[2] / np.maximum(sums[3], 1))[sums[3] > 0]
+    counts, n, v = Counter(every.hashes.tolist()), len(every.hashes), len(set(every.hashes.tolist()))
+    total, distinct = Counter(every.code.tolist()), Counter(c for _, c in set(zip(every.hashes.tolist(), every.code.tolist())))
+    got = {r.doc_id: r.score for r in lm_scoring.score(docs).collect()}
+    for doc_id, text in rows:
+        t = lm_scoring.tokens(pa.array([text]))
+        c = np.array([counts[h] for h in t.hashes.tolist()])
+        share = np.array([(counts[h] + 0.5) / (total[x] + 0.5 * distinct[x]) for h, x in zip(t.hashes.tolist(), t.code.tolist())])
+        assert (c > 0).all()
+        assert got[doc_id] == pytest.approx((np.log10(share) + np.log10(1 - 0.5 / (n + 0.5 * (v + 1))) + mixer.log10(t)).sum(), rel=1e-6)
+
+
 # conversations
 
 
