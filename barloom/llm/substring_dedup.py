@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from barloom.llm.blocks import deltas, doc_ids, in_blocks, squeeze, undeltas, unsqueeze
 from barloom.llm.words import bounded, inside, mix, shingles, words
 
-#: Words of a passage; suffixes of a block and of a prefix group; slots for prefixes of two words.
-WIDTH, BLOCK, GROUP, SLOTS = 13, 1 << 20, 1 << 20, 1 << 16
+#: Words of a passage; suffixes of a block and of a prefix group; slots for prefixes of two words; bytes of a block for each
+#: of its suffixes.
+WIDTH, BLOCK, GROUP, SLOTS, BYTES = 13, 1 << 20, 1 << 20, 1 << 16, 8
 
 
 class Layout(NamedTuple):
@@ -114,7 +115,9 @@ def remove(docs: DataFrame, width: int = WIDTH, block: int = BLOCK, group: int =
     """
     counts = prefix_counts(docs, width, text)
     plan = layout(counts, group)
-    n_blocks = max(1, -(-int(counts.sum()) // block))
+    # documents shorter than a passage have no suffix, so rows and bytes bound a block too
+    rows, size = docs.agg(F.count("*"), F.sum(F.octet_length(text))).first()
+    n_blocks = max(1, -(-max(int(counts.sum()), rows, int(size or 0) // BYTES) // block))
     blocked = in_blocks(docs.select("doc_id", F.col(text).alias("text")), n_blocks)
 
     def emit(table: pa.Table) -> pa.Table:

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from barloom.llm import components, decontamination, jaccard_join, line_dedup, substring_dedup
+from barloom.llm.blocks import in_blocks
 from barloom.llm.words import WORD
 
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -248,3 +249,13 @@ def test_kept_words_have_the_digest_of_the_contract(spark, documents):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     want = {k: (n, gone, hashlib.sha256(kept.encode()).hexdigest()) for k, (n, gone, kept) in brute_passages(rows, 13)}
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()} == want
+
+
+def test_short_texts_are_spread_over_blocks(spark, documents, monkeypatch):
+    """Texts shorter than a passage add no suffix, yet no block may hold all of them."""
+    made = []
+    monkeypatch.setattr(substring_dedup, "in_blocks", lambda docs, n: made.append(n) or in_blocks(docs, n))
+    for rows, least in (([(i, f"a b {i}") for i in range(200)], 12), ([(i, "x" * 1000) for i in range(20)], 156)):
+        got = substring_dedup.remove(documents(rows), block=16).collect()
+        assert {r.doc_id: (r.kept, r.n_removed) for r in got} == {i: (t, 0) for i, t in rows}
+        assert made.pop() >= least
