@@ -126,9 +126,36 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.sha2("own", 256).alias("own_sha256"), F.length(chat.template(F.col("role"), F.col("own"))).alias("n_formatted"))
 
 
+@query
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, learned from two thirds of them."""
+    from barloom.llm import language_id
+
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill-in-the-middle examples of every document, and the texts rebuilt from them."""
+    from barloom.llm import fill_in_middle
+
+    return fill_in_middle.digest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all embeddings, each part looked up in a tree over its codebook."""
+    from barloom.llm import vector_codes
+
+    return vector_codes.digest(table(spark, sf_dir, "embeddings"))
+
+
 def _sql() -> None:
-    from barloom.llm import line_dedup, quality_rules
+    from barloom.llm import fill_in_middle, language_id, line_dedup, quality_rules, vector_codes
 
+    SQL["op11_language_id"] = language_id.sql()
+    SQL["op12_fill_in_middle"] = fill_in_middle.sql()
+    SQL["op13_vector_codes"] = vector_codes.sql()
     SQL["op2_quality_rules"] = quality_rules.sql()
     SQL["op3_substring_dedup"] = r"""
 WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
