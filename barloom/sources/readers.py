@@ -37,7 +37,16 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     times.  Lineage ends at files that survive the loss of an executor."""
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored.stored_at = path
+    return stored
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``materialize`` has written, once nothing reads them any more."""
+    for table in tables:
+        where = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        where.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def scan_files(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
