@@ -22,8 +22,8 @@ from barloom.sources.readers import materialize
 
 #: Parts of a vector, entries of a codebook, rounds of refinement.
 PARTS, ENTRIES, ROUNDS = 16, 64, 2
-#: Split points of a node, entries of a leaf, vectors that a task looks up at once.
-DEGREE, LEAF, BATCH = 6, 6, 4096
+#: Split points of a node, entries of a leaf, components that a task looks up at once.
+DEGREE, LEAF, BATCH = 8, 8, 1 << 20
 #: Labels up to which their sums are broadcast.
 BROADCAST = 100_000
 
@@ -65,12 +65,15 @@ class Gnat:
         """Number and squared distance of the nearest entry for each query."""
         best = np.full(len(queries), np.iinfo(np.int64).max)
         index = np.full(len(queries), len(self.points))
-        self._search(self.root, queries, np.arange(len(queries)), best, index)
+        self._search(self.root, np.ascontiguousarray(queries.T), np.arange(len(queries)), best, index)
         return index, best
 
     def _compare(self, queries, rows, entry, best, index) -> np.ndarray:
         self.compared += len(rows)
-        squares = self._squares(queries[rows], self.points[entry])
+        squares = np.zeros(len(rows), np.int64)
+        for column, x in zip(queries, self.points[entry].tolist()):
+            d = column[rows] - x
+            squares += d * d
         better = (squares < best[rows]) | ((squares == best[rows]) & (entry < index[rows]))
         best[rows[better]] = squares[better]
         index[rows[better]] = entry
@@ -135,8 +138,9 @@ def assign(codebooks: list[np.ndarray], values: np.ndarray, trees: list[Gnat]) -
 
 
 def slices(batch: pa.RecordBatch, column: str, dim: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    for at in range(0, len(batch), BATCH):
-        part = batch.slice(at, BATCH)
+    size = max(1, BATCH // dim)
+    for at in range(0, len(batch), size):
+        part = batch.slice(at, size)
         yield part, integers(part.column(part.schema.get_field_index(column)), dim)
 
 
@@ -153,8 +157,9 @@ def refine(rows: DataFrame, dim: int, codebooks: list[np.ndarray]) -> list[np.nd
             for _, values in slices(batch, "vector", dim):
                 codes, _ = assign(codebooks, values, trees)
                 for p in range(len(codebooks)):
-                    np.add.at(sums[p], codes[:, p], values[:, p * width:(p + 1) * width])
                     counts[p] += np.bincount(codes[:, p], minlength=counts.shape[1])
+                    for i in range(width):  # sums of a slice are below 2^53, so exact
+                        sums[p, :, i] += np.bincount(codes[:, p], values[:, p * width + i], counts.shape[1]).astype(np.int64)
         part, entry = np.nonzero(counts)
         cells = ((part * counts.shape[1] + entry)[:, None] * width + np.arange(width)).ravel()
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(np.repeat(counts[part, entry], width)), pa.array(sums[part, entry].ravel())],
