@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.sources.readers import materialize
+from barloom.sources.readers import discard, materialize
 
 
 def _stars(edges: DataFrame, low_only: bool) -> DataFrame:
@@ -32,5 +32,6 @@ def components(edges: DataFrame) -> DataFrame:
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before or not now[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = now
+        before, old = now, edges
         edges = materialize(_stars(_stars(edges, False), True), "edges")
+        discard(old)

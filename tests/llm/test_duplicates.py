@@ -79,6 +79,69 @@ def test_jaccard_odd_rows(spark, documents):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "None"] and "n_words" in kept.columns
 
 
+def test_rows_are_judged_one_by_one(spark, documents):
+    """Texts of one doc_id, texts without an id and repeated rows."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    near = a + " more"
+    kept = jaccard_join.first_of_each(documents([(1, a), (5, a), (5, b), (8, near)]))
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, a), (5, b)]
+    kept = jaccard_join.first_of_each(documents([(None, a), (None, near), (3, near + " still"), (None, b), (None, b), (None, "x y"), (None, None), (None, None), (8, near), (8, near)]))
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(3, near + " still"), (None, b), (None, "x y"), (None, None), (None, None)], key=str)
+    # two texts that only a text without an id connects
+    words = [f"w{i}" for i in range(120)]
+    one, middle, two = " ".join(words), " ".join(words[:-5] + ["q"] * 5), " ".join(words[:-5] + ["r"] * 5)
+    got = jaccard_join.join(documents([(7, " ".join(words[:-9] + ["q"] * 9)), (None, middle), (3, one), (4, two)]), 3, 92)
+    assert [r.component_id for r in got.collect() if r.doc_id in (3, None)] == [3, 3]
+
+
+@pytest.mark.parametrize("seed,percent,limit,shrink", [(1, 80, 2000, 0.7), (4, 90, 300, 9)])
+def test_regions_above_the_limit(spark, documents, monkeypatch, seed, percent, limit, shrink):
+    """One passage that all texts hold, chains of copies and a crowd of near copies, cut in rounds and in parts."""
+    monkeypatch.setattr(jaccard_join, "ROUNDS", 2)
+    monkeypatch.setattr(jaccard_join, "SHRINK", shrink)
+    rng, names = random.Random(seed), vocabulary(seed, 3000)
+    passage = rng.choices(names, k=25)
+    rows, base = [], rng.choices(names, k=60)
+    for _ in range(60):
+        rows.append(" ".join(edited(rng, base, rng.randint(0, 5), names)))
+    for _ in range(60):
+        rows.append(" ".join(passage + rng.choices(names, k=rng.randint(0, 12))))
+    for _ in range(30):
+        base = edited(rng, base, 2, names)
+        rows.append(" ".join(base))
+    rows = list(enumerate(rows))
+    got = jaccard_join.join(documents(rows), 3, percent, limit).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, 3, percent)
+
+
+@pytest.mark.parametrize("percent", [60, 80, 90])
+def test_histograms_rule_out_no_link(percent):
+    rng = np.random.default_rng(percent)
+    sets = []
+    for _ in range(60):
+        base = np.unique(rng.integers(0, 1 << 63, int(rng.integers(1, 300))).astype(np.uint64))
+        sets += [base, np.unique(np.concatenate([base[int(rng.integers(0, len(base) // 4 + 1)):], rng.integers(0, 1 << 63, 3).astype(np.uint64)]))]
+    sets += [np.unique(rng.integers(0, 1 << 63, int(rng.integers(100, 300))).astype(np.uint64)) for _ in range(20)]
+    alive = jaccard_join.possible(np.array([len(x) for x in sets]), [jaccard_join.histogram(x) for x in sets], percent)
+    linked = set()
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        n = len(np.intersect1d(sets[i], sets[j]))
+        if 100 * n >= percent * (len(sets[i]) + len(sets[j]) - n):
+            linked |= {i, j}
+    assert linked <= set(np.flatnonzero(alive).tolist()) and len(linked) > 10 and alive.sum() < len(sets)
+    assert jaccard_join.histogram(np.arange(0, 256 * 300, 256, dtype=np.uint64)) == b""
+
+
+def test_runs_join_over_batches():
+    import pyarrow as pa
+
+    def batch(*keys):
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64())], ["k"])
+
+    found = list(jaccard_join.runs(iter([batch(1, 1), batch(), batch(1, 2), batch(3), batch(3, 3, 4)])))
+    assert [t["k"].to_pylist() for t in found] == [[1, 1, 1], [2], [3, 3, 3], [4]]
+
+
 @pytest.mark.parametrize("percent", [50, 80, 90])
 def test_linked_sets_share_a_pivot(percent):
     rng = np.random.default_rng(percent)
