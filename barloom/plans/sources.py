@@ -9,7 +9,7 @@ from barloom.operators import cleaning as cl
 from barloom.operators import indicators as ind
 from barloom.plans.oracle import W, roll
 from barloom.registry import query
-from barloom.sources import payloads, readers, upsert
+from barloom.sources import payloads, readers, stored, upsert
 from barloom.sources.tables import Tables
 
 B = "bars"
@@ -20,6 +20,14 @@ def saved(t: Tables, df, name: str, kind: str = "parquet") -> str:
     return readers.write_files(df, f"{readers.shared_folder(t.spark, name)}.{kind}")
 
 
+def stored_upsert(t: Tables, base, incoming, keys: list[str], partition, now=None):
+    """A stored table of ``base`` with one batch merged into it, read back."""
+    path = readers.shared_folder(t.spark, "table")
+    stored.create(base, path, partition)
+    stored.upsert_table(t.spark, path, incoming, keys, partition, "batch", now)
+    return stored.read(t.spark, path)
+
+
 # ---- scans ----
 
 @query("scan_files", "SELECT 'csv' AS kind, * FROM bars UNION ALL SELECT 'json', * FROM bars UNION ALL SELECT 'parquet', * FROM bars", B)
@@ -119,7 +127,8 @@ def _(t: Tables):
   CASE WHEN date >= DATE '1998-01-01' THEN TIMESTAMP '2024-01-02 00:00:00' END AS updated_at FROM bars""", B)
 def _(t: Tables):
     newer = t.bars.where("date >= '1998-01-01'").withColumn("close", F.col("close") * 2)
-    return upsert.upsert(t.bars, newer, ["symbol", "date"], F.lit("2024-01-02 00:00:00").cast("timestamp_ntz")).select(*BAR_ORDER, "updated_at")
+    now = F.lit("2024-01-02 00:00:00").cast("timestamp_ntz")
+    return stored_upsert(t, t.bars, newer, ["symbol", "date"], F.year("date"), now).select(*BAR_ORDER, "updated_at")
 
 
 @query("upsert_indicators", f""", i AS (SELECT symbol, date, {roll('avg', 'close', 20)} AS sma_20, {roll('avg', 'close', 50)} AS sma_50 FROM bars)
@@ -128,7 +137,7 @@ UNION ALL SELECT symbol, 'sma_50', date, CASE WHEN date >= DATE '1998-01-01' THE
 def _(t: Tables):
     long = upsert.indicators_long(ind.sma(ind.sma(t.bars, 20), 50), ["sma_20", "sma_50"])
     newer = long.where("date >= '1998-01-01'").withColumn("value", F.lit(-1.0))
-    return upsert.upsert(long, newer, ["symbol", "indicator", "date"])
+    return stored_upsert(t, long, newer, ["symbol", "indicator", "date"], F.year("date"))
 
 
 @query("upsert_news_events", """SELECT user_id AS symbol, CASE WHEN event_type = 'view' THEN 't:' || strftime(ts, '%Y-%m-%d %H:%M:%S') ELSE CAST(event_id AS VARCHAR) END AS k, max(value) AS value
@@ -137,8 +146,8 @@ def _(t: Tables):
     ev = t.raw("events").select(F.col("user_id").alias("symbol"), F.when(F.col("event_type") != "view", F.col("event_id")).alias("event_id"),
                                 F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), "value")
     rows = ev.select("symbol", upsert.event_key("event_id", "at").alias("k"), "value")
-    stored = rows.where("value < 10").groupBy("symbol", "k").agg(F.max("value").alias("value"))
-    return upsert.upsert(stored, rows.where("value >= 10"), ["symbol", "k"])
+    base = rows.where("value < 10").groupBy("symbol", "k").agg(F.max("value").alias("value"))
+    return stored_upsert(t, base, rows.where("value >= 10"), ["symbol", "k"], F.pmod(F.xxhash64("symbol"), F.lit(8)))
 
 
 @query("upsert_by_key", """, a AS (SELECT symbol, 'overview' AS type, name FROM securities), b AS (SELECT symbol, 'overview' AS type, upper(name) AS name FROM securities WHERE balance > 0)
@@ -146,7 +155,7 @@ SELECT symbol, type, coalesce(b.name, a.name) AS name FROM a LEFT JOIN b USING (
 def _(t: Tables):
     a = t.securities.select("symbol", F.lit("overview").alias("type"), "name")
     b = t.securities.where("balance > 0").select("symbol", F.lit("overview").alias("type"), F.upper("name").alias("name"))
-    return upsert.upsert(a, b, ["symbol", "type"])
+    return stored_upsert(t, a, b, ["symbol", "type"], F.pmod(F.xxhash64("symbol"), F.lit(8)))
 
 
 @query("update_delete_where", "SELECT symbol, date, CASE WHEN close > 105 THEN 0 ELSE volume END AS volume FROM bars WHERE NOT (close < 95)", B)

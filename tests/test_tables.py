@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from barloom.functions import scalars as sc
 from barloom.operators import cleaning, portfolio, retrieval, text
-from barloom.sources import readers, upsert
+from barloom.sources import readers, stored, upsert
 from barloom.streaming import jobs
 from pyspark.sql import functions as F
 
@@ -126,14 +126,21 @@ def test_knn_brute_force(spark, block):
 def test_answers_use_the_context(spark):
     day = datetime.date(2024, 1, 1)
     arts = [("a", "Apple results", "AAPL (Apple Inc.) shares rise on strong growth. Revenue was $90 in the quarter.", "wire", day, "l1"),
-            ("b", "Market news", "The market index fell. Analysts expect a drop because rates rise.", "desk", day, "l2"),
+            ("b", "Market news", "The market index fell and losses mounted. Analysts expect a weak year and a further drop.", "desk", day, "l2"),
             ("c", "Cooking", "A soup needs salt and time to cook well.", "blog", day, "l3")]
     articles = spark.createDataFrame(arts, "id string, title string, content string, source string, published date, link string")
     qs = spark.createDataFrame([(1, "How are AAPL shares doing?"), (2, "where is the market going?"), (3, "tell me about soup")], "query_id int, query string")
     got = {r["query_id"]: r for r in retrieval.answer_questions(articles, qs, 2).collect()}
-    assert got[1]["query_type"] == "stock_performance" and "AAPL (Apple Inc.) has shown positive performance" in got[1]["response"]
-    assert got[2]["query_type"] == "market_analysis" and got[2]["response"].startswith("Market Analysis:")
-    assert got[3]["query_type"] == "general" and "investment advice" in got[3]["response"] and len(got) == 3
+    one, two, three = got[1], got[2], got[3]
+    assert (one["query_type"], two["query_type"], three["query_type"]) == ("stock_performance", "market_analysis", "general") and len(got) == 3
+    assert "AAPL (Apple Inc.)" in one["response"] and "tone is positive" in one["response"] and "Direction: falling" in two["response"]
+    assert [q["sources"][0]["source"] for q in (one, two, three)] == ["wire", "desk", "blog"]
+
+
+def test_tone_is_a_balance_of_words(spark):
+    rows = [("up", "Shares rose and profits grew."), ("down", "Shares fell although the group grew; losses widened."), ("none", "The update was put on supper downtown."), ("both", "It rose, then fell.")]
+    got = {r[0]: r[1] for r in spark.createDataFrame(rows, "k string, c string").select("k", retrieval.balance(F.lower("c"), retrieval.RISING, retrieval.FALLING)).collect()}
+    assert got["up"] > 0 > got["down"] and got["none"] == got["both"] == 0
 
 
 def test_currency_and_caps(spark):
@@ -173,13 +180,6 @@ def test_scenarios_by_name(spark):
     assert got["tech_bubble"]["worst_asset"] == 2
 
 
-def test_upsert_files_rewrites_touched_partitions(spark, tmp_path):
-    path = str(tmp_path / "bars")
-    spark.createDataFrame([(1, 2020, 1.0), (2, 2020, 2.0), (3, 2021, 3.0)], "k int, year int, v double").write.partitionBy("year").parquet(path)
-    upsert.upsert_files(spark, path, spark.createDataFrame([(2, 2020, 20.0), (9, 2020, 9.0)], "k int, year int, v double"), ["k", "year"], "year")
-    assert sorted((r["k"], r["v"]) for r in spark.read.parquet(path).collect()) == [(1, 1.0), (2, 20.0), (3, 3.0), (9, 9.0)]
-
-
 def test_scan_rejects_unknown_format(spark):
     with pytest.raises(ValueError):
         readers.scan_files(spark, "/nowhere/file.xyz")
@@ -220,6 +220,48 @@ def test_join_unique_with_a_hot_key(spark):
     assert got.count() == 30000 and got.exceptAll(want.select(*got.columns)).count() == 0
 
 
+def test_stored_tables_show_whole_commits(spark, tmp_path, monkeypatch):
+    path, year = str(tmp_path / "t"), F.col("year")
+    stored.create(spark.createDataFrame([(1, 2020, 1.0), (2, 2020, 2.0), (3, 2021, 3.0), (4, None, 4.0)], "k int, year int, v double"), path, year)
+    first = stored.commit(spark, path)["partitions"]
+    assert set(first) == {"2020", "2021", "null"}
+    batch = spark.createDataFrame([(2, 2020, 20.0, "a"), (9, 2022, 9.0, None), (4, None, None, "b")], "k int, year int, v double, note string")
+
+    def rows(version=None):
+        return sorted((tuple(r) for r in stored.read(spark, path, version).collect()), key=str)
+
+    # a job that dies between write and commit leaves the table as it was
+    with monkeypatch.context() as m:
+        m.setattr(stored, "publish", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            stored.upsert_table(spark, path, batch, ["k", "year"], year, "b1")
+    assert rows() == [(1, 2020, 1.0), (2, 2020, 2.0), (3, 2021, 3.0), (4, None, 4.0)] and stored.versions(spark, path) == [0]
+
+    want = [(1, 2020, 1.0, None), (2, 2020, 20.0, "a"), (3, 2021, 3.0, None), (4, None, 4.0, "b"), (9, 2022, 9.0, None)]
+    assert stored.upsert_table(spark, path, batch, ["k", "year"], year, "b1") == 1 and rows() == want
+    second = stored.commit(spark, path)["partitions"]
+    assert second["2021"] == first["2021"] and second["2020"] != first["2020"]  # copy on write
+    # the same batch again changes nothing, earlier commits stay readable, partitions can be read alone
+    assert stored.upsert_table(spark, path, batch, ["k", "year"], year, "b1") == 1 and rows() == want and len(rows(0)) == 4
+    assert [r.k for r in stored.read(spark, path, partitions=["2021"]).collect()] == [3]
+    # a writer that another one overtakes starts over on top of it
+    publish, raced = stored.publish, []
+
+    def slow(spark_, path_, version, content):
+        if not raced:
+            raced.append(version)
+            stored.upsert_table(spark, path, spark.createDataFrame([(3, 2021, 33.0)], "k int, year int, v double"), ["k", "year"], year, "other")
+        publish(spark_, path_, version, content)
+
+    with monkeypatch.context() as m:
+        m.setattr(stored, "publish", slow)
+        assert stored.upsert_table(spark, path, spark.createDataFrame([(1, 2020, 10.0)], "k int, year int, v double"), ["k", "year"], year, "b2") == 3
+    assert {r[0]: r[2] for r in rows()} == {1: 10.0, 2: 20.0, 3: 33.0, 4: 4.0, 9: 9.0}
+    with pytest.raises(stored.Conflict):
+        stored.publish(spark, path, 3, {})
+    assert stored.vacuum(spark, path) >= 4 and stored.versions(spark, path) == [3] and {r[0] for r in rows()} == {1, 2, 3, 4, 9}
+
+
 def test_upsert_merges_fields(spark):
     stored = spark.createDataFrame([(1, 1.0, "a", 0), (2, 2.0, "b", 0), (None, 3.0, "c", 0)], "k int, v double, name string, kept int")
     incoming = spark.createDataFrame([(1, None, "x", 1), (1, 5.0, None, 2), (1, 4.0, "y", 1), (3, 9.0, None, 1), (None, None, "z", 1)], "k int, v double, name string, updated_at int")
