@@ -1,4 +1,4 @@
-"""Portfolio construction, attribution, stress, rebalancing and weight search.
+"""Portfolio construction, attribution, stress and rebalancing.
 
 Weights are rows (portfolio_id, symbol, weight); returns are rows (symbol, date, ret).  A missing return counts
 as zero, which makes the covariance of an asset with its portfolio a single sum over the asset's own rows: the
@@ -9,15 +9,12 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions import stats as st
 from barloom.functions.frames import product, running_product
 from barloom.operators.statistics import drawdown_profile, drawdowns, expected_shortfall
-from barloom.sources.readers import materialize
 
 PORT = ["portfolio_id"]
 
@@ -288,105 +285,8 @@ def predicted_portfolio(weights: DataFrame, forecasts: DataFrame) -> DataFrame:
     return out.withColumn("predicted_return", st.ratio(F.col("predicted_value") - F.col("current_value"), "current_value"))
 
 
-# --- weight search -------------------------------------------------------------------------------------------
-
-def raw_weights(hashes: np.ndarray, candidates: int) -> np.ndarray:
-    """Unscaled long-only weights (rows x candidates) from 64-bit hashes: exponential draws raised to a power that
-    varies over the candidates from diffuse to concentrated; candidate 0 is equal weight."""
-    k = np.arange(candidates, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        x = hashes.astype(np.int64).view(np.uint64)[:, None] + k[None, :] * np.uint64(0x9E3779B97F4A7C15)
-        x ^= x >> np.uint64(30)
-        x *= np.uint64(0xBF58476D1CE4E5B9)
-        x ^= x >> np.uint64(27)
-        x *= np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(31)
-    u = (x >> np.uint64(11)).astype(float) / float(1 << 53)
-    w = (-np.log(u + 2.0**-54)) ** (1 + (k % np.uint64(8)).astype(float))[None, :]
-    w[:, 0] = 1.0
-    return w
-
-
-def candidate_moments(returns: DataFrame, candidates: int = 256, seed: int = 7) -> DataFrame:
-    """Annual return and volatility of the candidate portfolios and of every single asset.
-
-    Rows are partitioned by date; a task adds weight x return into one vector per date, so what leaves it is
-    dates x candidates numbers however many symbols there are.
-    """
-    rows = returns.select("date", "ret", F.xxhash64("symbol", F.lit(seed)).alias("h")).repartition("date")
-
-    def add_up(batches):
-        acc: dict = {}
-        for pdf in batches:
-            w = raw_weights(pdf["h"].to_numpy(), candidates) * pdf["ret"].to_numpy(float)[:, None]
-            codes, days = pd.factorize(pdf["date"])
-            part = np.zeros((len(days), candidates))
-            np.add.at(part, codes, w)
-            for d, v in zip(days, part):
-                acc[d] = acc[d] + v if d in acc else v
-        yield pd.DataFrame({"date": list(acc), "sums": [v.tolist() for v in acc.values()]})
-
-    def totals(batches):
-        acc = np.zeros(candidates)
-        for pdf in batches:
-            acc += raw_weights(pdf["h"].to_numpy(), candidates).sum(axis=0)
-        yield pd.DataFrame({"k": np.arange(candidates), "norm": acc})
-
-    sums = rows.mapInPandas(add_up, "date date, sums array<double>").select("date", F.posexplode("sums").alias("k", "s"))
-    hashes = returns.select("symbol").distinct().select(F.xxhash64("symbol", F.lit(seed)).alias("h"))
-    norm = hashes.mapInPandas(totals, "k int, norm double").groupBy("k").agg(F.sum("norm").alias("norm"))
-    mixed = sums.groupBy("k").agg(F.avg("s").alias("m"), F.stddev_samp("s").alias("sd")).join(norm, "k").select(
-        F.concat(F.lit("mix:"), F.col("k").cast("string")).alias("candidate"), (F.col("m") / F.col("norm") * 252).alias("expected_return"),
-        (F.col("sd") / F.col("norm") * math.sqrt(252)).alias("volatility"))
-    days = returns.agg(F.count_distinct("date")).scalar()
-    r = F.col("ret")
-    single = returns.groupBy("symbol").agg(F.sum(r).alias("s"), F.sum(r * r).alias("q")).withColumn("d", days).select(
-        F.concat(F.lit("asset:"), F.col("symbol").cast("string")).alias("candidate"), (F.col("s") / F.col("d") * 252).alias("expected_return"),
-        F.sqrt((F.col("q") - F.col("s") * F.col("s") / F.col("d")) / (F.col("d") - 1) * 252).alias("volatility"))
-    # small (candidates plus assets) and read several times by the searches over it
-    return materialize(mixed.unionByName(single), "candidates")
-
-
-def candidate_weights(symbols: DataFrame, k: int, candidates: int = 256, seed: int = 7) -> DataFrame:
-    """Weights of one mixed candidate, for every symbol."""
-    hashed = symbols.select("symbol").distinct().withColumn("h", F.xxhash64("symbol", F.lit(seed)))
-
-    @F.pandas_udf("double")
-    def one(h: pd.Series) -> pd.Series:
-        return pd.Series(raw_weights(h.to_numpy(), candidates)[:, k])
-
-    raw = hashed.select("symbol", one("h").alias("w"))
-    return raw.select("symbol", (F.col("w") / raw.agg(F.sum("w")).scalar()).alias("weight"))
-
-
-def weight_search(moments: DataFrame, rf: float = 0.0, target_return: float | None = None, target_volatility: float | None = None) -> DataFrame:
-    """Best candidate per objective."""
-    df = moments.withColumn("sharpe_ratio", st.ratio(F.col("expected_return") - rf, "volatility"))
-    row = F.struct("candidate", "expected_return", "volatility", "sharpe_ratio")
-    r, v = F.col("expected_return"), F.col("volatility")
-    picks = {"sharpe": F.max_by(row, F.struct("sharpe_ratio", "candidate")), "min_volatility": F.min_by(row, F.struct(v, "candidate")),
-             "max_return": F.max_by(row, F.struct(r, "candidate"))}
-    if target_return is not None:
-        picks["target_return"] = F.min_by(row, F.when(r >= target_return, F.struct(v, "candidate")))
-    if target_volatility is not None:
-        picks["target_volatility"] = F.max_by(row, F.when(v <= target_volatility, F.struct(r, "candidate")))
-    best = df.agg(*[c.alias(k) for k, c in picks.items()])
-    lines = F.explode(F.array(*[F.struct(F.lit(k).alias("objective"), F.col(k).alias("b")) for k in picks]))
-    return best.select(lines.alias("x")).select("x.objective", "x.b.*")
-
-
-def efficient_frontier(moments: DataFrame, points: int = 50) -> DataFrame:
-    """Candidate of least volatility in each of ``points`` return buckets."""
-    lo, hi = moments.agg(F.min("expected_return")).scalar(), moments.agg(F.max("expected_return")).scalar()
-    df = moments.withColumns({"_lo": lo, "_hi": hi})
-    pos = F.try_divide((F.col("expected_return") - F.col("_lo")) * points, F.col("_hi") - F.col("_lo"))
-    df = df.withColumn("bucket", F.least(F.floor(F.coalesce(pos, F.lit(0.0))), F.lit(points - 1)).cast("int"))
-    best = df.groupBy("bucket").agg(F.min_by(F.struct("candidate", "expected_return", "volatility"), F.struct("volatility", "candidate")).alias("b"))
-    return best.select("bucket", "b.*").withColumn("sharpe_ratio", st.ratio("expected_return", "volatility"))
-
-
 def capital_market_line(best: DataFrame, rf: float = 0.0, points: int = 50) -> DataFrame:
-    """Mix of cash and the best-Sharpe portfolio for volatilities from zero to twice its own."""
+    """Mix of cash and the best-Sharpe portfolio of ``optimizer.weight_search`` for volatilities from zero to twice its own."""
     top = best.where(F.col("objective") == "sharpe")
     step = F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i")
     df = top.select("expected_return", F.col("volatility").alias("_v"), step)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from barloom.functions import stats as st
 from barloom.functions.frames import rate, running_product, series
 from barloom.operators import news as nw
-from barloom.operators import pairs, peers
+from barloom.operators import optimizer, pairs, peers
 from barloom.operators import portfolio as pf
 from barloom.operators import statistics as s
 from barloom.plans.oracle import W
@@ -327,17 +327,17 @@ def _(t: Tables):
 
 @query("weight_search", stored=True)
 def _(t: Tables):
-    return pf.weight_search(pf.candidate_moments(t.returns), target_return=0.1, target_volatility=0.5)
+    return optimizer.weight_search(t.returns, target_return=0.085, target_volatility=0.1)
 
 
 @query("efficient_frontier", stored=True)
 def _(t: Tables):
-    return pf.efficient_frontier(pf.candidate_moments(t.returns))
+    return optimizer.efficient_frontier(t.returns)
 
 
 @query("capital_market_line", stored=True)
 def _(t: Tables):
-    return pf.capital_market_line(pf.weight_search(pf.candidate_moments(t.returns)), 0.02)
+    return pf.capital_market_line(optimizer.weight_search(t.returns, 0.02), 0.02)
 
 
 # ---- peers ----

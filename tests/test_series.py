@@ -9,7 +9,7 @@ import pytest
 from barloom.functions import stats as st
 from barloom.functions.frames import ewm_many
 from barloom.functions.order import exact_quantiles, with_row_index
-from barloom.operators import anomalies, features, forecast, indicators, pairs, peers, signals, statistics
+from barloom.operators import anomalies, features, forecast, indicators, optimizer, pairs, peers, signals, statistics
 from barloom.operators import portfolio as pf
 from pyspark.sql import functions as F
 
@@ -171,21 +171,50 @@ def test_lof_matches_brute_force(spark):
     assert np.allclose(got, lrd[near].mean(1) / lrd, rtol=1e-9)
 
 
-def test_weight_search_moments_match_numpy(spark):
+def least(cov, mu, appetite):
+    """Weights of least variance / 2 - appetite * mean, by pairwise exchanges down to rounding."""
+    w, g = np.full(len(mu), 1 / len(mu)), None
+    for _ in range(20_000):
+        g = cov @ w - appetite * mu
+        i, held = int(g.argmin()), np.flatnonzero(w > 0)
+        j = held[g[held].argmax()]
+        if g[j] - g[i] < 1e-16:
+            break
+        t = min(w[j], (g[j] - g[i]) / max(cov[i, i] + cov[j, j] - 2 * cov[i, j], 1e-300))
+        w[i], w[j] = w[i] + t, w[j] - t
+    return w
+
+
+def test_frontier_matches_exchanges(spark):
     rng = np.random.default_rng(8)
-    m = rng.normal(0.001, 0.02, (50, 6))
-    df = frame(spark, {f"S{j}": m[:, j].tolist() for j in range(6)}, ("ret",))
-    moments = {r["candidate"]: r for r in pf.candidate_moments(df, candidates=16).collect()}
-    assert len(moments) == 16 + 6
-    for k in (0, 5, 15):
-        w = {r["symbol"]: r["weight"] for r in pf.candidate_weights(df, k, 16).collect()}
-        assert math.isclose(sum(w.values()), 1.0) and min(w.values()) >= 0
-        port = m @ np.array([w[f"S{j}"] for j in range(6)])
-        assert math.isclose(moments[f"mix:{k}"]["expected_return"], port.mean() * 252, rel_tol=1e-9)
-        assert math.isclose(moments[f"mix:{k}"]["volatility"], port.std(ddof=1) * math.sqrt(252), rel_tol=1e-9)
-    best = {r["objective"]: r for r in pf.weight_search(pf.candidate_moments(df, 16)).collect()}
-    assert best["max_return"]["expected_return"] == max(r["expected_return"] for r in moments.values())
-    assert best["min_volatility"]["volatility"] == min(r["volatility"] for r in moments.values())
+    m = rng.normal(0.001, 0.02, (80, 7)) * np.linspace(0.4, 2, 7) + rng.normal(0, 0.01, (80, 1))
+    m[rng.random(m.shape) < 0.1] = 0  # a missing return counts as zero
+    df = frame(spark, {f"S{j}": m[:, j].tolist() for j in range(7)}, ("ret",)).withColumn("ret", F.expr("nullif(ret, 0)"))
+    df = df.unionByName(df.where("symbol = 'S0'").select(F.lit("FLAT").alias("symbol"), *[(F.lit(0.0) if c == "ret" else F.col(c)).alias(c) for c in df.columns if c != "symbol"]), allowMissingColumns=True)
+    search = optimizer.Search(df, points=6, rounds=32)
+    found = search.solve()
+    cov, mu = np.cov(m.T), m.mean(0)
+    for r in found.itertuples():
+        w = least(cov, mu, r.appetite)
+        assert math.isclose(r.expected_return, mu @ w * 252, rel_tol=1e-4) and math.isclose(r.volatility, math.sqrt(w @ cov @ w * 252), rel_tol=1e-4) and 0 <= r.gap < 1e-3
+        own = {x.symbol: x.weight for x in search.weights_of({int(r.point): 1.0}).collect()}
+        assert math.isclose(sum(own.values()), 1) and min(own.values()) >= 0 and "FLAT" not in own
+        assert np.allclose([own[f"S{j}"] for j in range(7)], w, atol=2e-3)
+    assert math.isclose(found["expected_return"].iloc[-1], mu.max() * 252, rel_tol=1e-6)
+
+
+def test_weight_search_objectives(spark):
+    rng = np.random.default_rng(9)
+    m = rng.normal(0.0005, 0.02, (60, 5)) * np.linspace(0.5, 2, 5)
+    df = frame(spark, {f"S{j}": m[:, j].tolist() for j in range(5)}, ("ret",))
+    single = {"ret": m.mean(0) * 252, "vol": m.std(0, ddof=1) * math.sqrt(252)}
+    middle = (single["ret"].max() + single["ret"].mean()) / 2
+    best = {r.objective: r for r in optimizer.weight_search(df, target_return=middle, target_volatility=float(single["vol"].mean()), points=8, rounds=20).collect()}
+    assert best["min_volatility"].volatility <= single["vol"].min() and best["max_return"].expected_return >= single["ret"].max() - 1e-9
+    assert best["sharpe"].sharpe_ratio >= (single["ret"] / single["vol"]).max() - 1e-9
+    assert math.isclose(best["target_return"].expected_return, middle, rel_tol=1e-6) and best["target_return"].volatility <= best["max_return"].volatility
+    assert best["target_volatility"].volatility <= single["vol"].mean() * (1 + 1e-6)
+    assert optimizer.weight_search(df.limit(0)).count() == optimizer.efficient_frontier(df.limit(0)).count() == 0
 
 
 def test_portfolio_risk_adds_up(spark):
