@@ -224,16 +224,18 @@ def predict(docs: DataFrame, learned: DataFrame, size: int = PROFILE, top: int =
     """
     if learned.select("lang").distinct().limit(LANGUAGES + 1).count() > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
-    known = docs.sparkSession.sparkContext.broadcast(Profiles.of(learned.select("lang", "rank", "gram").collect(), size))
+    # plain values, which executors read without this package
+    sent = docs.sparkSession.sparkContext.broadcast(tuple(Profiles.of(learned.select("lang", "rank", "gram").collect(), size)))
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Profiles(*sent.value)
         for batch in batches_of(batches):
             found, letters = counted(batch.column(1), np.arange(len(batch)))
-            lang, distance, n = known.value.closest(found, len(batch), top)
+            lang, distance, n = known.closest(found, len(batch), top)
             lang = np.where(letters, lang, -1)
             score = np.where(lang >= 0, 1 - distance / np.maximum(n * size, 1), 0.0)
-            names = pa.array([known.value.langs[i] if i >= 0 else UNKNOWN for i in lang.tolist()], pa.string())
+            names = pa.array([known.langs[i] if i >= 0 else UNKNOWN for i in lang.tolist()], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), names, pa.array(score)], [key, "lang_pred", "score"])
 
     return docs.select(F.col(key), F.col(text).alias("text")).mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double")
