@@ -1,10 +1,10 @@
 """Quality rules with risk-controlled thresholds.  Column expressions only.
 
 Each rule rejects a document when a ratio of two of its counts exceeds a cutoff.  The cutoffs come from labelled
-documents: per stratum and rule the strictest cutoff of a fixed ladder is taken whose false-rejection rate among good
-documents is below ``risk`` with confidence, by the exact binomial test.  Error is divided over all strata and rules
-(Bonferroni); within one ladder the cutoffs are tested from the most lenient to the strictest and testing stops at the
-first failure, which needs no further correction.
+documents: per stratum the strictest cutoffs of fixed ladders are taken whose false-rejection rate among good documents is
+below ``risk`` with confidence, by the exact binomial test.  Error is divided over all strata, and over the rules where
+each is tested by itself (Bonferroni); within one ladder the cutoffs are tested from the most lenient to the strictest and
+testing stops at the first failure, which needs no further correction.
 """
 
 from __future__ import annotations
@@ -98,97 +98,86 @@ def base_failed() -> Column:
 
 
 def cutoffs(labelled: DataFrame, stratum: str, risk: float = 0.02, confidence: float = 0.95, good: str = "good") -> DataFrame:
-    """One row per stratum and rule with a cutoff: stratum, rule, cutoff, n_good, n_rejected.
-
-    ``labelled`` has the counts of ``features`` and a boolean ``good``.  With probability ``confidence`` at least, over the
-    draw of the labelled documents, no stratum's rules reject more than ``risk`` of its good documents together: each
-    rule gets an equal share of the risk and each pair of stratum and rule an equal share of the error.  Pairs without
-    enough good documents have no row.  Counts are sums, so a stratum of any size combines before the shuffle.
-    """
-    share = risk / len(RULES)
-    counted = [F.count("*").alias("n")] + [
-        F.sum(exceeds(a, b, c).cast("long")).alias(f"{name}_{c}") for name, a, b, ladder in RULES for c in ladder]
-    per = labelled.where(good).groupBy(F.col(stratum).alias("stratum")).agg(*counted)
-    ladder = F.explode(F.array(*[
-        F.struct(F.lit(name).alias("rule"), F.lit(i).alias("step"), F.lit(c).alias("cutoff"), F.col(f"{name}_{c}").alias("k"))
-        for name, _, _, cs in RULES for i, c in enumerate(cs)]))
-    strata = per.agg(F.count("*")).scalar()
-    steps = per.select("stratum", "n", ladder.alias("s")).select("stratum", "n", "s.*")
-    allowed = F.log(F.lit(1 - confidence) / (strata * len(RULES)))
-    near = F.col("k") <= F.col("n") * share
-    passed = F.when(near, log_at_most(F.when(near, F.col("k")).otherwise(F.lit(0).cast("long")), F.col("n"), share) <= allowed).otherwise(False)
-    steps = steps.select("stratum", "n", "rule", "step", "cutoff", "k", passed.alias("passed"))
-    # the steps before the first failure
-    best = steps.groupBy("stratum", "rule").agg(F.coalesce(F.min(F.when(~F.col("passed"), F.col("step"))), F.lit(1 << 30)).alias("failed"))
-    good_steps = steps.join(best, ["stratum", "rule"]).where(F.col("step") < F.col("failed"))
-    return good_steps.groupBy("stratum", "rule").agg(F.max_by(F.struct("cutoff", "n", "k"), "step").alias("s")).select(
-        "stratum", "rule", F.col("s.cutoff").alias("cutoff"), F.col("s.n").alias("n_good"), F.col("s.k").alias("n_rejected"))
-
-
-def pooled_cutoffs(labelled: DataFrame, stratum: str, risk: float = 0.02, confidence: float = 0.95, good: str = "good") -> DataFrame:
     """One row per stratum with a cutoff: stratum, pooled, n_good and the cutoff of each rule (null: none).
 
-    Strata with fewer good documents than a test without a single rejection needs are pooled and tested as one more
-    stratum; there the bound holds for the pool's good documents together.  If the pool is below that need as well, its
-    rules descend TOGETHER and one test for the whole of ``risk`` takes the place of one per rule.  Which tests are made
-    depends on the strata's sizes alone, and they share the error as in ``cutoffs``, the pool as a further stratum.  A
-    stratum without any good document, and a pool too small for TOGETHER, have no row.
+    ``labelled`` has the counts of ``features`` and a boolean ``good``.  With probability ``confidence`` at least, over the
+    draw of the labelled documents, no stratum's rules reject more than ``risk`` of its good documents together.  The
+    strata, and a pool, share the error equally:
+
+    * A stratum with labels enough for it tests each rule with an equal share of the risk and of its error.
+    * One with fewer makes tests of the whole risk for all rules, in two ladders with half of its error each.  The first
+      takes over the cutoffs of the largest stratum above, but for word length, which differs between languages; then
+      word length descends.  They come from other documents, so they are fixed as far as this stratum's labels are
+      concerned.  If that ladder certifies nothing, all rules descend TOGETHER.
+    * Strata below the need of that too are pooled and tested as one more stratum; the bound then holds for the pool's good
+      documents together.
+
+    Which tests are made depends on the strata's sizes and on other strata alone.  A stratum without any good document,
+    and a pool too small for its tests, have no row.  Counts are sums, so a stratum of any size combines before the
+    shuffle.
     """
     share = risk / len(RULES)
-
-    def rejects(at: tuple[int, ...]) -> Column:
-        return F.sum(F.array_contains(F.array(*[exceeds(a, b, ladder[i]) for i, (_, a, b, ladder) in zip(at, RULES)]), True).cast("long"))
-
-    counted = {f"{name}_{c}": F.sum(exceeds(a, b, c).cast("long")) for name, a, b, ladder in RULES for c in ladder}
-    counted |= {f"together_{i}": rejects(at) for i, at in enumerate(TOGETHER)}
-    per = labelled.where(good).groupBy(F.col(stratum).alias("stratum")).agg(F.count("*").alias("n"), *[v.alias(k) for k, v in counted.items()])
-    per = materialize(per, "strata")  # one row per stratum
+    names = [name for name, *_ in RULES]
+    n_hits = lambda *tests: F.sum(F.array_contains(F.array(*tests), True).cast("long"))
+    chosen = labelled.where(good).withColumn("stratum", F.col(stratum))
+    each_ladder = {name: [F.sum(exceeds(a, b, c).cast("long")) for c in ladder] for name, a, b, ladder in RULES}
+    together = {"together": [n_hits(*[exceeds(a, b, ladder[i]) for i, (_, a, b, ladder) in zip(at, RULES)]) for at in TOGETHER]}
+    counted = [F.count("*").alias("n")] + [k.alias(f"{rule}_{i}") for rule, ks in (each_ladder | together).items() for i, k in enumerate(ks)]
+    per = materialize(chosen.groupBy("stratum").agg(*counted), "strata")  # one row per stratum
     allowed = math.log((1 - confidence) / (per.count() + 1))
-    each = allowed - math.log(len(RULES))
-    need = math.ceil(each / math.log1p(-share))
-    few = F.col("n") < need
-    pool = per.where(few).agg(*[F.sum(c).alias(c) for c in per.columns[1:]]).where("n is not null")
-    units = per.where(~few).withColumn("pooled", F.lit(False)).unionByName(pool.withColumns({"stratum": F.lit(""), "pooled": F.lit(True)}))
-    steps = F.explode(F.array(*[
-        F.struct(F.lit(rule).alias("rule"), F.lit(i).alias("step"), F.col(f"{rule}_{c}").alias("k"))
-        for rule, cs in [*((name, ladder) for name, *_, ladder in RULES), ("together", range(len(TOGETHER)))] for i, c in enumerate(cs)]))
-    steps = units.select("stratum", "pooled", "n", steps.alias("s")).select("stratum", "pooled", "n", "s.*").where((F.col("rule") == "together") == few)
-
-    def passed(p: float, level: float) -> Column:
+    each, half = allowed - math.log(len(RULES)), allowed - math.log(2)
+    # good documents that a test without a single rejection needs
+    need, need_together = math.ceil(each / math.log1p(-share)), math.ceil(half / math.log1p(-risk))
+    pooled = F.col("n") < need_together
+    member = per.select("stratum", pooled.alias("pooled"), F.when(pooled, "").otherwise(F.col("stratum")).alias("unit"))
+    units = per.join(member, "stratum").groupBy("unit", "pooled").agg(*[F.sum(c).alias(c) for c in per.columns[1:]])
+
+    def certified(counts: DataFrame, ladders: dict[str, int], p: float, level: float) -> DataFrame:
+        """unit, pooled, n, rule and the last step of each ladder before its first failure."""
+        steps = F.explode(F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(i).alias("step"), F.col(f"{rule}_{i}").alias("k"))
+                                    for rule, size in ladders.items() for i in range(size)]))
         near = F.col("k") <= F.col("n") * p
-        return F.when(near, log_at_most(F.when(near, F.col("k")).otherwise(F.lit(0).cast("long")), F.col("n"), p) <= level).otherwise(False)
-
-    steps = steps.withColumn("passed", F.when(few, passed(risk, allowed)).otherwise(passed(share, each)))
-    # the step before the first failure
-    best = steps.groupBy("stratum", "pooled", "n", "rule").agg(
-        (F.coalesce(F.min(F.when(~F.col("passed"), F.col("step"))), F.max("step") + 1) - 1).alias("step")).where("step >= 0")
-    literal = lambda cs: F.array(*map(F.lit, cs))
-    wide = best.groupBy("stratum", "pooled", F.col("n").alias("n_good")).agg(*[
-        F.max(F.when(F.col("rule") == name, F.get(literal(ladder), F.col("step"))).when(
-            F.col("rule") == "together", F.get(literal([ladder[at[r]] for at in TOGETHER]), F.col("step")))).alias(name)
+        passed = F.when(near, log_at_most(F.when(near, F.col("k")).otherwise(F.lit(0).cast("long")), F.col("n"), p) <= level).otherwise(False)
+        tested = counts.select("unit", "pooled", "n", steps.alias("s")).select("unit", "pooled", "n", "s.*").withColumn("passed", passed)
+        return tested.groupBy("unit", "pooled", "n", "rule").agg(
+            (F.coalesce(F.min(F.when(~F.col("passed"), F.col("step"))), F.max("step") + 1) - 1).alias("step")).where("step >= 0")
+
+    def value(rule: str, cutoffs_: list) -> Column:
+        return F.max(F.when(F.col("rule") == rule, F.get(F.array(*[F.lit(c).cast("int") for c in cutoffs_]), F.col("step"))))
+
+    key = ["unit", "pooled", F.col("n").alias("n_good")]
+    wide = certified(units.where(F.col("n") >= need), {name: len(ladder) for name, *_, ladder in RULES}, share, each).groupBy(*key).agg(
+        *[value(name, ladder).alias(name) for name, *_, ladder in RULES])
+    wide = materialize(wide, "cutoffs_each")
+    donor = wide.where("not pooled").orderBy(F.desc("n_good"), "unit").first()
+    few, ladders = units.where(F.col("n") < need), {"together": len(TOGETHER)}
+    given = [tuple(donor[n] for n in names[:-1]) if donor else (None,) * (len(names) - 1)] * (len(RULES[-1][3]) + 1)
+    last = [None, *RULES[-1][3]]
+    if donor:
+        tests = [n_hits(*[exceeds(a, b, F.lit(c).cast("int")) for c, (_, a, b, _) in zip([*cs, z], RULES)]) for cs, z in zip(given, last)]
+        taken = chosen.join(F.broadcast(member) if per.count() <= STRATA else member, "stratum").groupBy("unit", "pooled").agg(
+            *[k.alias(f"taken_{i}") for i, k in enumerate(tests)])
+        few, ladders = few.join(taken, ["unit", "pooled"]), {"taken": len(tests)} | ladders
+    best = certified(few, ladders, risk, half).groupBy(*key).agg(*[
+        F.coalesce(F.when(F.max((F.col("rule") == "taken").cast("int")) == 1, F.struct(value("taken", [[*cs, z][r] for cs, z in zip(given, last)]).alias("v"))),
+                   F.struct(value("together", [ladder[at[r]] for at in TOGETHER]).alias("v")))["v"].alias(name)
         for r, (name, *_, ladder) in enumerate(RULES)])
-    shared = per.where(few).select("stratum").crossJoin(F.broadcast(wide.where("pooled").drop("stratum")))  # one row
-    return wide.where("not pooled").unionByName(shared)
+    return member.join(wide.unionByName(best), ["unit", "pooled"]).drop("unit")
 
 
-def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.02, confidence: float = 0.95, text: str = "text", pooled: bool = False) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.02, confidence: float = 0.95, text: str = "text") -> DataFrame:
     """doc_id, the stratum, the counts of ``features``, base_failed, rejected_by (names of rules) and kept, per row of docs.
 
     ``labels``: doc_id, quality (1: good); a repeated doc_id counts once, good only if all its labels say so; null labels
     and labels of unknown documents count nowhere.  A null stratum is a stratum of its own.  Repeated rows of ``docs``
-    give repeated rows.  Without labels only the base rules reject.  ``pooled``: cutoffs of ``pooled_cutoffs`` instead of
-    those of ``cutoffs``.
+    give repeated rows.  Without labels only the base rules reject.
     """
     counted = features(docs.select("doc_id", F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), F.col(text).alias("text")))
     # seven numbers a document; the texts are read once
     counted = materialize(counted.drop("text").withColumn("base_failed", base_failed()), "rules")
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.min("quality") == 1).alias("good"))
     labelled = counted.where(~F.col("base_failed")).join(known, "doc_id")
-    if pooled:
-        wide = pooled_cutoffs(labelled, "stratum", risk, confidence).select("stratum", *[F.col(name).alias(f"_{name}") for name, *_ in RULES])
-    else:
-        chosen = cutoffs(labelled, "stratum", risk, confidence)
-        wide = chosen.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == name, F.col("cutoff"))).alias(f"_{name}") for name, *_ in RULES])
+    wide = cutoffs(labelled, "stratum", risk, confidence).select("stratum", *[F.col(name).alias(f"_{name}") for name, *_ in RULES])
     wide = materialize(wide, "cutoffs")
     if wide.limit(STRATA + 1).count() <= STRATA:  # else both sides are shuffled
         wide = F.broadcast(wide)
@@ -198,17 +187,38 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.02, confidence: float = 0.95, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` of kept documents by ``pooled_cutoffs``, with their own columns; rows with one doc_id, or with none,
+    """The rows of ``docs`` of kept documents, with their own columns; rows with one doc_id, or with none,
     stay together if the verdict keeps any of them."""
-    verdict = judge(docs, labels, stratum, risk, confidence, text, pooled=True).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    verdict = judge(docs, labels, stratum, risk, confidence, text).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
     return docs.join(verdict, docs["doc_id"].eqNullSafe(verdict["_kept"]), "left_semi")
 
 
 def sql(risk: float = 0.02, confidence: float = 0.95) -> str:
     """The same for DuckDB, over documents and labels with lang as the stratum."""
-    ladders = " UNION ALL ".join(f"SELECT *, '{name}' AS rule, {i} AS step, {c} AS cutoff, 100 * {a} > {c} * {b} AS hit FROM good"
-                                 for name, a, b, cs in RULES for i, c in enumerate(cs))
-    hits = ", ".join(f"CASE WHEN 100 * {a} > max(cutoff) FILTER (rule = '{name}') * {b} THEN '{name}' END" for name, a, b, _ in RULES)
+    names = [name for name, *_ in RULES]
+    tests = {(name, i): f"100 * {a} > {c} * {b}" for name, a, b, cs in RULES for i, c in enumerate(cs)}
+    joint = {("together", i): " OR ".join(f"100 * {a} > {cs[k]} * {b}" for k, (_, a, b, cs) in zip(at, RULES)) for i, at in enumerate(TOGETHER)}
+    given = " OR ".join(f"coalesce(100 * {a} > d_{name} * {b}, false)" for name, a, b, _ in RULES[:-1])
+    joint |= {("taken", i): given + (f" OR 100 * {RULES[-1][1]} > {c} * {RULES[-1][2]}" if c else "") for i, c in enumerate([None, *RULES[-1][3]])}
+
+    def counted(ladders: dict, rows: str) -> str:
+        return " UNION ALL ".join(f"SELECT unit, n, '{rule}' AS rule, {i} AS step, count(*) FILTER ({hit}) AS k FROM {rows} GROUP BY ALL"
+                                  for (rule, i), hit in ladders.items())
+
+    def certified(ladders: dict, rows: str, p: float, level: str) -> str:
+        return f"""SELECT unit, n, rule, max(step) AS step FROM (
+    SELECT *, min(CASE WHEN NOT passed THEN step END) OVER (PARTITION BY unit, rule) AS failed FROM (
+      SELECT *, k <= n * {p!r} AND list_sum(list_transform(range(0, CAST(k AS BIGINT) + 1), lambda i:
+                exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p!r}) + (n - i) * ln(1 - {p!r})))) <= exp((SELECT {level} FROM level)) AS passed
+      FROM ({counted(ladders, rows)})))
+  WHERE failed IS NULL OR step < failed GROUP BY ALL"""
+
+    values = lambda rows: ", ".join(f"({r!r}, {i}, {c})" for r, i, c in rows)
+    single = values((name, i, c) for name, *_, cs in RULES for i, c in enumerate(cs))
+    both = ", ".join(f"({i}, {', '.join(str(cs[k]) for k, (*_, cs) in zip(at, RULES))})" for i, at in enumerate(TOGETHER))
+    lengths = ", ".join(f"({i}, {c or 'NULL::INT'})" for i, c in enumerate([None, *RULES[-1][3]]))
+    hits = ", ".join(f"CASE WHEN 100 * {a} > c_{name} * {b} THEN '{name}' END" for name, a, b, _ in RULES)
+    c_names = ", ".join(f"c_{name}" for name in names)
     p = risk / len(RULES)
     return f"""
 WITH w AS (
@@ -225,18 +235,25 @@ f AS (
          coalesce(n_repeat_words, 0) AS n_repeat_words FROM w LEFT JOIN rep USING (doc_id)),
 b AS (SELECT *, n_words < {BASE_WORDS} OR 100 * n_repeat_words > {BASE_REPEATS} * n_words AS base_failed FROM f),
 good AS (SELECT b.* FROM b JOIN (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1) USING (doc_id) WHERE NOT base_failed),
-steps AS (SELECT stratum, rule, step, cutoff, count(*) AS n, count(*) FILTER (hit) AS k FROM ({ladders}) GROUP BY ALL),
-tested AS (
-  SELECT *, k <= n * {p!r} AND list_sum(list_transform(range(0, k + 1), lambda i:
-              exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p!r}) + (n - i) * ln(1 - {p!r}))))
-              <= (1 - {confidence!r}) / ((SELECT count(DISTINCT stratum) FROM good) * {len(RULES)}) AS passed FROM steps),
-chosen AS (
-  SELECT stratum, rule, arg_max(cutoff, step) AS cutoff FROM (
-    SELECT *, min(CASE WHEN NOT passed THEN step END) OVER (PARTITION BY stratum, rule) AS failed FROM tested)
-  WHERE failed IS NULL OR step < failed GROUP BY ALL),
-hit AS (
-  SELECT doc_id, list_filter([{hits}], lambda x: x IS NOT NULL) AS rejected_by
-  FROM b LEFT JOIN chosen USING (stratum) GROUP BY doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words)
+per AS (SELECT stratum, count(*) AS n FROM good GROUP BY ALL),
+level AS (SELECT ln((1 - {confidence!r}) / (count(*) + 1)) AS allowed, allowed - ln({len(RULES)}) AS each, allowed - ln(2) AS half,
+                 ceil(each / ln(1 - {p!r})) AS need, ceil(half / ln(1 - {risk!r})) AS need_together FROM per),
+unit AS (SELECT stratum, coalesce(own, '(pool)') AS unit, sum(n) OVER (PARTITION BY own) AS n, sum(n) OVER (PARTITION BY own) < need AS few
+         FROM (SELECT *, CASE WHEN n >= need_together THEN 'own ' || stratum END AS own FROM per, level)),
+many AS (SELECT * FROM good JOIN unit USING (stratum) WHERE NOT few),
+each_step AS ({certified(tests, 'many', p, 'each')}),
+each_cut AS (SELECT unit, n, {', '.join(f"max(cutoff) FILTER (rule = '{name}') AS c_{name}" for name in names)}
+             FROM each_step JOIN (VALUES {single}) AS v(rule, step, cutoff) USING (rule, step) GROUP BY ALL),
+donor AS (SELECT {', '.join(f'c_{name} AS d_{name}' for name in names)} FROM each_cut WHERE unit <> '(pool)' ORDER BY n DESC, unit LIMIT 1),
+sparse AS (SELECT * FROM good JOIN unit USING (stratum) LEFT JOIN donor ON true WHERE few),
+joint_step AS ({certified(joint, 'sparse', risk, 'half')}),
+taken_cut AS (SELECT unit, {', '.join(f'd_{name}' for name in names[:-1])}, v.cutoff FROM joint_step JOIN (VALUES {lengths}) AS v(step, cutoff) USING (step), donor
+              WHERE rule = 'taken'),
+joint_cut AS (SELECT unit, v.* EXCLUDE (step) FROM joint_step JOIN (VALUES {both}) AS v(step, {c_names}) USING (step)
+              WHERE rule = 'together' AND unit NOT IN (SELECT unit FROM taken_cut)),
+cuts AS (SELECT stratum, {c_names} FROM unit JOIN (
+           SELECT unit, {c_names} FROM each_cut UNION ALL SELECT * FROM taken_cut UNION ALL SELECT unit, {c_names} FROM joint_cut) USING (unit)),
+hit AS (SELECT doc_id, list_filter([{hits}], lambda x: x IS NOT NULL) AS rejected_by FROM b LEFT JOIN cuts USING (stratum))
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
        CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
        NOT base_failed AND len(rejected_by) = 0 AS kept, stratum, rejected_by

@@ -61,16 +61,21 @@ def test_binomial_tail(spark, n, p):
 
 
 def test_cutoffs_limit_false_rejection(spark):
-    """No stratum's rules reject more of its good documents than allowed; a stratum with few labels has no cutoff."""
+    """No stratum's rules reject more of its good documents than allowed; one with some hundred labels has
+    cutoffs of its own, one with few has none."""
     rng = np.random.default_rng(4)
-    rows = [("big", 100, 500, int(max(0, rng.normal(5, 4))), 5, 0, 0, True) for _ in range(4000)] + [("small", 100, 500, 0, 5, 0, 0, True)] * 20
+    rows = [("big", 100, 500, int(max(0, rng.normal(5, 4))), 5, 0, 0, True) for _ in range(4000)] + [("small", 100, 500, 0, 5, 0, 0, True)] * 20 + [("medium", 100, 500, 0, 5, 0, 0, True)] * 300
     rows += [("big", 100, 500, 400, 5, 0, 0, False)] * 100
     labelled = spark.createDataFrame(rows, "stratum string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long, good boolean")
-    found = quality_rules.cutoffs(labelled, "stratum").collect()
-    assert {r.stratum for r in found} == {"big"} and {r.rule for r in found} == {x[0] for x in quality_rules.RULES}
-    assert all(r.n_rejected <= r.n_good * 0.02 / len(quality_rules.RULES) for r in found)
-    symbols = next(r for r in found if r.rule == "symbols")
-    assert 3 <= symbols.cutoff <= 8
+    found = {r.stratum: r for r in quality_rules.cutoffs(labelled, "stratum").collect()}
+    assert set(found) == {"big", "medium"} and not any(r.pooled for r in found.values())
+    names = [name for name, *_ in quality_rules.RULES]
+    assert all(found[k][name] is not None for k in found for name in names)
+    for k, n in (("big", 4000), ("medium", 300)):
+        rejected = sum(any(100 * r[a] > found[k][name] * r[b] for name, a, b, _ in quality_rules.RULES)
+                       for r in labelled.where(F.col("stratum") == k).where("good").collect())
+        assert found[k].n_good == n and rejected <= 0.02 * n
+    assert 3 <= found["big"].symbols <= 8
 
 
 def test_rules_on_odd_rows(spark, documents):
