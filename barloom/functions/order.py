@@ -2,45 +2,83 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float], accuracy: int = 100_000) -> DataFrame:
-    """(name, q, value): exact interpolated quantiles of whole columns.
+#: Evenly spaced edges of a later round; values of a bracket that are ranked as they are.
+GRID, LEAF = 64, 1 << 16
+
+
+def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float], accuracy: int = 10_000, leaf: int = LEAF) -> DataFrame:
+    """(name, q, value): exact interpolated quantiles of whole columns; nulls and NaN are left out, an empty column has no row.
 
-    A mergeable sketch brackets each quantile to a few parts in ``accuracy``; the second pass counts what lies
-    below the bracket and ranks only the distinct values inside it (at most about 4n / accuracy).  A bracket
-    that misses its rank raises an error instead of returning a wrong value.
+    Selection by rounds.  A round takes edges from a mergeable sketch, counts the values at and between the edges, and keeps
+    for every wanted rank the bin that holds it.  Edges are values of the data and bins of their own, so a value that fills
+    the column ends the search, every round leaves fewer values, and an inexact sketch costs a round and never a result.
+    The first round's edges lie close to the quantiles, those of later rounds are a grid.  A bin of at most ``leaf`` values
+    is ranked as it is.  What reaches the driver are counts: per column and quantile one row per bin.
     """
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in cols]))
-    long = df.select(cells.alias("x")).select("x.name", "x.v").where("v IS NOT NULL")
-    # a bracket must span a few ranks, so short columns take the wide one and very short ones their whole range
-    narrow, wide = 2.0 / accuracy, 0.01
-    marks = [min(max(q + d, 0.0), 1.0) for q in qs for d in (-narrow, narrow, -wide, wide)]
-    sketch = long.groupBy("name").agg(
-        F.count("*").alias("n"), F.percentile_approx("v", marks, accuracy).alias("p"), F.min("v").alias("a"), F.max("v").alias("z"))
-
-    def edge(q: float, at: int, sign: int, end: str) -> Column:
-        def mark(width: float, place: int) -> Column:
-            return F.col(end) if not 0 < q + sign * width < 1 else F.get("p", F.lit(place))
-        return F.when(F.col("n") * narrow >= 4, mark(narrow, at)).when(F.col("n") * wide >= 4, mark(wide, at + 2)).otherwise(F.col(end))
-
-    rows = F.explode(F.array(*[F.struct(F.lit(float(q)).alias("q"), edge(q, 4 * i, -1, "a").alias("lo"), edge(q, 4 * i + 1, 1, "z").alias("hi"))
-                               for i, q in enumerate(qs)]))
-    brackets = sketch.select("name", "n", rows.alias("r")).select("name", "n", "r.*")  # columns x quantiles rows
-    near = long.join(F.broadcast(brackets), "name").where(F.col("v") <= F.col("hi"))
-    counts = near.groupBy("name", "q", "n", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("k")).agg(F.count("*").alias("c"))
-    w = W.partitionBy("name", "q").orderBy(F.asc_nulls_first("k")).rowsBetween(W.unboundedPreceding, 0)
-    pos = (F.col("n") - 1) * F.col("q")
-    ranked = counts.withColumns({"cum": F.sum("c").over(w), "pos": pos})
-    at = lambda rank: F.min(F.when(F.col("cum") > rank, F.coalesce("k", F.lit(float("-inf")))))
-    out = ranked.groupBy("name", "q", "pos").agg(at(F.floor("pos")).alias("lo"), at(F.ceil("pos")).alias("hi"))
-    bad = F.col("lo").isNull() | F.col("hi").isNull() | (F.col("lo") == float("-inf"))
-    value = F.when(bad, F.raise_error(F.lit("quantile bracket missed its rank")).cast("double")).otherwise(
-        F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("pos") - F.floor("pos")))
-    return out.select("name", "q", value.alias("value"))
+    long = df.select(cells.alias("x")).select("x.name", "x.v").where("v IS NOT NULL AND NOT isnan(v)")
+    near = 2.0 / accuracy
+    marks = sorted({min(max(q + d, 0.0), 1.0) for q in qs for d in (-near, near)})
+    whole = long.groupBy("name").agg(
+        F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.percentile_approx("v", marks, accuracy).alias("edges")).collect()  # a row per column
+    size = {r["name"]: r["n"] for r in whole}
+    # wanted ranks (from 0) and the bin that holds each: (name, lo, hi, values below, values inside)
+    wanted = {(name, rank): None for name, n in size.items() for q in qs for rank in (math.floor((n - 1) * q), math.ceil((n - 1) * q))}
+    bins = {r["name"]: (r["name"], r["lo"], r["hi"], 0, r["n"]) for r in whole}
+    wanted = {key: bins[key[0]] for key in wanted}
+    edges = {bins[r["name"]]: r["edges"] for r in whole}
+    found: dict[tuple[str, int], float] = {}
+    while wanted:
+        found |= {key: b[1] for key, b in wanted.items() if b[1] == b[2]}
+        wanted = {key: b for key, b in wanted.items() if b[1] != b[2]}
+        large = sorted({b for b in wanted.values() if b[4] > leaf})
+        if not large:
+            break
+        if not all(b in edges for b in large):
+            grid = [i / GRID for i in range(GRID + 1)]
+            rows = _inside(long, large).groupBy("at").agg(F.percentile_approx("v", grid, accuracy).alias("edges")).collect()  # a row per bin
+            edges = {large[r["at"]]: r["edges"] for r in rows}
+        rows = _inside(long, large, [edges[b] for b in large])
+        counted = rows.groupBy("at", "bin").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("at", "bin").collect()  # a row per bin
+        for at, old in enumerate(large):
+            below = old[3]
+            for r in (r for r in counted if r["at"] == at):
+                new = (old[0], r["lo"], r["hi"], below, r["n"])
+                wanted |= {(name, rank): new for (name, rank), b in wanted.items() if b == old and below <= rank < below + r["n"]}
+                below += r["n"]
+        edges = {}
+    if wanted:
+        small = sorted(set(wanted.values()))
+        counts = _inside(long, small).groupBy("at", "v").agg(F.count("*").alias("c"))
+        upto = F.sum("c").over(W.partitionBy("at").orderBy("v").rowsBetween(W.unboundedPreceding, 0))
+        ranks = long.sparkSession.createDataFrame([(small.index(b), rank - b[3], name, rank) for (name, rank), b in wanted.items()], "at int, place long, name string, rank long")
+        hit = counts.withColumn("upto", upto).join(F.broadcast(ranks), "at").where("upto > place AND upto - c <= place")
+        found |= {(r["name"], r["rank"]): r["v"] for r in hit.select("name", "rank", "v").collect()}  # a row per rank
+    out = []
+    for name, n in size.items():
+        for q in qs:
+            pos = (n - 1) * q
+            lo, hi = found[name, math.floor(pos)], found[name, math.ceil(pos)]
+            out.append((name, float(q), lo if lo == hi else lo + (hi - lo) * (pos - math.floor(pos))))
+    return long.sparkSession.createDataFrame(out, "name string, q double, value double")
+
+
+def _inside(long: DataFrame, bins: list[tuple], edges: list[list[float]] | None = None) -> DataFrame:
+    """at, v of the values in each bin (its place in the list), with ``bin``, the place among its edges, if those are given."""
+    most = max(map(len, edges)) if edges else 0
+    rows = [(at, b[0], b[1], b[2], *([*edges[at], *[b[2]] * (most - len(edges[at]))] if edges else [])) for at, b in enumerate(bins)]
+    names = [f"e{i}" for i in range(most)]
+    table = long.sparkSession.createDataFrame(rows, ", ".join(["at int, name string, lo double, hi double", *[f"{e} double" for e in names]]))
+    found = long.join(F.broadcast(table), "name").where("v >= lo AND v <= hi")  # bins x edges numbers
+    place = [F.expr(" + ".join(f"int(v >= {e}) + int(v > {e})" for e in names)).alias("bin")] if names else []
+    return found.select("at", "v", *place)
 
 
 def quantile_map(df: DataFrame, cols: list[str], qs: list[float]) -> Column:

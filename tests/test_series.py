@@ -144,6 +144,21 @@ def test_exact_quantiles_with_narrow_brackets_and_ties(spark):
         assert math.isclose(v, np.quantile(x if c == "v" else -x, q), rel_tol=1e-12), (c, q)
 
 
+def test_exact_quantiles_by_rounds(spark):
+    """One value that fills the column, values sorted by partition, a coarse sketch and small leaves."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([np.full(1_000_000, 3.5), rng.normal(0, 1, 40_000), 10.0 ** rng.uniform(-300, 300, 20_000), [-np.inf, np.inf, np.nan]])
+    df = spark.createDataFrame(pd.DataFrame({"v": np.sort(x), "none": np.nan}))
+    qs, finite = [0.0, 0.001, 0.01, 0.03, 0.5, 0.985, 0.99, 0.9999, 1.0], x[~np.isnan(x)]
+    for accuracy, leaf in ((100, 1), (10_000, 1 << 16)):
+        got = {r["q"]: r["value"] for r in exact_quantiles(df, ["v", "none"], qs, accuracy, leaf).collect()}
+        assert set(got) == set(qs)
+        for q, v in got.items():
+            want = np.sort(finite)[int((len(finite) - 1) * q)] if q in (0.0, 1.0) else np.quantile(finite, q)
+            assert v == want or math.isclose(v, want, rel_tol=1e-9), (q, v, want)
+    assert exact_quantiles(df.limit(0), ["v"], qs).count() == 0
+
+
 @pytest.mark.parametrize("n", [1, 2, 7, 399, 401, 1234, 5321])
 def test_exact_quantiles_of_short_columns(spark, n):
     x = np.random.default_rng(n).normal(0, 1, n)
