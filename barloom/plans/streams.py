@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barloom.plans.oracle import W
+from barloom.operators import indicators
+from barloom.plans.oracle import W, roll
 from barloom.registry import query
-from barloom.sources.readers import shared_folder
+from barloom.sources.readers import materialize, shared_folder
 from barloom.sources.tables import Tables
 from barloom.streaming import jobs
 
@@ -43,17 +44,35 @@ def _(t: Tables):
     return plain(jobs.run(jobs.stream_sessions(ticks(t)), "stream_sessions", "append"), "start", "end")
 
 
-RULES = [("high", "above", 108.0), ("low", "below", 92.0), ("par", "crossing", 100.0)]
+RULES = [jobs.Rule("high", "above", 108.0), jobs.Rule("low", "below", 92.0), jobs.Rule("par", "crossing", 100.0), jobs.Rule("busy", "above", 60, "volume"),
+         jobs.Rule("mean", "crossing", 100.0, "sma_20"), jobs.Rule("one", "below", 97.0, "close", 1), jobs.Rule("off", "above", 0.0, is_active=False)]
+#: The second delivery starts here and brings the bars since AGAIN once more.
+SECOND, AGAIN = "1998-07-01", "1998-01-01"
 
 
-@query("stream_alerts", f""", p AS (SELECT symbol, date, close AS value, lag(close) OVER ({W}) AS previous FROM bars)
-SELECT symbol, date, 'high' AS rule, value, previous FROM p WHERE value > 108 UNION ALL SELECT symbol, date, 'low', value, previous FROM p WHERE value < 92
-UNION ALL SELECT symbol, date, 'par', value, previous FROM p WHERE (previous - 100) * (value - 100) < 0""", "bars")
+def fired(rule: str, field: str, where: str) -> str:
+    return f"SELECT symbol, date, '{rule}' AS rule, '{field}' AS field, {field} AS value, was_{field} AS previous FROM p WHERE {where}"
+
+
+ALERTS = " UNION ALL ".join([
+    fired("high", "close", "close > 108"), fired("low", "close", "close < 92"), fired("par", "close", "(was_close - 100) * (close - 100) < 0"),
+    fired("busy", "volume", "volume > 60"), fired("mean", "sma_20", "(was_sma_20 - 100) * (sma_20 - 100) < 0"), fired("one", "close", "symbol = 1 AND close < 97")])
+
+
+@query("stream_alerts", f""", x AS (SELECT symbol, date, close, CAST(volume AS DOUBLE) AS volume, {roll('avg', 'close', 20)} AS sma_20 FROM bars),
+p AS (SELECT *, lag(close) OVER ({W}) AS was_close, lag(volume) OVER ({W}) AS was_volume, lag(sma_20) OVER ({W}) AS was_sma_20 FROM x),
+a AS ({ALERTS})
+SELECT symbol, date, rule, field, value, previous, lag(date) OVER (PARTITION BY symbol, rule ORDER BY date) AS last_triggered, false AS late FROM a
+UNION ALL SELECT symbol, date, NULL, NULL, NULL, NULL, NULL, true FROM bars WHERE date >= DATE '{AGAIN}' AND date < DATE '{SECOND}'""", "bars", r6="value previous")
 def _(t: Tables):
-    folder = shared_folder(t.spark, "bar-feed")
-    t.bars.select("symbol", "date", "close").write.parquet(folder)
-    feed = t.spark.readStream.schema("symbol bigint, date date, close double").parquet(folder)
-    return jobs.run(jobs.stream_alerts(feed, RULES), "stream_alerts", "append")
+    """Bars in two deliveries, the second with bars of the first; the stream stops after the first and goes on from its checkpoint."""
+    folder, base = shared_folder(t.spark, "bar-feed"), shared_folder(t.spark, "alerts")
+    bars = materialize(indicators.sma(t.bars, 20).select("symbol", "date", "close", F.col("volume").cast("double").alias("volume"), "sma_20"), "bars")
+    for part in (F.col("date") < SECOND, F.col("date") >= AGAIN):
+        bars.where(part).write.mode("append").parquet(folder)
+        feed = t.spark.readStream.schema(bars.schema).option("maxFilesPerTrigger", 64).parquet(folder)
+        out = jobs.run(jobs.stream_alerts(feed, RULES), "alerts", "append", base=base)
+    return out
 
 
 @query("stream_upsert_news", "SELECT DISTINCT md5(content) AS id, title FROM articles", "articles")

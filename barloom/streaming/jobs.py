@@ -7,8 +7,11 @@ doubles rows.  Updates of a key are kept as versions and read back as the newest
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Iterator
+from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,32 +52,60 @@ def stream_sessions(ticks: DataFrame, gap: str = "2 hours", late: str = "10 minu
     return out.select("symbol", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events", "total")
 
 
-def stream_alerts(bars: DataFrame, rules: list[tuple[str, str, float]]) -> DataFrame:
-    """Alerts of rules (id, kind, threshold) on new bars; kinds are above, below and crossing.
+class Rule(NamedTuple):
+    """An alert on a numeric column of the bars; without a symbol it holds for all, and one that is not active never fires."""
 
-    State per symbol is the newest close and date, so a crossing is seen across micro-batches, and a bar that is
-    not newer than the state is ignored.
+    id: str
+    kind: str  # above, below or crossing
+    level: float
+    field: str = "close"
+    symbol: object = None
+    is_active: bool = True
+
+
+def stream_alerts(bars: DataFrame, rules: list[Rule | tuple]) -> DataFrame:
+    """Alerts of rules on new bars: symbol, date, rule, field, value, previous, last_triggered, late.
+
+    Rules look at any numeric column: closes, volumes, indicators.  ``previous`` is the field's value at the bar before and
+    ``last_triggered`` the date at which the rule last fired for the symbol.  Both are state per symbol, as is the newest
+    date, so they carry over micro-batches and restarts.  A bar that is not newer than an earlier one of its symbol, or
+    has no date, fires nothing and changes no state; it comes out as a row with ``late`` and without a rule.  A null value
+    never fires, and there is no crossing from or to it.
     """
+    active = [r for r in (Rule(*r) for r in rules) if r.is_active]
+    if any(r.kind not in ("above", "below", "crossing") for r in active) or len({r.id for r in active}) < len(active):
+        raise ValueError("rules are above, below or crossing and have an id of their own")
+    fields = sorted({r.field for r in active})
     kind = dict(bars.dtypes)["symbol"]
+    columns = ["symbol", "date", "rule", "field", "value", "previous", "last_triggered", "late"]
 
     def check(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, seen = state.get if state.exists else (None, None)
-        out = []
-        for row in pd.concat(list(frames)).sort_values("date").itertuples():
-            day = str(row.date)[:10]
-            if seen is not None and day <= seen:
-                continue
-            for rule, how, level in rules:
-                crossed = last is not None and (last - level) * (row.close - level) < 0
-                if (how == "above" and row.close > level) or (how == "below" and row.close < level) or (how == "crossing" and crossed):
-                    out.append((key[0], row.date, rule, row.close, last))
-            last, seen = row.close, day
+        seen, *rest = state.get if state.exists else (None,) * (1 + len(fields) + len(active))
+        previous, fired = dict(zip(fields, rest)), dict(zip([r.id for r in active], rest[len(fields):]))
+        rows = pd.concat(list(frames)).sort_values("date", kind="stable")
+        day = pd.to_datetime(rows["date"])
+        before = day.shift()
         if seen is not None:
-            state.update((last, seen))
-        yield pd.DataFrame(out, columns=["symbol", "date", "rule", "value", "previous"])
-
-    return bars.groupBy("symbol").applyInPandasWithState(
-        check, f"symbol {kind}, date date, rule string, value double, previous double", "last double, seen string", "append", GroupStateTimeout.NoTimeout)
+            before = before.where(before > pd.Timestamp(seen), pd.Timestamp(seen))
+        fresh = day.notna() & ~(day <= before)
+        out = [(key[0], d, None, None, None, None, None, True) for d in rows["date"][~fresh]]
+        rows = rows[fresh]
+        for r in active:
+            if len(rows) and r.symbol in (None, key[0]):
+                value = rows[r.field].astype("float64").to_numpy()
+                last = np.append(np.nan if previous[r.field] is None else previous[r.field], value[:-1])
+                hits = {"above": value > r.level, "below": value < r.level, "crossing": (last - r.level) * (value - r.level) < 0}[r.kind]
+                dates = [d for d in rows["date"][hits]]
+                earlier = [None if fired[r.id] is None else datetime.date.fromisoformat(fired[r.id]), *dates][:len(dates)]
+                out += [(key[0], d, r.id, r.field, v, p, e, False) for d, v, p, e in zip(dates, value[hits].tolist(), last[hits].tolist(), earlier)]
+                fired[r.id] = str(dates[-1])[:10] if dates else fired[r.id]
+        if len(rows):
+            state.update((str(rows["date"].iloc[-1])[:10], *[float(rows[f].iloc[-1]) for f in fields], *[fired[r.id] for r in active]))
+        yield pd.DataFrame(out, columns=columns)
+
+    stored = ", ".join(["seen string", *[f"p{i} double" for i in range(len(fields))], *[f"t{i} string" for i in range(len(active))]])
+    made = f"symbol {kind}, date date, rule string, field string, value double, previous double, last_triggered date, late boolean"
+    return bars.groupBy("symbol").applyInPandasWithState(check, made, stored, "append", GroupStateTimeout.NoTimeout)
 
 
 def stream_news(items: DataFrame, late: str = "120 days") -> DataFrame:
@@ -82,10 +113,11 @@ def stream_news(items: DataFrame, late: str = "120 days") -> DataFrame:
     return items.withWatermark("published_at", late).dropDuplicatesWithinWatermark(["id"])
 
 
-def run(stream: DataFrame, name: str, mode: str, keys: list[str] | None = None) -> DataFrame:
-    """Drains the available input and returns what was written; with keys, the newest version of each."""
+def run(stream: DataFrame, name: str, mode: str, keys: list[str] | None = None, base: str | None = None) -> DataFrame:
+    """Drains the available input and returns what was written; with keys, the newest version of each.  ``base`` is the
+    folder of an earlier run to go on from: its checkpoint and all that it wrote."""
     spark = stream.sparkSession
-    base = shared_folder(spark, name)
+    base = base or shared_folder(spark, name)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")

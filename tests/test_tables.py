@@ -195,6 +195,33 @@ def test_alerts_cross_micro_batches(spark, tmp_path):
     assert sorted((str(r["date"]), r["rule"]) for r in out.collect()) == [("2024-01-02", "par"), ("2024-01-03", "high"), ("2024-01-04", "par")]
 
 
+def test_alerts_go_on_from_the_checkpoint(spark, tmp_path):
+    """Volume and indicator rules, a rule of another symbol, an inactive one, late and dateless bars, nulls, a restart."""
+    folder, base = str(tmp_path / "feed"), str(tmp_path / "state")
+    schema = "symbol string, date date, close double, volume bigint, rsi double"
+    rules = [jobs.Rule("busy", "above", 50, "volume"), jobs.Rule("rsi", "crossing", 30.0, "rsi"), jobs.Rule("b", "above", 0.0, symbol="B"), jobs.Rule("off", "above", 0.0, is_active=False)]
+    day = lambda i: datetime.date(2024, 1, i)
+
+    def deliver(*rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+
+    def drain():
+        feed = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        out = jobs.run(jobs.stream_alerts(feed, rules), "alerts-test", "append", base=base).collect()
+        return sorted((r["symbol"], str(r["date"]), r["rule"] or "", str(r["last_triggered"]), r["late"]) for r in out)
+
+    deliver(("A", day(2), 1.0, 60, 40.0), ("A", day(4), 1.0, 10, 20.0), ("B", day(1), 1.0, 1, None))
+    deliver(("A", day(3), 1.0, 99, 90.0), ("A", day(5), 1.0, 70, None), ("A", day(5), 1.0, 80, 1.0))
+    first = [("A", "2024-01-02", "busy", "None", False), ("A", "2024-01-03", "", "None", True), ("A", "2024-01-04", "rsi", "None", False), ("A", "2024-01-05", "", "None", True),
+             ("A", "2024-01-05", "busy", "2024-01-02", False), ("B", "2024-01-01", "b", "None", False)]
+    assert drain() == sorted(first)
+    deliver(("A", day(6), 1.0, 51, 10.0), ("A", day(7), 1.0, None, 50.0), ("A", None, 1.0, 99, 1.0), ("B", day(1), 1.0, 99, 1.0))
+    second = [("A", "2024-01-06", "busy", "2024-01-05", False), ("A", "2024-01-07", "rsi", "2024-01-04", False), ("A", "None", "", "None", True), ("B", "2024-01-01", "", "None", True)]
+    assert drain() == sorted(first + second)
+    with pytest.raises(ValueError):
+        jobs.stream_alerts(spark.readStream.schema(schema).parquet(folder), [("x", "sideways", 1.0)])
+
+
 def test_stream_bars_merge_batches(spark, tmp_path):
     folder = str(tmp_path / "ticks")
     schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
