@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from barloom.llm.words import bounded, mix, shingles, words
 
 #: Words of a shingle, least similarity, bits that two fingerprints may differ in, bytes of a benchmark's text per task.
-SHINGLE, SIMILARITY, RADIUS, ITEMS = 5, 0.8, 15, 1 << 22
+SHINGLE, SIMILARITY, RADIUS, ITEMS = 5, 0.8, 20, 1 << 22
 BITS = 64
 
 
@@ -101,11 +101,15 @@ def search(hashes: np.ndarray, items: Items, similarity: float) -> Iterator[tupl
     """(item, first word, words, similarity) of the best window per item in one document; the first of equal ones.
 
     A window that shares no shingle with an item has similarity 0, so only windows that hold a shingle of an item of
-    their length are fingerprinted.
+    their length are fingerprinted.  A document shorter than the item is one window; one with too few shingles for the
+    similarity is passed over.
     """
-    for n, k, sh, hit in hits(hashes, items):
-        members, index = items.by_length[n]
+    for of_item, k, sh, hit in hits(hashes, items):
+        members, index = items.by_length[of_item]
+        n = min(of_item, len(hashes))
         span = n - k + 1  # shingles of a window
+        if span < similarity * (of_item - k + 1):
+            continue
         # windows that hold a hit start at hit - span + 1 .. hit; neighbouring ones form stretches
         first = np.maximum(hit - span + 1, 0)
         last = np.minimum(hit, len(hashes) - n)
@@ -125,7 +129,7 @@ def search(hashes: np.ndarray, items: Items, similarity: float) -> Iterator[tupl
 
 
 def hits(hashes: np.ndarray, items: Items) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Per item length that fits: (item words, shingle words, the document's shingles, those that items of that length hold)."""
+    """Per item length: (item words, shingle words, the document's shingles, those that items of that length hold)."""
     for k, (keys, lengths) in items.owners.items():
         sh = shingles(hashes, k)
         a, b = np.searchsorted(keys, sh, "left"), np.searchsorted(keys, sh, "right")
@@ -133,8 +137,7 @@ def hits(hashes: np.ndarray, items: Items) -> Iterator[tuple[int, int, np.ndarra
         at = np.repeat(np.arange(len(sh)), count)
         length = lengths[np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(a, count)]
         for n in np.unique(length).tolist():
-            if n <= len(hashes):
-                yield n, k, sh, at[length == n]
+            yield n, k, sh, at[length == n]
 
 
 def stretches(first: np.ndarray, last: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -148,7 +151,7 @@ def stretches(first: np.ndarray, last: np.ndarray) -> Iterator[tuple[int, int]]:
 def leaks(docs: DataFrame, benchmark: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS, text: str = "text") -> DataFrame:
     """Pairs (doc_id, item_id) with first_word, n_words and similarity of the document's best window for the item.
 
-    Windows have as many words as the item, words are compared without A-Z case, and similarity is the weighted Jaccard
+    Windows have as many words as the item (a document with fewer words is one window), words are compared without A-Z case, and similarity is the weighted Jaccard
     similarity of ``size``-word shingles with their counts as weights.  A pair is reported if a window's fingerprint lies
     within ``radius`` bits of the item's and its similarity is ``similarity`` or more.  Items and documents that are null
     or have no word match nothing; an item of fewer than ``size`` words is one shingle.  Repeated rows of documents give
@@ -197,6 +200,9 @@ def holders(w, items: Items, least: int) -> list[int]:
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose document has no pair in ``leaks``; rows with a null doc_id are judged as one document."""
-    found = leaks(docs, benchmark, size, similarity, radius, text).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_leak"]), "left_anti")
+    """The rows of ``docs`` without a pair in ``leaks``.  Rows are judged by a 64-bit key of doc_id and text, so rows with
+    one doc_id, or with none, are judged each by its own text."""
+    key = F.xxhash64(docs["doc_id"], docs[text])
+    found = leaks(docs.select(key.alias("doc_id"), F.col(text).alias("text")), benchmark, size, similarity, radius)
+    found = found.select(F.col("doc_id").alias("_leak")).distinct()
+    return docs.join(found, key == found["_leak"], "left_anti")

@@ -262,8 +262,8 @@ def brute_leaks(rows, items, size, similarity):
             n = min(size, len(v))
             bag = Counter(tuple(v[i:i + n]) for i in range(len(v) - n + 1))
             best = 0
-            for a in range(len(w) - len(v) + 1):
-                window = Counter(tuple(w[a + i:a + i + n]) for i in range(len(v) - n + 1))
+            for a in range(max(1, len(w) - len(v) + 1)):
+                window = Counter(tuple(w[a + i:a + i + n]) for i in range(min(len(v), len(w)) - n + 1))
                 best = max(best, sum((bag & window).values()) / sum((bag | window).values()))
             if best >= similarity:
                 out[k, m] = best
@@ -276,12 +276,16 @@ def test_leaks(spark, documents):
     rows = corpus(5)
     for i, x in items[:7]:
         rows.append((1000 + i, f"some words {x.upper()} and more"))
+        rows.append((3000 + i, " ".join(x.split()[:-1])))  # the item without its last word
+        rows.append((4000 + i, " ".join(x.split()[:len(x.split()) * 2 // 3])))
         rows.append((2000 + i, " ".join(rng.choices(names, k=9)) + "\n" + " ".join(edited(rng, x.split(), 1, names))))
-    got = decontamination.leaks(documents(rows), spark.createDataFrame(items, "item_id long, text string"), radius=20).collect()
+    got = decontamination.leaks(documents(rows), spark.createDataFrame(items, "item_id long, text string")).collect()
     want = brute_leaks(rows, items, 5, 0.8)
     assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in got} == {k: round(v, 9) for k, v in want.items()} and len(got) == len(want) > 6
-    clean = decontamination.clean_documents(documents([*rows, (None, "ok ok"), (None, None)]), spark.createDataFrame(items, "item_id long, text string"), radius=20)
-    assert {r.doc_id for r in clean.collect()} == {k for k, _ in rows} - {k for k, _ in want} | {None}
+    clean = decontamination.clean_documents(documents([*rows, (None, "ok ok"), (None, None), (None, items[4][1]), (1004, "another text of that id")]), spark.createDataFrame(items, "item_id long, text string"))
+    clean = clean.collect()
+    assert {r.doc_id for r in clean} == {k for k, _ in rows} - {k for k, _ in want} | {None, 1004} and (3004, 4) in want
+    assert sorted(str(r.text) for r in clean if r.doc_id in (None, 1004)) == ["None", "another text of that id", "ok ok"]
 
 
 def test_leaks_in_parts_and_empty_tables(spark, documents, monkeypatch):
@@ -294,7 +298,7 @@ def test_leaks_in_parts_and_empty_tables(spark, documents, monkeypatch):
     assert decontamination.leaks(documents(rows).limit(0), bench).count() == 0
 
 
-@pytest.mark.parametrize("radius", [0, 3, 15])
+@pytest.mark.parametrize("radius", [0, 3, 15, 20])
 def test_hamming_index_finds_all_within_the_radius(radius):
     rng = np.random.default_rng(radius)
     prints = rng.integers(0, 1 << 63, 200).astype(np.uint64)
