@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
@@ -86,6 +88,51 @@ def batch_predict(table: DataFrame, model) -> DataFrame:
                                           (F.col("close") * (1 + F.col("prediction"))).alias("predicted_price"))
 
 
+def symbol_models(table: DataFrame, features=None, target: str = "target", ridge: float = 0.01) -> DataFrame:
+    """A linear model per symbol: symbol, n, intercept, coefficients, importances, r2.
+
+    The covariances of the features and the target are mergeable sums, so a symbol of any length is one small row behind the
+    shuffle; the systems of a batch of symbols are solved together.  ``ridge`` is a share of each feature's variance that
+    is added to it.  Importances are |coefficient| x deviation, scaled to sum one.  A feature that never changes has the
+    coefficient zero; rows with a null feature or target are left out, and a symbol without any other has no model.
+    """
+    features = list(features or FEATURES)
+    k = len(features)
+    known = table.select("symbol", *[F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate([*features, target])]).na.drop(subset=[f"x{i}" for i in range(k + 1)])
+    pairs = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
+    sums = known.groupBy("symbol").agg(F.count("*").alias("n"), F.array(*[F.avg(f"x{i}") for i in range(k + 1)]).alias("m"),
+                                       F.array(*[F.covar_pop(f"x{i}", f"x{j}") for i, j in pairs]).alias("c"))
+
+    @F.pandas_udf("intercept double, coefficients array<double>, importances array<double>, r2 double")
+    def solve(means: pd.Series, covariances: pd.Series) -> pd.DataFrame:
+        m, c = np.stack(means.to_list()), np.stack(covariances.to_list())
+        full = np.zeros((len(m), k + 1, k + 1))
+        for place, (i, j) in enumerate(pairs):
+            full[:, i, j] = full[:, j, i] = c[:, place]
+        spread = np.diagonal(full, axis1=1, axis2=2)
+        still = spread[:, :k] <= 1e-24 * (1 + m[:, :k] ** 2)
+        left = full[:, :k, :k].copy()
+        left[:, range(k), range(k)] = np.where(still, 1.0, spread[:, :k] * (1 + ridge))
+        right = np.where(still, 0.0, full[:, :k, k])
+        left = np.where(still[:, :, None] | still[:, None, :], np.eye(k) , left)
+        beta = (np.linalg.pinv(left) @ right[:, :, None])[:, :, 0] if not ridge else np.linalg.solve(left, right[:, :, None])[:, :, 0]
+        weight = np.abs(beta) * np.sqrt(np.maximum(spread[:, :k], 0))
+        total = weight.sum(1, keepdims=True)
+        residual = spread[:, k] - 2 * (beta * right).sum(1) + (beta[:, None, :] @ full[:, :k, :k] @ beta[:, :, None])[:, 0, 0]
+        r2 = [1 - e / v if v > 0 else None for e, v in zip(residual, spread[:, k])]
+        return pd.DataFrame({"intercept": m[:, k] - (beta * m[:, :k]).sum(1), "coefficients": list(beta),
+                             "importances": list(np.divide(weight, total, out=np.zeros_like(weight), where=total > 0)), "r2": r2})
+
+    return sums.withColumn("s", solve("m", "c")).select("symbol", "n", "s.*")
+
+
+def symbol_forecasts(table: DataFrame, models: DataFrame, features=None) -> DataFrame:
+    """Every row with the ``prediction`` of its symbol's model; null where the model or a feature is missing."""
+    x = F.array(*[F.col(f).cast("double") for f in (features or FEATURES)])
+    value = F.aggregate(F.zip_with("coefficients", x, lambda a, b: a * b), F.col("intercept"), lambda a, b: a + b)
+    return table.join(models.select("symbol", "intercept", "coefficients"), "symbol", "left").withColumn("prediction", value).drop("intercept", "coefficients")
+
+
 def stacking(table: DataFrame, kinds=("linear", "tree"), folds: int = 5) -> tuple[DataFrame, object]:
     """Out-of-fold base predictions (folds by row hash) and a linear model over them."""
     df = materialize(table.withColumn("_fold", F.pmod(F.xxhash64("symbol", "date"), F.lit(folds))), "folds")

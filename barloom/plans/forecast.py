@@ -43,6 +43,28 @@ def _(t: Tables):
     return fc.batch_predict(table, model)
 
 
+OWN = f"""{TT}, sp AS (SELECT *, row_number() OVER ({W}) <= floor(count(*) OVER (PARTITION BY symbol) * 0.8) AS is_train FROM tt),
+s AS (SELECT symbol, count(*) AS n, avg(ret_1) AS m1, avg(to_mean) AS m2, avg(target) AS m, var_pop(ret_1) * 1.01 AS v1, var_pop(to_mean) * 1.01 AS v2, covar_pop(ret_1, to_mean) AS v12,
+  covar_pop(ret_1, target) AS c1, covar_pop(to_mean, target) AS c2 FROM sp WHERE is_train GROUP BY 1),
+md AS (SELECT *, (c1 * v2 - c2 * v12) / (v1 * v2 - v12 * v12) AS b1, (c2 * v1 - c1 * v12) / (v1 * v2 - v12 * v12) AS b2, abs(b1) * sqrt(v1 / 1.01) AS w1, abs(b2) * sqrt(v2 / 1.01) AS w2 FROM s)"""
+TWO = ["ret_1", "to_mean"]
+
+
+@query("symbol_models", f"{OWN} SELECT symbol, n, m - b1 * m1 - b2 * m2 AS intercept, b1 AS ret_1, b2 AS to_mean, w1 / (w1 + w2) AS importance FROM md", "bars", r6="intercept", r4="ret_1 to_mean importance")
+def _(t: Tables):
+    """Two features, so that SQL can solve the same equations."""
+    models = fc.symbol_models(fc.time_split(fc.training_table(t.bars)).where("is_train"), TWO)
+    at = lambda c, i: F.get(c, F.lit(i))
+    return models.select("symbol", "n", "intercept", at("coefficients", 0).alias("ret_1"), at("coefficients", 1).alias("to_mean"), at("importances", 0).alias("importance"))
+
+
+@query("symbol_forecasts", f"{OWN} SELECT symbol, date, target, m + b1 * (ret_1 - m1) + b2 * (to_mean - m2) AS prediction FROM sp JOIN md USING (symbol) WHERE NOT is_train", "bars", r6="target prediction")
+def _(t: Tables):
+    parts = materialize(fc.time_split(fc.training_table(t.bars)), "training")
+    models = fc.symbol_models(parts.where("is_train"), TWO)
+    return fc.symbol_forecasts(parts.where("NOT is_train"), models, TWO).select("symbol", "date", "target", "prediction")
+
+
 @query("stacking")
 def _(t: Tables):
     return fc.stacking(fc.training_table(t.bars), folds=5)[0]

@@ -337,3 +337,35 @@ def test_ranges_split_a_hot_value(spark):
     finally:
         readers.materialize = keep
     assert max(sizes) < 2 * 3000 and sum(sizes) == 60_000
+
+
+def test_symbol_models_solve_the_normal_equations(spark):
+    """Six features against least squares; a constant feature, a constant target, nulls, a symbol without a complete row."""
+    from barloom.operators import forecast as fc
+
+    rng = np.random.default_rng(9)
+    frames = []
+    for symbol, n in (("a", 300), ("b", 40), ("flat", 50), ("none", 3)):
+        x = rng.normal(3, 2, (n, 6))
+        x[:, 1] += 0.9 * x[:, 0]
+        x[:, 5] = 7.0 if symbol == "b" else x[:, 5]
+        y = np.full(n, 2.0) if symbol == "flat" else x @ rng.normal(0, 1, 6) + rng.normal(0, 0.1, n) + 5
+        frames.append(pd.DataFrame(x, columns=fc.FEATURES).assign(target=y if symbol != "none" else np.nan, symbol=symbol))
+    df = pd.concat(frames)
+    table = spark.createDataFrame(df.astype(object).where(df.notna(), None), ", ".join(f"{f} double" for f in fc.FEATURES) + ", target double, symbol string").repartition(5)
+    for ridge in (0.0, 0.01):
+        got = {r["symbol"]: r for r in fc.symbol_models(table, ridge=ridge).collect()}
+        assert set(got) == {"a", "b", "flat"}
+        for symbol, r in got.items():
+            part = df[df.symbol == symbol]
+            x = (part[fc.FEATURES] - part[fc.FEATURES].mean()).to_numpy()
+            y = part.target.to_numpy()
+            left = x.T @ x / len(x)
+            want = np.linalg.pinv(left + ridge * np.diag(np.diag(left))) @ (x.T @ (y - y.mean()) / len(x))
+            assert np.allclose(r["coefficients"], want, atol=1e-8) and r["n"] == len(part)
+            e = y - (r["intercept"] + part[fc.FEATURES].to_numpy() @ want)
+            assert (r["r2"] is None) == (symbol == "flat") and (symbol == "flat" or math.isclose(r["r2"], 1 - e.var() / y.var(), abs_tol=1e-6))
+            assert math.isclose(sum(r["importances"]), 0 if symbol == "flat" else 1, abs_tol=1e-9)
+    models = fc.symbol_models(table)
+    out = fc.symbol_forecasts(table, models).toPandas()
+    assert out[out.symbol == "none"].prediction.isna().all() and out[out.symbol != "none"].prediction.notna().all() and len(out) == len(df)
