@@ -27,6 +27,12 @@ def peer_compare(returns: DataFrame, target, n: int = 5) -> DataFrame:
     return top.withColumn("significance", F.when(F.col("p_value") < 0.05, "High").when(F.col("p_value") < 0.1, "Medium").otherwise("Low"))
 
 
+def peer_sheet(returns: DataFrame, target, n: int = 5) -> DataFrame:
+    """The target's own row (mean return and volatility) above those of ``peer_compare``; ``role`` tells them apart."""
+    own = returns.where(F.col("symbol") == target).groupBy("symbol").agg(F.avg("ret").alias("mean_return"), F.stddev_pop("ret").alias("volatility"))
+    return own.withColumn("role", F.lit("target")).unionByName(peer_compare(returns, target, n).withColumn("role", F.lit("peer")), allowMissingColumns=True)
+
+
 def top_peers(returns: DataFrame, target, sizes: DataFrame | None = None, n: int = 5, min_rows: int = 20) -> DataFrame:
     """Peers by 0.5 correlation + 0.3 beta + 0.2 size similarity on common dates; ``sizes`` holds (symbol, size)."""
     t = returns.where(F.col("symbol") == target).select("date", F.col("ret").alias("t"))

@@ -354,6 +354,13 @@ def _(t: Tables):
     return peers.peer_compare(t.returns, first).drop("p_value", "significance")
 
 
+@query("peer_sheet", f"""{PEER} SELECT 'peer' AS role, symbol, mean_return, volatility, correlation, beta FROM a UNION ALL
+SELECT 'target', symbol, avg(ret), stddev_pop(ret), NULL, NULL FROM returns WHERE symbol = {TGT} GROUP BY symbol""", "returns", r6="correlation mean_return volatility beta", stored=True)
+def _(t: Tables):
+    first = t.returns.agg(F.min("symbol")).scalar()
+    return peers.peer_sheet(t.returns, first).select("role", "symbol", "mean_return", "volatility", "correlation", "beta")
+
+
 @query("peer_significance", stored=True)
 def _(t: Tables):
     first = t.returns.agg(F.min("symbol")).scalar()

@@ -185,6 +185,27 @@ def test_scan_rejects_unknown_format(spark):
         readers.scan_files(spark, "/nowhere/file.xyz")
 
 
+def test_vectors_are_scaled_tf_idf(spark):
+    """Every component against counts by hand; empty and repeated texts."""
+    import math
+    from collections import Counter
+
+    from pyspark.ml.feature import HashingTF
+
+    from barloom.operators import retrieval as rt
+
+    texts = ["Rates rise as rates rose", "prices fall", "", "prices fall", "a b c d e f g h", "Rates FALL"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r["id"]: r["embedding"] for r in rt.vectorize(rt.vectorizer(features=64).fit(df), df).collect()}
+    slot = HashingTF(numFeatures=64).indexOf
+    counts = [Counter(slot(w) for w in t.lower().split()) for t in texts]
+    held = Counter(k for c in counts for k in c)
+    for i, c in enumerate(counts):
+        want = {k: n * math.log((len(texts) + 1) / (held[k] + 1)) for k, n in c.items()}
+        length = math.sqrt(sum(v * v for v in want.values())) or 1.0
+        assert len(got[i]) == 64 and all(math.isclose(x, want.get(k, 0.0) / length, abs_tol=1e-12) for k, x in enumerate(got[i]))
+
+
 def test_alerts_cross_micro_batches(spark, tmp_path):
     folder = str(tmp_path / "feed")
     schema = "symbol string, date date, close double"
