@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import harness
 from barloom.llm import chat, lm_scoring, quality_classifier, quality_rules, warc
-from barloom.llm.blocks import in_blocks
+from barloom.llm.blocks import distinct_values, in_blocks
 from barloom.llm.queries import QUERIES, SQL
 from barloom.llm.words import WORD
 
@@ -215,10 +215,49 @@ def test_probabilities_sum_to_one():
     every = np.arange(1 << lm_scoring.CODE, dtype=np.int32)
     for i in (0, 3, 17):
         contexts = np.repeat(t.contexts[:, i:i + 1], len(every), 1)
-        p = 10 ** mixer.log10(lm_scoring.Tokens(every, every, every, contexts))
+        p = 10 ** mixer.log10(lm_scoring.Tokens(every, every, every, contexts, every, every))
         assert p.sum() == pytest.approx(1, abs=1e-5)
 
 
+def test_higher_orders_sum_to_one():
+    """Over all words, whatever follows a context: nothing, few words, many."""
+    rng = np.random.default_rng(3)
+    strengths = lm_scoring.STRENGTHS[rng.integers(0, len(lm_scoring.STRENGTHS), (2, lm_scoring.LEVELS))]
+    lowest = rng.dirichlet(np.ones(50))
+    for most in (0, 1, 3, 400):
+        follow = [rng.integers(0, most + 1, 50).astype(float) for _ in range(2)]
+        totals = tuple(np.full(50, f.sum()) for f in follow)
+        p = lm_scoring.raised(lowest, lm_scoring.Counted(lowest, tuple(follow), totals), strengths)
+        assert p.sum() == pytest.approx(1) and (p > 0).all()
+        assert most or (p == pytest.approx(lowest))
+
+
+def test_documents_that_occur_twice_cost_less(spark, documents):
+    """The words after two words are counted, not slots of a table: a copy anywhere in the corpus shows."""
+    rng = random.Random(8)
+    text = lambda: " ".join(f"w{rng.randrange(4000)}" for _ in range(120))
+    train = [k for k in range(900) if zlib.crc32(str(k).encode()) % 5 != 1][:600]
+    held = [k for k in range(900) if zlib.crc32(str(k).encode()) % 5 == 1][:40]
+    rows = {k: text() for k in train}
+    twice = train[:20]
+    rows.update({b: rows[a] for a, b in zip(twice, train[100:120])})
+    rows.update({k: rows[train[300 + i]] if i < 20 else text() for i, k in enumerate(held)})
+    got = {r.doc_id: r.bits_per_byte for r in lm_scoring.score(documents(list(rows.items()))).collect()}
+    once = [k for i, k in enumerate(train) if 120 <= i < 300 or i >= 320]
+    assert max(got[k] for k in [*twice, *train[100:120]]) < 0.5 * min(got[k] for k in once)
+    assert max(got[k] for k in held[:20]) < 0.5 * min(got[k] for k in held[20:])
+
+
+def test_distinct_values():
+    rng = np.random.default_rng(1)
+    for values in (rng.integers(0, 60, 2000), rng.integers(0, 1 << 62, 2000), np.repeat(rng.integers(0, 1 << 62, 500), 7), np.zeros(0), [5]):
+        values = np.array(values).astype(np.uint64)
+        values = np.concatenate([values, values | np.uint64(1 << 63)])
+        rng.shuffle(values)
+        for a, b in zip(distinct_values(values), np.unique(values, return_index=True, return_inverse=True)):
+            assert (a == b).all()
+
+
 def test_long_documents_train_the_weights(spark, documents, monkeypatch):
     """Every training document, here all above 16 KiB and in several blocks, has its part in the mixer."""
     monkeypatch.setattr(lm_scoring, "BLOCK", 1 << 17)
@@ -238,10 +277,11 @@ def test_long_documents_train_the_weights(spark, documents, monkeypatch):
     tables = np.zeros((lm_scoring.CONTEXTS, 1 << lm_scoring.CONTEXT, 1 << lm_scoring.CODE), np.uint64)
     for k in range(lm_scoring.CONTEXTS):
         np.add.at(tables[k], (every.contexts[k], every.code), 1)
-    sums = [0.0, 0, 0.0, 0]
+    sums, online = [0.0, 0, 0.0, 0], {}
     for b in {r.block for r in train}:
         mixer = lm_scoring.Mixer(tables)
-        seen, reached = mixer.learn(lm_scoring.tokens(pa.array([r.text for r in train if r.block == b])))
+        seen, reached, predicted = mixer.learn(lm_scoring.tokens(pa.array([r.text for r in train if r.block == b])))
+        online[b] = predicted
         sums = [a + b for a, b in zip(sums, (mixer.weights * seen[:, None], seen, mixer.refined * reached, reached))]
     assert len({r.block for r in train}) > 1
     mixer = lm_scoring.Mixer(tables)
@@ -249,13 +289,54 @@ def test_long_documents_train_the_weights(spark, documents, monkeypatch):
     mixer.refined[sums[3] > 0] = (sums[2] / np.maximum(sums[3], 1))[sums[3] > 0]
     counts, n, v = Counter(every.hashes.tolist()), len(every.hashes), len(set(every.hashes.tolist()))
     total, distinct = Counter(every.code.tolist()), Counter(c for _, c in set(zip(every.hashes.tolist(), every.code.tolist())))
+
+    # the two orders above, with counters over words and a loop over tokens
+    seqs = {r.doc_id: ["", "", *r.text.split(), ""] for r in train}
+    after = [Counter((s[i - 1], s[i]) for s in seqs.values() for i in range(2, len(s))), Counter(tuple(s[i - 2:i + 1]) for s in seqs.values() for i in range(2, len(s)))]
+    seen_before = [Counter(s[i - 1] for s in seqs.values() for i in range(2, len(s))), Counter((s[i - 2], s[i - 1]) for s in seqs.values() for i in range(2, len(s)))]
+    word = {h: w for s in seqs.values() for w, h in zip(s[2:], lm_scoring.tokens(pa.array([" ".join(s[2:])])).hashes.tolist())}
+    single = {w: (counts[h], total[x], distinct[x]) for t in [every] for h, x in zip(t.hashes.tolist(), t.code.tolist()) for w in [word[h]]}
+    options, likely = [0.25, 1, 2, 4, 8, 16, 64, 256], [{}, {}]
+
+    def places(s):
+        return [((s[i - 1], s[i]), s[i - 1], tuple(s[i - 2:i + 1]), (s[i - 2], s[i - 1])) for i in range(2, len(s))]
+
+    def best(table):
+        return {level: options[max(range(8), key=lambda j: sums[j])] for level, sums in table.items()}
+
+    for b in online:
+        toks = [(s[2 + i], p) for r in train if r.block == b for s in [seqs[r.doc_id]] for i, p in enumerate(places(s))]
+        low = [(single[w][0] - 0.5) / (single[w][1] + 0.5 * single[w][2]) * q for (w, _), q in zip(toks, online[b])]
+        for k in range(2):
+            mine = {}
+            pairs = [(after[k][p[2 * k]] - 1, seen_before[k][p[2 * k + 1]] - 1) for _, p in toks]
+            for (x, y), q in zip(pairs, low):
+                row = mine.setdefault(y.bit_length(), [0.0] * 8)
+                for j, o in enumerate(options):
+                    row[j] += math.log((x + o * q) / (y + o))
+            for level, row in mine.items():
+                likely[k][level] = [a + c for a, c in zip(likely[k].get(level, [0.0] * 8), row)]
+            s_of = best(mine)
+            low = [(x + s_of[y.bit_length()] * q) / (y + s_of[y.bit_length()]) for (x, y), q in zip(pairs, low)]
+    strengths = [best(t) for t in likely]
+    assert all(len(t) > 2 for t in strengths)
+
+    def raise_orders(s, low, own):
+        for k in range(2):
+            for i, p in enumerate(places(s)):
+                y = seen_before[k][p[2 * k + 1]] - own
+                o = strengths[k].get(y.bit_length(), options[0])
+                low[i] = (after[k][p[2 * k]] - own + o * low[i]) / (y + o)
+        return np.array(low)
+
     got = {r.doc_id: r.score for r in lm_scoring.score(docs).collect()}
     for doc_id, text in rows:
         t = lm_scoring.tokens(pa.array([text]))
         c = np.array([counts[h] for h in t.hashes.tolist()])
         share = np.array([(counts[h] + 0.5) / (total[x] + 0.5 * distinct[x]) for h, x in zip(t.hashes.tolist(), t.code.tolist())])
         assert (c > 0).all()
-        assert got[doc_id] == pytest.approx((np.log10(share) + np.log10(1 - 0.5 / (n + 0.5 * (v + 1))) + mixer.log10(t)).sum(), rel=1e-6)
+        p = raise_orders(["", "", *text.split(), ""], (share * 10 ** mixer.log10(t)).tolist(), int(doc_id in seqs))
+        assert got[doc_id] == pytest.approx((np.log10(p) + np.log10(1 - 0.5 / (n + 0.5 * (v + 1)))).sum(), rel=1e-6)
 
 
 # conversations
