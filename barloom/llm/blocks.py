@@ -57,14 +57,14 @@ def distinct_values(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
     packed.sort()
     order = (packed & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
     found = values[order]
-    if (found[1:] < found[:-1]).any():
+    wrong = np.flatnonzero(found[1:] < found[:-1])
+    if len(wrong):
         high = found >> low
-        tied = np.zeros(n, bool)
-        tied[1:] = high[1:] == high[:-1]
-        tied[:-1] |= tied[1:]
-        at = np.flatnonzero(tied)
+        runs = np.unique(high[wrong])
+        spans = zip(np.searchsorted(high, runs), np.searchsorted(high, runs, "right"))
+        at = np.concatenate([np.arange(a, b) for a, b in spans])
         order[at] = order[at[np.lexsort((order[at], found[at]))]]
-        found = values[order]
+        found[at] = values[order[at]]
     new = np.ones(n, bool)
     new[1:] = found[1:] != found[:-1]
     which = np.empty(n, np.int64)

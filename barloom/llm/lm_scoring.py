@@ -251,12 +251,14 @@ def likelihoods(lower: np.ndarray, c: Counted) -> np.ndarray:
     second order stands on the strengths that are best for the first one here."""
     out = np.zeros((2, LEVELS, len(STRENGTHS)))
     for k in range(2):
-        words, contexts = c.words[k], c.contexts[k]
+        at = np.flatnonzero(c.contexts[k])  # without evidence every strength gives the lower order
+        words, contexts, under = c.words[k][at], c.contexts[k][at], lower[at]
         level = levels(contexts)
         for j, s in enumerate(STRENGTHS):
-            out[k, :, j] = np.bincount(level, np.log((words + s * lower) / (contexts + s)), LEVELS)
+            out[k, :, j] = np.bincount(level, np.log((words + s * under) / (contexts + s)), LEVELS)
         s = STRENGTHS[out[k].argmax(1)][level]
-        lower = (words + s * lower) / (contexts + s)
+        lower = lower.copy()
+        lower[at] = (words + s * under) / (contexts + s)
     return out
 
 
