@@ -236,16 +236,13 @@ def _(t: Tables):
 
 
 FILT = KNN.format(src="vector_articles", where="WHERE c.lang = 'en' AND c.published >= DATE '2024-01-15'", k=5)
-HITS = f"{FILT}, hits AS (SELECT kn.*, round(1 - coalesce(distance / nullif(max(distance) OVER (PARTITION BY query_id), 0), 0), 3) AS relevance FROM kn)"
+RELEVANT = "hits AS (SELECT kn.*, round(1 - coalesce(distance / nullif(max(distance) OVER (PARTITION BY query_id), 0), 0), 3) AS relevance FROM kn)"
+HITS = f"{KNN.format(src='vector_articles', where='', k=5)}, {RELEVANT}"
 
 
-def filtered(t: Tables):
-    return rt.knn_filtered(t.vector_articles, t.centroids, 5, (F.col("lang") == "en") & (F.col("published") >= F.lit("2024-01-15").cast("date")))
-
-
-@query("knn_filtered", f", {HITS} SELECT * FROM hits", "centroids vector_articles", r6="distance")
+@query("knn_filtered", f", {FILT}, {RELEVANT} SELECT * FROM hits", "centroids vector_articles", r6="distance")
 def _(t: Tables):
-    return filtered(t)
+    return rt.knn_filtered(t.vector_articles, t.centroids, 5, (F.col("lang") == "en") & (F.col("published") >= F.lit("2024-01-15").cast("date")))
 
 
 @query("collection_stats", "SELECT count(*) AS documents, CAST(max(len(embedding)) AS INTEGER) AS dimension FROM embeddings")
@@ -269,7 +266,7 @@ def _(t: Tables):
 
 def found(t: Tables):
     facts = t.vector_articles.select("id", "title", F.col("content").alias("text"), "source", "published")
-    return filtered(t).join(facts, "id")
+    return rt.knn_filtered(t.vector_articles, t.centroids, 5).join(facts, "id")
 
 
 FD = "fd AS (SELECT hits.*, title, content AS text, source, published FROM hits JOIN vector_articles USING (id))"
@@ -317,7 +314,7 @@ def _(t: Tables):
 
 @query("template_answer")
 def _(t: Tables):
-    return rt.answer_questions(t.articles, t.questions, since="2024-01-15")
+    return rt.answer_questions(t.articles, t.questions)
 
 
 @query("retrieval_report", f"""{', ' + HITS}, {FD}, tm AS (SELECT query_id, CASE WHEN query_id % 2 = 0 THEN 'general' ELSE 'market_analysis' END AS query_type, 0.25 * (query_id + 1) AS seconds FROM centroids),
