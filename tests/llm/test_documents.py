@@ -187,6 +187,53 @@ def test_a_lost_segment_is_noticed(spark, tmp_path):
     assert bytes(got[1].payload) == b"Wikipedia in \r\nchunks." and got[1].complete and not got[2].complete
 
 
+def test_archives_of_others(spark, tmp_path):
+    """Foreign digests, missing lengths and ends, numbers that are none, padding, broken members, broken framing."""
+    import base64
+    import gzip
+
+    def record(kind, block, size=None, **headers):
+        lines = "".join(f"{k.replace('_', '-')}: {v}\r\n" for k, v in headers.items())
+        length = "" if size == "none" else f"Content-Length: {len(block) if size is None else size}\r\n"
+        return f"WARC/1.1\r\nWARC-Type: {kind}\r\n{lines}{length}\r\n".encode() + block + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n"
+    sha = hashlib.sha1(b"body")
+    page = lambda n, block=http + b"body", size=None, **h: record("response", block, size, X_Page_ID=n, **h)
+    hexed, based = "sha1:" + sha.hexdigest(), "SHA1:" + base64.b32encode(sha.digest()).decode().lower()
+    plain = b"".join([
+        page(1, WARC_Payload_Digest=hexed), page(2, WARC_Payload_Digest=based), page(3, WARC_Payload_Digest="sha256:" + "0" * 64), page(4),
+        page(5, WARC_Payload_Digest="sha1:" + "0" * 40), page(6, size="none"), page(7, size="ten"), page(8, size=-4),
+        page(9, http.replace(b"A: b", b"Transfer-Encoding:Chunked") + b"4\r\nbody\r\n-5\r\nxx\r\n", WARC_Payload_Digest=hexed),
+        page("ten", WARC_Segment_Number="two"), page(9 ** 30), b"WARC/1.1\r\nWARC-Type: response\r\nX-Page-ID: 12\r\n", page(13),
+        page(14, b"no WARC/1.0\r\nheader WARC/", WARC_Segment_Number=1, WARC_Record_ID="<o>"), page(15, size=1000)])
+    members = [page(k) for k in range(20, 40)]
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "a.warc").write_bytes(plain + b"WARC/1.1\r\nX-Page-ID: 16")
+    broken = bytearray(gzip.compress(page(98)))
+    broken[12:20] = b"\xff" * 8
+    (tmp_path / "w" / "b.warc.gz").write_bytes(b"".join(map(gzip.compress, members)) + b"\0" * 70000 + bytes(broken) + gzip.compress(page(41)) + gzip.compress(page(42, http + random.Random(1).randbytes(9000)))[:5000])
+    (tmp_path / "w" / "c.warc").write_bytes(b"")
+    got = {r.page_id: (bytes(r.payload), r.complete) for r in warc.read(spark, str(tmp_path / "w")).collect() if r.page_id is not None}
+    body = (b"body", True)
+    want = {1: body, 2: body, 3: body, 4: body, 5: (b"body", False), 9: body, 13: body, 14: (b"no WARC/1.0\r\nheader WARC/", False), **{k: body for k in range(20, 40)}, 41: body}
+    assert {k: v for k, v in got.items() if k not in (15, 42)} == want
+    assert not got[15][1] and not got[42][1] and 0 < len(got[42][0]) < 9000
+    kinds = Counter(r.kind for r in warc.records(spark, str(tmp_path / "w")).collect())
+    assert kinds["damaged"] == 4
+    assert sum(r.page_id is None for r in warc.read(spark, str(tmp_path / "w")).collect()) == 2
+
+
+def test_members_are_unpacked_in_linear_time():
+    import gzip
+    import time
+
+    one = gzip.compress(b"WARC/1.1\r\nContent-Length: 0\r\n\r\n\r\n\r\n" + random.Random(2).randbytes(300))
+    begin = time.perf_counter()
+    assert len(warc._plain(memoryview(one * 40000))) == 40000 * len(gzip.decompress(one))
+    assert time.perf_counter() - begin < 20
+
+
 # language model
 
 
