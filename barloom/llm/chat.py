@@ -112,7 +112,10 @@ def template(role: Column, own: Column) -> Column:
 def quoting(turns: DataFrame, depth: int = 3) -> DataFrame:
     """Mails out of (conv_id, turn, role, text): every turn quotes the one before it, with what that quotes, ``depth`` deep.
 
-    id is conv_id * 2^20 + turn, thread the conversation and rank the turn.
+    id is conv_id * 2^20 + turn, thread the conversation and rank the turn.  Ids are null, so that such mails stand alone,
+    where conv_id or turn is null, the turn is not in 0 to 2^20 - 1 or conv_id leaves 43 bits.  Of repeated turns the least
+    text is quoted, and each stays a mail of the same id.  A turn whose predecessor is missing or null quotes nothing, and
+    quotes end before the first such gap.  A null text stays null.
     """
     earlier = turns.where("text is not null").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
 
@@ -127,5 +130,6 @@ def quoting(turns: DataFrame, depth: int = 3) -> DataFrame:
         inner = let(block, lambda b: F.when(b == "", F.lit("")).otherwise(F.concat(F.lit("\n"), quote(b))))
         block = F.when(F.col(f"_{k}").isNull(), F.lit("")).otherwise(F.concat(quote(F.col(f"_{k}")), inner))
     mail = let(block, lambda b: F.when(b == "", F.col("text")).otherwise(F.concat(F.col("text"), F.lit("\n\nOn the day before they wrote:\n"), b)))
-    return body.select("conv_id", "turn", "role", (F.col("conv_id") * (1 << 20) + F.col("turn")).alias("id"), F.col("conv_id").cast("string").alias("thread"),
+    fits = F.col("turn").between(0, (1 << 20) - 1) & F.col("conv_id").between(-(1 << 43), (1 << 43) - 1)
+    return body.select("conv_id", "turn", "role", F.when(fits, F.col("conv_id") * (1 << 20) + F.col("turn")).alias("id"), F.col("conv_id").cast("string").alias("thread"),
                        F.col("turn").alias("rank"), mail.alias("text"))

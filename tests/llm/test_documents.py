@@ -408,6 +408,27 @@ def test_quotes_are_linked_and_removed(spark):
     assert chat.conversations(df.limit(0)).count() == 0
 
 
+def test_turns_with_gaps_repeats_and_odd_numbers(spark):
+    rows = [(1, 0, "Start here. First."), (1, 1, "An answer."), (1, 1, "Another answer."), (1, 2, "Third."), (1, 4, "After a gap."), (1, 5, None), (1, 6, "After a null."),
+            (2, 1 << 20, "Too far."), (3, 0, "Its own thread."), (4, -1, "Before the start."), (None, 0, "Lost."), (5, None, "No turn."), (1 << 50, 0, "Wide.")]
+    turns = spark.createDataFrame([(c, t, "user", x, "n") for c, t, x in rows], "conv_id bigint, turn bigint, role string, text string, _1 string").drop("_1")
+    mails = chat.quoting(turns)
+    texts = {(r.conv_id, r.turn): r.text for r in mails.where("text is null or not text like 'Another%'").collect()}
+    assert len(texts) == len(rows) - 1 and texts[1, 5] is None and texts[1, 4] == "After a gap." and texts[1, 6] == "After a null."
+    assert texts[1, 2] == "Third.\n\nOn the day before they wrote:\n> An answer.\n> > Start here. First."
+    got = chat.conversations(mails).collect()
+    assert len(got) == len(rows)
+    by = {}
+    for r in got:
+        by.setdefault((r.conv_id, r.turn), []).append((r.id, r.parent_id, r.root_id, r.depth, r.own))
+    at = 1 << 20
+    assert sorted(by[1, 1]) == [(at + 1, at, at, 1, "An answer."), (at + 1, at, at, 1, "Another answer.")]
+    assert by[1, 2] == [(at + 2, at + 1, at, 2, "Third.")] and by[1, 4] == [(at + 4, None, at + 4, 0, "After a gap.")]
+    assert by[1, 5] == [(at + 5, None, at + 5, 0, None)] and by[3, 0][0][:4] == (3 * at, None, 3 * at, 0)
+    for key in ((2, 1 << 20), (4, -1), (None, 0), (5, None), (1 << 50, 0)):
+        assert by[key][0][:4] == (None, None, None, 0)
+
+
 def test_copies_of_a_thread_stay_apart(spark):
     turns = [(c, t, "user", f"Turn number {t} says this. And more of {t}.") for c in range(20) for t in range(12)]
     mails = chat.quoting(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
