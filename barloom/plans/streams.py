@@ -77,7 +77,7 @@ def _(t: Tables):
 
 @query("stream_upsert_news", "SELECT DISTINCT md5(content) AS id, title FROM articles", "articles")
 def _(t: Tables):
-    docs = t.spark.readStream.schema("doc_id bigint, text string").option("pathGlobFilter", "documents.parquet").parquet(t.dir)
+    docs = jobs.read_files(t.spark, t.dir, "documents.parquet", "doc_id bigint, text string")
     title = F.substring_index("text", "\n", 1)
     published = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 90).cast("int")).cast("timestamp")
     items = docs.select(F.md5("text").alias("id"), title.alias("title"), published.alias("published_at"))

@@ -21,13 +21,18 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from barloom.sources.readers import shared_folder
 
 
-def read_ticks(spark: SparkSession, folder: str, name: str = "events.parquet", per_batch: int | None = None) -> DataFrame:
-    """Ticks (symbol, ts, event_id, value, event_type) from a folder of Parquet files, event time as TIMESTAMP."""
-    schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", name)
+def read_files(spark: SparkSession, folder: str, name: str, schema: str, per_batch: int | None = None) -> DataFrame:
+    """A stream over the Parquet files that match ``name``, or that lie in folders that do; a plain path could only be a folder."""
+    reader = spark.readStream.schema(schema)
     if per_batch:
         reader = reader.option("maxFilesPerTrigger", per_batch)
-    return reader.parquet(folder).select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("symbol"), "event_type", "value")
+    return reader.parquet(f"{folder}/{{{name}}}")
+
+
+def read_ticks(spark: SparkSession, folder: str, name: str = "events.parquet", per_batch: int | None = None) -> DataFrame:
+    """Ticks (symbol, ts, event_id, value, event_type) from Parquet files, event time as TIMESTAMP."""
+    schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+    return read_files(spark, folder, name, schema, per_batch).select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("symbol"), "event_type", "value")
 
 
 def stream_bars(ticks: DataFrame, interval: str = "60 minutes", late: str = "10 minutes") -> DataFrame:
@@ -124,7 +129,9 @@ def run(stream: DataFrame, name: str, mode: str, keys: list[str] | None = None,
 
     q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    written = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(f"{base}/out")
+    kinds, out = T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())]), spark._jvm.org.apache.hadoop.fs.Path(f"{base}/out")
+    ran = out.getFileSystem(spark._jsc.hadoopConfiguration()).exists(out)  # without any input there is no batch
+    written = spark.read.schema(kinds).parquet(f"{base}/out") if ran else spark.createDataFrame([], kinds)
     if not keys:
         return written.drop("batch")
     rest = [c for c in stream.columns if c not in keys]

@@ -3,6 +3,7 @@
 import datetime
 import random
 import re
+import shutil
 
 import numpy as np
 import pytest
@@ -255,6 +256,19 @@ def test_stream_bars_merge_batches(spark, tmp_path):
     assert len(r) == 1 and (r[0]["open"], r[0]["high"], r[0]["low"], r[0]["close"], r[0]["volume"]) == (0.0, 31.0, 0.0, 31.0, 8)
 
 
+def test_streams_read_files_and_folders(spark, tmp_path):
+    """A table may be one file, a folder of files, or empty."""
+    import __spark_entry__
+
+    news = __spark_entry__.queries()["stream_upsert_news"]
+    docs = spark.createDataFrame([(i, f"title {i % 5}\nbody {i % 5}") for i in range(20)], "doc_id bigint, text string")
+    docs.repartition(3).write.parquet(str(tmp_path / "folder" / "documents.parquet"))
+    docs.limit(0).write.parquet(str(tmp_path / "empty" / "documents.parquet"))
+    docs.coalesce(1).write.parquet(str(tmp_path / "parts"))
+    (tmp_path / "file").mkdir()
+    shutil.copy(next((tmp_path / "parts").glob("*.parquet")), tmp_path / "file" / "documents.parquet")
+    found = {k: sorted(r["title"] for r in news(spark, str(tmp_path / k)).collect()) for k in ("folder", "file", "empty")}
+    assert found == {"folder": [f"title {i}" for i in range(5)], "file": [f"title {i}" for i in range(5)], "empty": []}
 
 
 def test_join_unique_with_a_hot_key(spark):
