@@ -136,6 +136,41 @@ def test_pairwise_over_blocks(spark, method):
         assert abs(v - want) < 1e-9
 
 
+@pytest.mark.parametrize("method", ["pearson", "spearman", "kendall"])
+def test_pairwise_ties_and_tiles(spark, method, monkeypatch):
+    """Equal values, a constant, an empty and an infinite series, a null symbol; blocks and tiles that hold a few series each."""
+    monkeypatch.setattr(pairs, "SPREAD", 3)
+    monkeypatch.setattr(pairs, "LARGEST", 4)
+    monkeypatch.setattr(pairs, "METHODS", {k: (fn, 3) for k, (fn, _) in pairs.METHODS.items()})
+    rng = np.random.default_rng(6)
+    m = np.round(rng.normal(0, 1, (20, 15)), 0)
+    m[rng.random(m.shape) < 0.3] = np.nan
+    m[:, 3], m[:, 4], m[2, 5] = 2.0, np.nan, np.inf
+    rows = [(None if j == 14 else j, DAY0 + datetime.timedelta(days=i), float(m[i, j])) for i in range(20) for j in range(15) if not np.isnan(m[i, j])]
+    df = spark.createDataFrame(rows, "symbol int, date date, ret double")
+    out = pairs.pairwise(df, "ret", 20, method, block=2, measures=("n", "correlation"))
+    assert out.columns == ["symbol_a", "symbol_b", "n", "correlation"] and out.rdd.getNumPartitions() == 10
+    got = {(r["symbol_a"], r["symbol_b"]): (r["n"], r["correlation"]) for r in out.collect()}
+    x = pd.DataFrame(m)
+    want = {}
+    for a in range(14):
+        for b in range(a + 1, 14):
+            both = x[[a, b]].dropna()
+            if 5 in (a, b) or not len(both):
+                continue
+            if method == "kendall":
+                p, q = (np.sign(both[c].to_numpy()[:, None] - both[c].to_numpy()) for c in (a, b))
+                with np.errstate(all="ignore"):
+                    r = (p * q).sum() / np.sqrt(abs(p).sum() * abs(q).sum())
+            else:
+                both = both.rank() if method == "spearman" else both
+                r = both[a].corr(both[b])
+            want[a, b] = len(both), None if np.isnan(r) else r
+    assert got.keys() == want.keys()
+    for k, (n, r) in want.items():
+        assert got[k][0] == n and (got[k][1] is None if r is None else abs(got[k][1] - r) < 1e-9)
+
+
 def test_exact_quantiles_with_narrow_brackets_and_ties(spark):
     x = np.concatenate([np.random.default_rng(2).lognormal(0, 3, 30000), np.full(15000, 7.0)])
     df = spark.createDataFrame(pd.DataFrame({"v": x, "w": -x})).repartition(8)
