@@ -124,6 +124,41 @@ def test_knn_brute_force(spark, block):
         assert got[f"q{i}"] == np.argsort(((x - v) ** 2).sum(1), kind="stable")[:4].tolist()
 
 
+def test_knn_copies_rows_by_large_blocks(spark, monkeypatch):
+    """A row is copied once per block of at most SPREAD, or of LARGEST rows; the tiles inside a block change no result."""
+    rng = np.random.default_rng(3)
+    x, q = rng.normal(size=(150, 4)), rng.normal(size=(20, 4))
+    corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, embedding array<double>")
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "query_id int, embedding array<double>")
+    monkeypatch.setattr(retrieval, "SPREAD", 2)
+    for largest in ((1 << 14, 1 << 15), (5, 50)):
+        monkeypatch.setattr(retrieval, "LARGEST", largest)
+        near = retrieval._blocked(corpus, queries, 150, "query_id int, id int, distance double", (2, 7))
+        assert near.count() == 20 * 150
+        got = {}
+        for r in retrieval.knn(corpus, queries, 3, (2, 7)).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append(r["id"])
+        assert got == {i: np.argsort(((x - v) ** 2).sum(1), kind="stable")[:3].tolist() for i, v in enumerate(q)}
+
+
+def test_near_duplicates_of_long_titles(spark):
+    """Sets above MAX_SET in groups of copies that differ by a few words, with equal dates and keys, settled by the first met or a later one."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(400)]
+    items = []
+    for group in range(8):
+        own = rng.sample(words, rng.randint(14, 60))
+        for _ in range(6):
+            ws = [w if rng.random() > 0.08 else rng.choice(words) for w in own]
+            rng.shuffle(ws)
+            items.append((f"k{len(items):03d}", " ".join(ws), datetime.date(2024, 1, rng.randint(1, 4))))
+    df = spark.createDataFrame(items, "id string, title string, published date")
+    got = {r["id"] for r in retrieval.near_duplicates(df, "id", "title", ["published", "id"]).collect()}
+    assert got == near_brute(items) and 5 < len(got) < 48
+    sets = retrieval._numbered(spark.createDataFrame([("w:a b c d", 1), ("w:b c d e", 1), ("w:x y z u", 0)], "g string, at int"))
+    assert sorted((r["i"], r["d"], r["ws"][0]) for r in sets.collect()) == [(0, 0, "x"), (1, 1, "a"), (2, 1, "b")]
+
+
 def test_answers_use_the_context(spark):
     day = datetime.date(2024, 1, 1)
     arts = [("a", "Apple results", "AAPL (Apple Inc.) shares rise on strong growth. Revenue was $90 in the quarter.", "wire", day, "l1"),
