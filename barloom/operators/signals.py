@@ -72,14 +72,14 @@ def market_events(df: DataFrame, move: float = 0.03) -> DataFrame:
 
 
 def trend_strength(df: DataFrame, n: int = 63) -> DataFrame:
+    """Trend over the last ``n`` rows of every symbol; the fit is an aggregate over those rows alone."""
     df = add_adx(df)
     w = series()
-    f = w.rowsBetween(-(n - 1), 0)
-    df = df.withColumns({"_i": F.row_number().over(w).cast("double"), "_up": (rate("close") > 0).cast("double")})
-    df = df.withColumns({
-        "_slope": F.regr_slope("close", "_i").over(f), "r_squared": F.regr_r2("close", "_i").over(f),
-        "_base": F.first("close").over(f), "_pos": F.avg(F.coalesce("_up", F.lit(0.0))).over(f), "_n": F.count("*").over(f)})
-    out = last_row(df.select("symbol", "date", "_slope", "r_squared", "_base", "_pos", "_n", "adx")).where(F.col("_n") >= n)
+    df = df.withColumns({"_i": F.row_number().over(w).cast("double"), "_up": (rate("close") > 0).cast("double"), "_n": F.count("*").over(W.partitionBy("symbol"))})
+    df = df.where((F.col("_n") >= n) & (F.col("_i") > F.col("_n") - n))
+    out = df.groupBy("symbol").agg(
+        F.regr_slope("close", "_i").alias("_slope"), F.regr_r2("close", "_i").alias("r_squared"), F.min_by("close", "_i").alias("_base"),
+        F.avg(F.coalesce("_up", F.lit(0.0))).alias("_pos"), F.max_by("adx", "_i").alias("adx"))
     out = out.withColumns({"slope": F.try_divide(F.col("_slope"), F.col("_base")) * 100,
                            "directional_consistency": F.greatest(F.col("_pos"), 1 - F.col("_pos"))})
     score = (F.col("slope") / 10 + F.col("r_squared") + F.col("adx") / 100 + F.col("directional_consistency")) / 4
