@@ -88,13 +88,17 @@ def clean_news(df: DataFrame) -> DataFrame:
 
 
 def fill_median_ffill(df: DataFrame, numeric: list[str], other: list[str], key: str = "symbol", time: str = "date") -> DataFrame:
-    """Numeric nulls to the column median, other nulls forward then backward along the series."""
+    """Numeric nulls to the column median, other nulls forward then backward along the series.
+
+    A row without a value before it is one of the first rows, so what it takes from behind is the first value of its series:
+    one value per series, found once.
+    """
     m = quantile_map(df, numeric, [0.5])
     w = series(key, time)
-    before, after = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
+    before, whole = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     df = df.withColumn("_m", m)
     fills = {c: F.coalesce(F.col(c).cast("double"), F.col("_m")[f"{c}@0.5"]) for c in numeric}
-    fills |= {c: F.coalesce(F.last(c, ignorenulls=True).over(before), F.first(c, ignorenulls=True).over(after)) for c in other}
+    fills |= {c: F.coalesce(F.last(c, ignorenulls=True).over(before), F.first(c, ignorenulls=True).over(whole)) for c in other}
     return df.withColumns(fills).drop("_m")
 
 
