@@ -135,7 +135,8 @@ def _(t: Tables):
 SELECT symbol, 'sma_20' AS indicator, date, CASE WHEN date >= DATE '1998-01-01' THEN -1 ELSE sma_20 END AS value FROM i WHERE sma_20 IS NOT NULL
 UNION ALL SELECT symbol, 'sma_50', date, CASE WHEN date >= DATE '1998-01-01' THEN -1 ELSE sma_50 END FROM i WHERE sma_50 IS NOT NULL""", B, r4="value")
 def _(t: Tables):
-    long = upsert.indicators_long(ind.sma(ind.sma(t.bars, 20), 50), ["sma_20", "sma_50"])
+    means = ind.sma(ind.sma(t.bars, 20), 50).select("symbol", "date", "sma_20", "sma_50")
+    long = upsert.indicators_long(readers.materialize(means, "means"), ["sma_20", "sma_50"])  # the table and the batch both start from it
     newer = long.where("date >= '1998-01-01'").withColumn("value", F.lit(-1.0))
     return stored_upsert(t, long, newer, ["symbol", "indicator", "date"], F.year("date"))
 
