@@ -38,9 +38,9 @@ def _(t: Tables):
 
 @query("batch_predict")
 def _(t: Tables):
-    table = materialize(fc.training_table(t.bars), "training")
-    model = fc.model_chain("linear").fit(fc.time_split(table).where("is_train"))
-    return fc.batch_predict(table, model)
+    table = materialize(fc.time_split(fc.training_table(t.bars)), "training")  # split before it is stored, so that no pass of the fit deals the rows again
+    model = fc.model_chain("linear").fit(table.where("is_train"))
+    return fc.batch_predict(table.drop("is_train"), model)
 
 
 OWN = f"""{TT}, sp AS (SELECT *, row_number() OVER ({W}) <= floor(count(*) OVER (PARTITION BY symbol) * 0.8) AS is_train FROM tt),
