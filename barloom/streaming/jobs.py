@@ -20,6 +20,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from barloom.sources.readers import shared_folder
 
+EPOCH = datetime.date(1970, 1, 1).toordinal()
+
 
 def read_files(spark: SparkSession, folder: str, name: str, schema: str, per_batch: int | None = None) -> DataFrame:
     """A stream over the Parquet files that match ``name``, or that lie in folders that do; a plain path could only be a folder."""
@@ -82,35 +84,54 @@ def stream_alerts(bars: DataFrame, rules: list[Rule | tuple]) -> DataFrame:
         raise ValueError("rules are above, below or crossing and have an id of their own")
     fields = sorted({r.field for r in active})
     kind = dict(bars.dtypes)["symbol"]
-    columns = ["symbol", "date", "rule", "field", "value", "previous", "last_triggered", "late"]
+    # tasks see numbers alone: days since 1970, values, and the rule by its place
+    columns = ["symbol", "day", "rule", "value", "previous", "last", "late"]
+    numbers = bars.select("symbol", F.unix_date("date").cast("double").alias("day"), *[F.col(f).cast("double").alias(f"v{i}") for i, f in enumerate(fields)])
 
     def check(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seen, *rest = state.get if state.exists else (None,) * (1 + len(fields) + len(active))
-        previous, fired = dict(zip(fields, rest)), dict(zip([r.id for r in active], rest[len(fields):]))
-        rows = pd.concat(list(frames)).sort_values("date", kind="stable")
-        day = pd.to_datetime(rows["date"])
-        before = day.shift()
-        if seen is not None:
-            before = before.where(before > pd.Timestamp(seen), pd.Timestamp(seen))
-        fresh = day.notna() & ~(day <= before)
-        out = [(key[0], d, None, None, None, None, None, True) for d in rows["date"][~fresh]]
-        rows = rows[fresh]
-        for r in active:
-            if len(rows) and r.symbol in (None, key[0]):
-                value = rows[r.field].astype("float64").to_numpy()
-                last = np.append(np.nan if previous[r.field] is None else previous[r.field], value[:-1])
+        previous, fired = rest[:len(fields)], rest[len(fields):]
+        parts = [[f[c].to_numpy(float, na_value=np.nan) for c in numbers_of] for f in frames]
+        rows = np.array([np.concatenate(p) for p in zip(*parts)])
+        rows = rows[:, np.argsort(rows[0], kind="stable")]
+        newest = -np.inf if seen is None else _day(seen)
+        fresh = rows[0] > np.maximum(newest, np.append(newest, rows[0, :-1]))
+        late = rows[0, ~fresh]
+        none = np.full(len(late), np.nan)
+        out, (day, *values) = [(late, none, none, none, none, np.ones(len(late), bool))], rows[:, fresh]
+        for i, r in enumerate(active):
+            if len(day) and r.symbol in (None, key[0]):
+                at = fields.index(r.field)
+                value = values[at]
+                last = np.append(np.nan if previous[at] is None else previous[at], value[:-1])
                 hits = {"above": value > r.level, "below": value < r.level, "crossing": (last - r.level) * (value - r.level) < 0}[r.kind]
-                dates = [d for d in rows["date"][hits]]
-                earlier = [None if fired[r.id] is None else datetime.date.fromisoformat(fired[r.id]), *dates][:len(dates)]
-                out += [(key[0], d, r.id, r.field, v, p, e, False) for d, v, p, e in zip(dates, value[hits].tolist(), last[hits].tolist(), earlier)]
-                fired[r.id] = str(dates[-1])[:10] if dates else fired[r.id]
-        if len(rows):
-            state.update((str(rows["date"].iloc[-1])[:10], *[float(rows[f].iloc[-1]) for f in fields], *[fired[r.id] for r in active]))
-        yield pd.DataFrame(out, columns=columns)
-
+                days = day[hits]
+                if len(days):
+                    earlier = np.append(np.nan if fired[i] is None else _day(fired[i]), days[:-1])
+                    out.append((days, np.full(len(days), float(i)), value[hits], last[hits], earlier, np.zeros(len(days), bool)))
+                    fired[i] = _date(days[-1])
+        if len(day):
+            state.update((_date(day[-1]), *[float(v[-1]) for v in values], *fired))
+        made = [np.concatenate(c) for c in zip(*out)]
+        if len(made[0]):
+            yield pd.DataFrame(dict(zip(columns, [[key[0]] * len(made[0]), *made])))
+
+    numbers_of = numbers.columns[1:]
     stored = ", ".join(["seen string", *[f"p{i} double" for i in range(len(fields))], *[f"t{i} string" for i in range(len(active))]])
-    made = f"symbol {kind}, date date, rule string, field string, value double, previous double, last_triggered date, late boolean"
-    return bars.groupBy("symbol").applyInPandasWithState(check, made, stored, "append", GroupStateTimeout.NoTimeout)
+    found = numbers.groupBy("symbol").applyInPandasWithState(
+        check, f"symbol {kind}, day double, rule double, value double, previous double, last double, late boolean", stored, "append", GroupStateTimeout.NoTimeout)
+    named = lambda names: F.get(F.array(*[F.lit(n) for n in names]).cast("array<string>"), F.col("rule").cast("int"))
+    date = lambda c: F.date_from_unix_date(F.col(c).cast("int"))
+    return found.select("symbol", date("day").alias("date"), named([r.id for r in active]).alias("rule"), named([r.field for r in active]).alias("field"),
+                        "value", "previous", date("last").alias("last_triggered"), "late")
+
+
+def _day(text: str) -> float:
+    return float(datetime.date.fromisoformat(text).toordinal() - EPOCH)
+
+
+def _date(day: float) -> str:
+    return str(datetime.date.fromordinal(int(day) + EPOCH))
 
 
 def stream_news(items: DataFrame, late: str = "120 days") -> DataFrame:

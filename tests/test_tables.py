@@ -279,6 +279,21 @@ def test_alerts_go_on_from_the_checkpoint(spark, tmp_path):
         jobs.stream_alerts(spark.readStream.schema(schema).parquet(folder), [("x", "sideways", 1.0)])
 
 
+def test_alerts_send_numbers_to_the_tasks(spark, tmp_path):
+    """Dates and names stay out of the Python tasks, whose work per row was most of the job."""
+    folder = str(tmp_path / "feed")
+    schema = "symbol string, date date, close float, note string"
+    rows = [("A", datetime.date(1969, 12, 30), 1.0, "x"), ("A", datetime.date(1969, 12, 31), 3.0, "x"), (None, datetime.date(2024, 1, 1), 3.0, None)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(folder)
+    alerts = jobs.stream_alerts(spark.readStream.schema(schema).parquet(folder), [("up", "crossing", 2.0), ("high", "above", 2.0)])
+    plan = alerts._jdf.queryExecution().analyzed().toString()
+    sent = next(x for x in plan.splitlines() if "FlatMapGroupsInPandasWithState" in x)
+    assert "day#" in sent and "date#" not in sent and "note#" not in sent
+    out = sorted((str(r["symbol"]), str(r["date"]), r["rule"], r["field"], r["value"], r["previous"], r["last_triggered"], r["late"]) for r in jobs.run(alerts, "alerts-test", "append").collect())
+    assert out == [("A", "1969-12-31", "high", "close", 3.0, 1.0, None, False), ("A", "1969-12-31", "up", "close", 3.0, 1.0, None, False),
+                   ("None", "2024-01-01", "high", "close", 3.0, None, None, False)]
+
+
 def test_stream_bars_merge_batches(spark, tmp_path):
     folder = str(tmp_path / "ticks")
     schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
