@@ -267,6 +267,18 @@ def test_weight_search_objectives(spark):
     assert optimizer.weight_search(df.limit(0)).count() == optimizer.efficient_frontier(df.limit(0)).count() == 0
 
 
+def test_steps_of_the_search_store_weights_alone(spark):
+    """The series stay where they are: no step writes or shuffles them, with an asset that has no name as well."""
+    rng = np.random.default_rng(11)
+    df = frame(spark, {f"S{j}": rng.normal(0, 0.02, 30).tolist() for j in range(5)}, ("ret",)).withColumn("symbol", F.expr("nullif(symbol, 'S3')"))
+    search = optimizer.Search(df, points=4, rounds=3)
+    assert len(search.solve()) == 4 and not {"days", "rets"} & set(search.table.columns)
+    plan = search.met(search.table)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Exchange" not in plan
+    own = {x.symbol: x.weight for x in search.weights_of({0: 1.0}).collect()}
+    assert set(own) == {"S0", "S1", "S2", None, "S4"} and math.isclose(sum(own.values()), 1)
+
+
 def test_portfolio_risk_adds_up(spark):
     rng = np.random.default_rng(9)
     m = rng.normal(0, 0.02, (60, 4))
