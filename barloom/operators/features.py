@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barloom.functions.frames import decayed_sums, frame_values, interpolated, prev, rate, roll, running, running_product, series
+from barloom.functions.rolling import NUMBERS, rolling_batches
 
 ROLLING = {"mean": F.avg, "std": F.stddev_pop, "min": F.min, "max": F.max}
 
@@ -36,7 +37,13 @@ def lag_features(df: DataFrame, cols, lags) -> DataFrame:
 
 
 def rolling_features(df: DataFrame, cols, windows, functions: dict | None = None) -> DataFrame:
-    """``functions`` maps a name to an aggregate Column function; the default std is the population form."""
+    """``functions`` maps a name to an aggregate Column function; the default std is the population form.
+
+    The default functions of number columns go over arrays of rows instead of one frame per row.
+    """
+    cols, windows = list(cols), list(windows)
+    if not functions and cols and windows and all(isinstance(f.dataType, NUMBERS) for f in df.select(*cols).schema):
+        return rolling_batches(df, cols, windows)
     fns = functions or ROLLING
     return df.withColumns({f"{c}_{name}_{n}": roll(fn, c, n) for c in cols for n in windows for name, fn in fns.items()})
 
@@ -71,13 +78,16 @@ def all_features(df: DataFrame, price: str = "close", volume: str | None = "volu
                  windows=(5, 10, 21, 63), return_periods=(1, 5, 10, 21, 63), calendar=True, with_lags=True,
                  with_rolling=True, with_returns=True) -> DataFrame:
     cols = [price] + ([volume] if volume else [])
-    if calendar:
-        df = date_parts(df)
-    if with_lags:
-        df = lag_features(df, cols, lags)
-    if with_rolling:
-        df = rolling_features(df, cols, windows)
-    return return_features(df, price, return_periods) if with_returns else df
+    # lags and returns share the partitions of the series; frames leave them, and what follows goes row by row
+    start = df.columns
+    df = lag_features(df, cols, lags) if with_lags else df
+    lagged = df.columns
+    df = return_features(df, price, return_periods) if with_returns else df
+    returned = df.columns
+    df = rolling_features(df, cols, windows) if with_rolling else df
+    rolled = df.columns
+    df = date_parts(df) if calendar else df
+    return df.select(*start, *df.columns[len(rolled):], *lagged[len(start):], *rolled[len(returned):], *returned[len(lagged):])
 
 
 def price_shape(df: DataFrame) -> DataFrame:

@@ -61,7 +61,7 @@ RF = [(c, n) for c in ("close",) for n in (5, 10, 21, 63)]
 @query("rolling_features", f"SELECT symbol, date, {', '.join(rolled(c, n) for c, n in RF)} FROM bars", B,
        r4=" ".join(f"close_{x}_{n}" for _, n in RF for x in ("mean", "std")))
 def _(t: Tables):
-    return ft.rolling_features(t.bars, ["close"], (5, 10, 21, 63)).drop("open", "high", "low", "close", "volume")
+    return ft.rolling_features(t.bars.select("symbol", "date", "close"), ["close"], (5, 10, 21, 63)).drop("close")
 
 
 @query("rolling_mean_std", f"""SELECT symbol, date, {', '.join(f"{roll('avg', 'close', n)} AS close_rolling_mean_{n}, {roll('stddev_samp', 'close', n)} AS close_rolling_std_{n}" for n in (7, 30))} FROM bars""",
@@ -87,7 +87,7 @@ AFR = [(c, n) for c in ("close", "volume") for n in (5, 10, 21, 63)]
   {', '.join(f'{lag(c, k)} AS {c}_lag_{k}' for c in ('close', 'volume') for k in LAGS)}, {', '.join(rolled(c, n) for c, n in AFR)}, {RETS} FROM bars""", B,
        r4=" ".join(f"{c}_{x}_{n}" for c, n in AFR for x in ("mean", "std")), r6=RET_NAMES)
 def _(t: Tables):
-    return ft.all_features(t.bars).drop("open", "high", "low")
+    return ft.all_features(t.bars.drop("open", "high", "low"))
 
 
 SHAPE = "pct_change log_return high_low_range_pct open_close_range_pct volume_change volume_relative"

@@ -3,11 +3,16 @@
 import contextlib
 import datetime
 import io
+import math
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from barloom.functions.frames import decayed_sums, ewm_many
-from barloom.operators import cleaning, forecast, indicators, signals
+from barloom.functions.rolling import rolling_batches
+from barloom.functions.scalars import rounded
+from barloom.operators import cleaning, features, forecast, indicators, signals
 from barloom.plans import load_all
 from barloom.plans import sources as source_plans
 from barloom.registry import REGISTRY
@@ -28,6 +33,10 @@ def bars(spark, n=90, symbols=(1, 2)):
     return spark.createDataFrame(rows, BARS)
 
 
+def days(spark):
+    return bars(spark).withColumn("date", F.date_add(F.lit("1998-01-01").cast("date"), F.col("date").cast("int")))
+
+
 def tables(spark, folder) -> str:
     """Two symbols with a line item on each of 160 days."""
     orders = [(i, datetime.datetime(1998, 1, 1) + datetime.timedelta(days=i)) for i in range(160)]
@@ -125,3 +134,59 @@ def test_batch_predict_deals_training_rows_once(spark, monkeypatch, tmp_path):
     load_all()
     assert REGISTRY["batch_predict"].run(spark, tables(spark, tmp_path)).count() == 2
     assert seen and "Exchange" not in seen[0] and "Window" not in seen[0]
+
+
+def test_features_keep_no_frame_per_row(spark):
+    df = features.all_features(days(spark).drop("open", "high", "low"))
+    text = plan(df)
+    assert "MapInArrow" in text and "RowFrame, -62" not in text and sorts(df) == 1
+    # other functions still take any aggregate
+    assert "RowFrame, -62" in plan(features.rolling_features(bars(spark), ["close"], [63], {"mean": F.avg}))
+
+
+def test_rolling_batches_are_the_frames_bit_by_bit(spark):
+    """Series over many batches, nulls in a value and in the key, NaN, an integer column; a column of the same name is replaced."""
+    from barloom.functions.frames import roll
+
+    rng = np.random.default_rng(4)
+    rows = [(s, i, None if rng.random() < 0.05 else float(rng.normal(100, 9)) if i != 30 else math.nan,
+             None if rng.random() < 0.03 else int(rng.integers(0, 2**40)), "t") for s in (None, 1, 2, 3) for i in range((s or 4) * 23)]
+    df = spark.createDataFrame(rows, "symbol int, date int, x double, v long, x_mean_3 string").repartition(5)
+    fns = {"mean": F.avg, "std": F.stddev_pop, "min": F.min, "max": F.max}
+    want = df.withColumns({f"{c}_{k}_{n}": roll(f, c, n) for c in ("x", "v") for n in (1, 3, 20) for k, f in fns.items()})
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = rolling_batches(df, ["x", "v"], [1, 3, 20])
+        a, b = (sorted(map(repr, t.collect())) for t in (got, want))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got.dtypes == want.dtypes and a == b
+    with pytest.raises(ValueError):
+        rolling_batches(df, ["x"], [0])
+
+
+def test_feature_columns_keep_their_order(spark):
+    names = features.all_features(days(spark), lags=(1,), windows=(5,), return_periods=(1,)).columns
+    assert names[7:9] == ["day_of_week", "day_of_month"] and names[17:19] == ["close_lag_1", "volume_lag_1"]
+    assert names[19:] == [f"{c}_{k}_5" for c in ("close", "volume") for k in ("mean", "std", "min", "max")] + ["return_1d", "log_return_1d"]
+
+
+def test_rounded_gives_the_bits_of_round(spark):
+    """Ties, values beside them, signs, zeros, huge, infinite and missing ones, one and two columns."""
+    rng = np.random.default_rng(6)
+    xs = [0.00005, 1.00005, -1.00005, 2.5, -0.00001, -0.0, 0.0, 1e15 + 0.3, 123456789.00005, 1e300, math.inf, -math.inf, math.nan, None]
+    xs += [float(x) for k in (1e-3, 1, 1e4, 1e8) for x in rng.normal(0, k, 300)] + [k / 100000 for k in range(-300, 300)]
+    df = spark.createDataFrame([(x, xs[-1 - i] if i % 3 else None) for i, x in enumerate(xs)], "a double, b double")
+    for d in (4, 6, 9):
+        for cols in (["a"], ["a", "b"]):
+            for r in df.select(rounded(cols, d).alias("got"), F.array(*[F.round(c, d) for c in cols]).alias("want")).collect():
+                assert [repr(x) for x in r.got] == [repr(x) for x in r.want]
+
+
+def test_queries_round_without_a_call_per_value(spark, tmp_path):
+    load_all()
+    df = REGISTRY["rolling_features"].run(spark, tables(spark, tmp_path))
+    assert "THEN round(" not in plan(df) and "round(close_mean_5" not in plan(df)
+    want = REGISTRY["sma"].run(spark, str(tmp_path))
+    assert want.count() == df.count() == 320
