@@ -11,6 +11,8 @@ from barloom.functions.frames import ewm_many
 from barloom.functions.order import exact_quantiles, with_row_index
 from barloom.operators import anomalies, features, forecast, indicators, optimizer, pairs, peers, signals, statistics
 from barloom.operators import portfolio as pf
+from barloom.plans import load_all
+from barloom.registry import REGISTRY
 from pyspark.sql import functions as F
 
 DAY0 = datetime.date(1960, 1, 1)
@@ -171,6 +173,19 @@ def test_pairwise_ties_and_tiles(spark, method, monkeypatch):
         assert got[k][0] == n and (got[k][1] is None if r is None else abs(got[k][1] - r) < 1e-9)
 
 
+def test_pair_self_join_counts_all_dates(spark, tmp_path):
+    """Common dates far older than the newest 252 count, and so do pairs that share no newer one."""
+    days = [DAY0 + datetime.timedelta(days=i) for i in range(400)]
+    traded = {1: range(400), 2: range(0, 400, 3), 3: range(30)}
+    spark.createDataFrame([(i, str(d)) for i, d in enumerate(days)], "o_orderkey long, o_orderdate string").write.parquet(str(tmp_path / "orders.parquet"))
+    lines = [(i, 1, s, 1.0, 100.0 + i + s, 0.0, 0.0) for s, at in traded.items() for i in at]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    load_all()
+    got = {(r["symbol_a"], r["symbol_b"]): r["n"] for r in REGISTRY["pair_self_join"].run(spark, str(tmp_path)).collect()}
+    # a series has no return on its first date
+    assert got == {(1, 2): 133, (1, 3): 29, (2, 3): 9}
+
+
 def test_exact_quantiles_with_narrow_brackets_and_ties(spark):
     x = np.concatenate([np.random.default_rng(2).lognormal(0, 3, 30000), np.full(15000, 7.0)])
     df = spark.createDataFrame(pd.DataFrame({"v": x, "w": -x})).repartition(8)
