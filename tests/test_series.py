@@ -13,6 +13,7 @@ from barloom.operators import anomalies, features, forecast, indicators, optimiz
 from barloom.operators import portfolio as pf
 from barloom.plans import load_all
 from barloom.registry import REGISTRY
+from barloom.sources.readers import materialize
 from pyspark.sql import functions as F
 
 DAY0 = datetime.date(1960, 1, 1)
@@ -186,6 +187,21 @@ def test_pair_self_join_counts_all_dates(spark, tmp_path):
     assert got == {(1, 2): 133, (1, 3): 29, (2, 3): 9}
 
 
+def test_pairwise_stores_and_copies_no_more_than_it_needs(spark, monkeypatch):
+    """Dates and values are stored once, counts copy no values, and a block holds a bounded number of them."""
+    stored = []
+    monkeypatch.setattr(pairs, "materialize", lambda df, name: stored.append((name, df.columns)) or materialize(df, name))
+    rows = [(f"S{i}", DAY0 + datetime.timedelta(days=d), v, "x") for i in range(6) for d, v in enumerate([0.1 * i, 0.2, None if i == 2 else 0.3, math.inf if i == 3 else 0.4])]
+    df = spark.createDataFrame(rows, "symbol string, date date, ret double, other string")
+    got = {(r["symbol_a"], r["symbol_b"]): r["n"] for r in pairs.pairwise(df, "ret", None, measures=("n",)).collect()}
+    assert got == {(f"S{a}", f"S{b}"): 3 if a == 2 or b == 2 else 4 for a in range(6) for b in range(a + 1, 6) if 3 not in (a, b)}
+    assert stored == [("values", ["symbol", "date", "v"]), ("series", ["symbol", "c"])]
+    monkeypatch.setattr(pairs, "CELLS", 2 * 8 * 4)
+    few = pairs.pairwise(df, "ret", 4, block=2)
+    assert few.rdd.getNumPartitions() == 6  # three blocks of two series
+    assert {(r["symbol_a"], r["symbol_b"]): r["n"] for r in few.collect()} == got
+
+
 def test_exact_quantiles_with_narrow_brackets_and_ties(spark):
     x = np.concatenate([np.random.default_rng(2).lognormal(0, 3, 30000), np.full(15000, 7.0)])
     df = spark.createDataFrame(pd.DataFrame({"v": x, "w": -x})).repartition(8)
