@@ -191,7 +191,7 @@ lf AS (SELECT n.symbol, n.date, avg(b.lrd) / any_value(a.lrd) AS lof FROM n20 n
   JOIN lrd b ON b.symbol = n.symbol AND b.date = n.nd GROUP BY 1, 2)
 SELECT symbol, date, lof, (lof > quantile_cont(lof, 0.95) OVER (PARTITION BY symbol))::INT AS is_anomaly FROM lf""", B, r4="lof")
 def _(t: Tables):
-    return pick(anomalies.lof(t.bars), "lof", "is_anomaly")
+    return pick(anomalies.lof(t.bars.select("symbol", "date", "close")), "lof", "is_anomaly")
 
 
 DEC = f""", a AS (SELECT symbol, date, close, (row_number() OVER ({W}) - 1) % 12 AS ph, CASE WHEN count(*) OVER ({W} ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING) = 13

@@ -241,6 +241,53 @@ def test_row_index_with_hot_first_key(spark):
     assert got["row_index"].tolist() == list(range(5000))
 
 
+def lof_brute(series, k):
+    """Factors of (date, value) pairs: neighbours by distance, then date, among the k next lower and higher values."""
+    ordered = sorted((v, d) for d, v in series)
+    near = {}
+    for i, (v, d) in enumerate(ordered):
+        others = ordered[max(i - k, 0):i] + ordered[i + 1:i + k + 1]
+        near[d] = sorted((abs(w - v), e) for w, e in others)[:k]
+    kd = {d: max((x for x, _ in ns), default=0.0) for d, ns in near.items()}
+    lrd = {d: 1 / (sum(max(x, kd[e]) for x, e in ns) / len(ns) + 1e-10) for d, ns in near.items() if ns}
+    return {d: sum(lrd[e] for _, e in ns) / len(ns) / lrd[d] if ns else None for d, ns in near.items()}
+
+
+def test_lof_of_many_series_as_array_steps(spark, monkeypatch):
+    """Short and long series, equal values and single rows, cut by batches and pieces; no list of a frame is collected per row."""
+    monkeypatch.setattr(anomalies, "ROWS", 40)
+    monkeypatch.setattr(anomalies, "FRAMES", 16)
+    rng = np.random.default_rng(21)
+    kinds = [lambda n: rng.normal(100, 3, n), lambda n: np.round(rng.normal(0, 1, n), 1), lambda n: rng.integers(0, 3, n).astype(float)]
+    series = {s: [(DAY0 + datetime.timedelta(days=int(d)), float(v)) for d, v in enumerate(kinds[s % 3](n))] for s, n in enumerate([1, 2, 5, 30, 90, 90, 150, 11, 12])}
+    df = spark.createDataFrame([(s, d, v, f"{s}/{d}") for s, rows in series.items() for d, v in rows], "symbol int, date date, close double, tag string").repartition(3)
+    out = anomalies.lof(df, k=5, contamination=0.1)
+    assert out.columns == ["symbol", "date", "close", "tag", "lof", "is_anomaly"] and "collect_list" not in out._jdf.queryExecution().toString()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 17)
+    try:
+        got = {(r["symbol"], r["date"]): r for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == sum(map(len, series.values())) and all(r["tag"] == f"{s}/{d}" for (s, d), r in got.items())
+    for s, rows in series.items():
+        want = lof_brute(rows, 5)
+        known = [x for x in want.values() if x is not None]
+        cut = np.quantile(known, 0.9) if known else math.inf
+        for d, x in want.items():
+            r = got[s, d]
+            assert (r["lof"] is None) if x is None else math.isclose(r["lof"], x, rel_tol=1e-9)
+            assert r["is_anomaly"] == int(x is not None and x > cut) or math.isclose(x, cut, rel_tol=1e-9)
+
+
+def test_lof_of_missing_values_and_days(spark):
+    """A row without a day has no neighbours and is none; rows of one day are no neighbours of each other; missing values keep their rows."""
+    day = [DAY0 + datetime.timedelta(days=i) for i in range(6)]
+    rows = [("A", day[0], 1.0), ("A", day[1], 2.0), ("A", day[2], 4.0), ("A", None, 3.0), ("B", day[0], 1.0), ("B", day[0], 5.0), ("C", day[0], None), ("C", day[1], 1.0), ("C", day[2], 1.5)]
+    got = {(r["symbol"], r["date"], r["close"]): r["lof"] for r in anomalies.lof(spark.createDataFrame(rows, "symbol string, date date, close double"), k=2).collect()}
+    assert got["A", None, 3.0] is None and got["B", day[0], 1.0] is None and got["B", day[0], 5.0] is None and len(got) == 9
+    assert np.allclose([got["A", day[0], 1.0], got["A", day[1], 2.0], got["A", day[2], 4.0]], [4 / 3, 3 / 4, 4 / 3])
+
+
 def test_lof_matches_brute_force(spark):
     x = np.random.default_rng(6).normal(100, 10, 80)
     got = ordered(anomalies.lof(frame(spark, {"A": x.tolist()}), k=5), "lof")["lof"]
