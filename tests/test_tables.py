@@ -141,6 +141,33 @@ def test_knn_copies_rows_by_large_blocks(spark, monkeypatch):
         assert got == {i: np.argsort(((x - v) ** 2).sum(1), kind="stable")[:3].tolist() for i, v in enumerate(q)}
 
 
+def test_knn_ships_numbers_other_than_zero_and_keeps_ties(spark, monkeypatch):
+    """Sparse vectors with copies, zero vectors and huge numbers; tiles with few and with many near rows choose the same; odd vectors are near nothing."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(120, 300)) * (rng.random((120, 300)) < 0.05)
+    q = np.concatenate([x[:9] + 0.1 * (rng.random((9, 300)) < 0.01), np.zeros((2, 300))])
+    x[40:80] = x[3]
+    bad = [None, [None] * 300, [float("nan")] * 300]
+    corpus = spark.createDataFrame([(f"i{i:03d}", v) for i, v in enumerate([*x.tolist(), *bad])], "id string, embedding array<double>").repartition(4)
+    queries = spark.createDataFrame([(i, v) for i, v in enumerate([*q.tolist(), *bad])], "query_id int, embedding array<double>")
+    packed = {r["id"]: r for r in retrieval._packed(corpus, "id").collect()}
+    assert len(packed) == 120 and all(np.array_equal(np.frombuffer(packed[f"i{i:03d}"]["at"], "uint16"), np.flatnonzero(v)) for i, v in enumerate(x))
+    assert all(np.array_equal(np.frombuffer(packed[f"i{i:03d}"]["vs"]), v[v != 0]) for i, v in enumerate(x))
+    far = ((q[:, None] - x) ** 2).sum(2)
+    want = {i: [f"i{j:03d}" for j in sorted(range(120), key=lambda j: (d[j], j))[:5]] for i, d in enumerate(far)}
+    for many, largest, scale in ((64, (1 << 18, 1 << 17), 1.0), (0, (4, 50), 1.0), (64, (4, 50), 2.0**60)):
+        monkeypatch.setattr(retrieval, "MANY", many)
+        monkeypatch.setattr(retrieval, "LARGEST", largest)
+        big = [df.withColumn("embedding", F.transform("embedding", lambda v: v * scale)) for df in (corpus, queries)]
+        got = {}
+        for r in retrieval.knn(*big, 5, (4, 32)).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append(r["id"])
+            assert np.isclose(r["distance"], far[r["query_id"], int(r["id"][1:])] * scale**2, rtol=1e-9, atol=1e-12 * scale**2)
+        assert got == want
+    with pytest.raises(Exception, match="different lengths"):
+        retrieval.knn(corpus, spark.createDataFrame([(1, [1.0, 2.0])], "query_id int, embedding array<double>"), 2).collect()
+
+
 def test_near_duplicates_of_long_titles(spark):
     """Sets above MAX_SET in groups of copies that differ by a few words, with equal dates and keys, settled by the first met or a later one."""
     rng = random.Random(4)
